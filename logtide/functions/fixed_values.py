@@ -91,3 +91,11 @@ CSV_BYTES_AS_ZERO = ("-", "", "None", "null")
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES, continued: cell texts that pandas' CSV reader turns into
+# missing values by default (public pandas behaviour), nulled the same way here.
+# ---------------------------------------------------------------------------
+CSV_NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+                   "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+                   "nan", "null")

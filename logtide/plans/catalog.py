@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import add_features
-from ..operators import clients, detectors, errors, ip_features, summary, traffic
-from ..sources.access_view import access_log
+from ..operators import chart_data, clients, detectors, errors, ip_features, profile, summary, traffic
+from ..sources.access_view import BASE_COLUMNS, access_log, render_lines
+from ..sources.csv_log import map_and_cast
+from ..sources.raw_log import parse_lines, parse_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,13 @@ def iso_dates(df: DataFrame) -> DataFrame:
                            for f in df.schema.fields if isinstance(f.dataType, T.DateType)})
 
 
+def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Round sample statistics (std, mean, percentile) half-even to ``digits``
+    decimals for the cross-engine check: engines differ in the last bit."""
+    return df.withColumns({f.name: F.bround(f.name, digits)
+                           for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
+
+
 def registered_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["features"] = lambda s, d: iso_dates(_featured(s, d))
@@ -46,8 +55,58 @@ def registered_queries() -> dict[str, Query]:
     q["top_user_agents"] = lambda s, d: clients.top_user_agents(_featured(s, d), n=10)
     q["top_endpoints"] = lambda s, d: clients.top_endpoints(_featured(s, d), n=10)
     q["summary_stats"] = lambda s, d: summary.summary_stats(_featured(s, d))
-    q["zscore_anomalies"] = lambda s, d: iso_dates(detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))
+    q["zscore_anomalies"] = lambda s, d: iso_dates(round_stats(
+        detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0)))
     q["brute_force"] = lambda s, d: detectors.brute_force(_featured(s, d), window_minutes=60, threshold=5)
     q["iqr_outliers"] = lambda s, d: detectors.iqr_outliers(_featured(s, d))
-    q["ip_features"] = lambda s, d: ip_features.ip_feature_matrix(_featured(s, d))
+    q["ip_features"] = lambda s, d: round_stats(ip_features.ip_feature_matrix(_featured(s, d)))
+    _register_more(q)
     return q
+
+
+# --- ingest over lines and frames derived from the access_log view ---------
+
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view rendered to Apache Combined text, one line per row."""
+    return render_lines(access_log(spark, sf_dir, keep_line_id=True), keep=("line_id", "timestamp"))
+
+
+def quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered lines grouped into one source per day, plus injected blank,
+    malformed and bad-timestamp lines (every 50th, 70th and 90th row)."""
+    r = rendered_lines(spark, sf_dir)
+    lid = F.col("line_id")
+    bad_ts = F.regexp_replace("value", r"\[[^\]]+\]", "[99/Foo/2024:25:61:61 +0000]")
+    extra = F.array(F.col("value"),
+                    F.when(lid % 50 == 0, F.lit("   ")),
+                    F.when(lid % 70 == 0, F.lit("not an access log line")),
+                    F.when(lid % 90 == 0, bad_ts))
+    return (r.select(F.concat(F.lit("access-"), F.date_format("timestamp", "yyyy-MM-dd")).alias("source"),
+                     F.explode(extra).alias("value"))
+            .where(F.col("value").isNotNull()))
+
+
+def aliased_csv_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as an all-string frame with CSV-style aliased headers."""
+    b = access_log(spark, sf_dir, keep_line_id=True)
+    return b.select(
+        F.col("ip").alias("Client_IP"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(" Time "),
+        F.col("method").alias("Verb"), F.col("path").alias("URL"),
+        F.col("status").cast("string").alias("Status_Code"),
+        F.when(F.col("bytes") == 0, F.lit("-")).otherwise(F.col("bytes").cast("string")).alias("Size"),
+        F.col("referrer").alias("Referer"), F.col("user_agent").alias("UA"),
+        F.col("user").alias("UserName"), F.col("line_id").cast("string").alias("line_id"))
+
+
+def _register_more(q: dict[str, Query]) -> None:
+    q["parse_raw_lines"] = lambda s, d: parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS)
+    q["parse_quality"] = lambda s, d: parse_quality(quality_lines(s, d))
+    q["csv_alias_ingest"] = lambda s, d: map_and_cast(aliased_csv_frame(s, d))
+    q["column_mapping"] = lambda s, d: profile.column_mapping(aliased_csv_frame(s, d))
+    q["error_heatmap"] = lambda s, d: chart_data.error_heatmap(_featured(s, d))
+    q["bot_vs_human"] = lambda s, d: chart_data.bot_vs_human(_featured(s, d))
+    q["auth_failure_timeline"] = lambda s, d: chart_data.auth_failure_timeline(_featured(s, d))
+    q["anomaly_points"] = lambda s, d: iso_dates(round_stats(chart_data.anomaly_points(
+        detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))))
+    q["column_profile"] = lambda s, d: profile.column_profile(_featured(s, d))

@@ -78,7 +78,8 @@ SELECT count(*) AS total_requests, count(DISTINCT ip) AS unique_ips,
   CAST(count_if(is_server_error) AS BIGINT) AS server_errors
 FROM feat""")
     s["zscore_anomalies"] = _q(ZSCORE_CTE.format(z=2.0) + """
-SELECT strftime(date, '%Y-%m-%d') AS date, hour, ip, request_count, window_mean, window_std, z_score
+SELECT strftime(date, '%Y-%m-%d') AS date, hour, ip, request_count, round_even(window_mean, 9) AS window_mean,
+  round_even(window_std, 9) AS window_std, round_even(z_score, 9) AS z_score
 FROM scored ORDER BY z_score DESC, date, hour, ip""")
     s["brute_force"] = _q("""
 , fails AS (SELECT ip, timestamp, path, CAST(floor(epoch_us(timestamp) / 1000000) AS BIGINT) AS ts_epoch
@@ -97,10 +98,86 @@ f AS (SELECT quantile_cont(CAST(total_requests AS DOUBLE), 0.75)
 SELECT ip, total_requests, round_even(fence, 2) AS upper_fence, round_even(total_requests - fence, 2) AS excess
 FROM c JOIN f ON total_requests > fence ORDER BY total_requests DESC, ip""")
     s["ip_features"] = _q(IP_FEATURES_CTE + """
-SELECT * FROM ipf""")
+SELECT ip, total_requests, round_even(error_rate, 9) AS error_rate, round_even(avg_bytes, 9) AS avg_bytes,
+  round_even(bot_rate, 9) AS bot_rate, unique_paths, round_even(status_std, 9) AS status_std,
+  round_even(p95_request_gap, 9) AS p95_request_gap FROM ipf""")
+    _more(s)
     return s
 
 
+FEATURE_TYPES = [("ip", "string"), ("user", "string"), ("timestamp", "timestamp"), ("method", "string"),
+                 ("path", "string"), ("protocol", "string"), ("status", "smallint"), ("bytes", "bigint"),
+                 ("referrer", "string"), ("user_agent", "string"), ("hour", "int"), ("day_of_week", "string"),
+                 ("date", "date"), ("is_success", "boolean"), ("is_redirect", "boolean"),
+                 ("is_client_error", "boolean"), ("is_server_error", "boolean"), ("is_error", "boolean"),
+                 ("is_bot", "boolean")]
+
+WEEKDAY_CASE = ("CASE day_of_week WHEN 'Monday' THEN 1 WHEN 'Tuesday' THEN 2 WHEN 'Wednesday' THEN 3 "
+                "WHEN 'Thursday' THEN 4 WHEN 'Friday' THEN 5 WHEN 'Saturday' THEN 6 WHEN 'Sunday' THEN 7 END")
+
+
+def _more(s: dict[str, str]) -> None:
+    base = "ip, user, timestamp, method, path, protocol, status, bytes, referrer, user_agent"
+    s["parse_raw_lines"] = _q(f"SELECT {base} FROM access_log")
+    s["parse_quality"] = _q("""
+SELECT 'access-' || strftime(timestamp, '%Y-%m-%d') AS source,
+  CAST(count(*) + count_if(line_id % 50 = 0) + count_if(line_id % 70 = 0) + count_if(line_id % 90 = 0) AS BIGINT)
+    AS total_lines,
+  CAST(count(*) + count_if(line_id % 90 = 0) AS BIGINT) AS parsed_lines,
+  CAST(count_if(line_id % 70 = 0) AS BIGINT) AS failed_lines,
+  CAST(count_if(line_id % 50 = 0) AS BIGINT) AS blank_lines,
+  CAST(count_if(line_id % 90 = 0) AS BIGINT) AS bad_timestamps,
+  CAST(count(*) + count_if(line_id % 90 = 0) AS DOUBLE)
+    / (count(*) + count_if(line_id % 50 = 0) + count_if(line_id % 70 = 0) + count_if(line_id % 90 = 0)) * 100.0
+    AS parse_pct
+FROM access_log GROUP BY source ORDER BY source""")
+    s["csv_alias_ingest"] = _q("""
+SELECT ip, user, timestamp, method, path, 'HTTP/1.1' AS protocol, status, bytes,
+  NULLIF(referrer, '') AS referrer, user_agent, CAST(line_id AS VARCHAR) AS line_id FROM access_log""")
+    s["column_mapping"] = _q("""
+SELECT * FROM (VALUES
+  (0, 'ip', 'detected', 'Client_IP', (SELECT min(ip) FROM access_log)),
+  (1, 'timestamp', 'detected', ' Time ',
+     (SELECT strftime(min(timestamp), '%Y-%m-%dT%H:%M:%SZ') FROM access_log)),
+  (2, 'method', 'detected', 'Verb', (SELECT min(method) FROM access_log)),
+  (3, 'path', 'detected', 'URL', (SELECT min(path) FROM access_log)),
+  (4, 'status', 'detected', 'Status_Code', (SELECT min(CAST(status AS VARCHAR)) FROM access_log)),
+  (5, 'bytes', 'detected', 'Size',
+     (SELECT min(CASE WHEN bytes = 0 THEN '-' ELSE CAST(bytes AS VARCHAR) END) FROM access_log)),
+  (6, 'referrer', 'detected', 'Referer', (SELECT min(referrer) FROM access_log)),
+  (7, 'user_agent', 'detected', 'UA', (SELECT min(user_agent) FROM access_log)),
+  (8, 'user', 'detected', 'UserName', (SELECT min(user) FROM access_log))
+) AS t(position, standard_name, status, source_column, sample)""")
+    s["error_heatmap"] = _q(f"""
+, cells AS (SELECT day_of_week, hour, avg(CAST(is_error AS DOUBLE)) AS cell_rate FROM feat
+  GROUP BY day_of_week, hour),
+grid AS (SELECT d.day_of_week, h.hour FROM (SELECT DISTINCT day_of_week FROM cells) d
+  CROSS JOIN (SELECT DISTINCT hour FROM cells) h)
+SELECT g.day_of_week, CAST({WEEKDAY_CASE.replace('day_of_week', 'g.day_of_week')} AS INTEGER) AS day_index, g.hour,
+  coalesce(c.cell_rate, 0.0) AS error_rate
+FROM grid g LEFT JOIN cells c ON g.day_of_week = c.day_of_week AND g.hour = c.hour
+ORDER BY day_index, hour""")
+    s["bot_vs_human"] = _q("""
+SELECT 'Human Traffic' AS label, CAST(count_if(NOT is_bot) AS BIGINT) AS count FROM feat
+UNION ALL SELECT 'Bot Traffic' AS label, CAST(count_if(is_bot) AS BIGINT) AS count FROM feat""")
+    s["auth_failure_timeline"] = _q("""
+, fails AS (SELECT * FROM feat WHERE status IN (401, 403) AND ip IS NOT NULL),
+top AS (SELECT ip FROM fails GROUP BY ip ORDER BY count(*) DESC, ip LIMIT 5)
+SELECT date_trunc('hour', timestamp) AS hour_bucket, ip, count(*) AS failures
+FROM fails WHERE ip IN (SELECT ip FROM top) GROUP BY hour_bucket, ip ORDER BY hour_bucket, ip""")
+    s["anomaly_points"] = _q(ZSCORE_CTE.format(z=2.0) + """
+SELECT strftime(date, '%Y-%m-%d') AS date, hour, ip, request_count, round_even(window_mean, 9) AS window_mean,
+  round_even(window_std, 9) AS window_std, round_even(z_score, 9) AS z_score,
+  CAST(date AS TIMESTAMP) + hour * INTERVAL 1 HOUR AS ts
+FROM scored ORDER BY z_score DESC, date, hour, ip""")
+    parts = []
+    for i, (c, t) in enumerate(FEATURE_TYPES):
+        parts.append(f"SELECT {i} AS position, '{c}' AS column, '{t}' AS dtype, count(\"{c}\") AS non_null, "
+                     f"round_even(CAST(count(*) - count(\"{c}\") AS DOUBLE) / count(*) * 100, 1) AS null_pct, "
+                     f"CAST(min(\"{c}\") AS VARCHAR) AS sample FROM feat")
+    s["column_profile"] = _q("\nUNION ALL\n".join(parts))
+
+
 ZSCORE_CTE = """
 , counts AS (SELECT date, hour, ip, count(*) AS request_count FROM feat WHERE ip IS NOT NULL
   GROUP BY date, hour, ip),

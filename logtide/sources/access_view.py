@@ -47,7 +47,7 @@ def access_log(spark: SparkSession, sf_dir: str, keep_line_id: bool = False) ->
     return df if keep_line_id else df.drop("line_id")
 
 
-def render_lines(df: DataFrame) -> DataFrame:
+def render_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Render typed rows back to Apache Combined lines (column ``value``).
 
     Null user/referrer/agent become ``-``; a null path becomes the request
@@ -66,4 +66,4 @@ def render_lines(df: DataFrame) -> DataFrame:
         F.when(F.col("bytes") == 0, dash).otherwise(F.col("bytes").cast("string")),
         quoted("referrer"), quoted("user_agent"),
     )
-    return df.select(line.alias("value"))
+    return df.select(*keep, line.alias("value"))
