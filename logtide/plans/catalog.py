@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import add_features
-from ..operators import chart_data, clients, detectors, errors, ip_features, profile, summary, traffic
+from ..operators import (chart_data, clients, detectors, errors, ip_features, isolation_forest, profile,
+                         summary, traffic)
 from ..sources.access_view import BASE_COLUMNS, access_log, render_lines
 from ..sources.csv_log import map_and_cast
 from ..sources.raw_log import parse_lines, parse_quality
@@ -110,3 +111,6 @@ def _register_more(q: dict[str, Query]) -> None:
     q["anomaly_points"] = lambda s, d: iso_dates(round_stats(chart_data.anomaly_points(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))))
     q["column_profile"] = lambda s, d: profile.column_profile(_featured(s, d))
+    # Not SQL-expressible (random trees): checked by row count here and by
+    # property tests in tests/test_isolation_forest.py.
+    q["isolation_forest"] = lambda s, d: isolation_forest.isolation_forest(_featured(s, d))
