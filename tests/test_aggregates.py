@@ -1,0 +1,98 @@
+import datetime as dt
+
+from conftest import make_log
+
+from logtide.functions.features import add_features
+from logtide.operators import clients, errors, summary, traffic
+
+
+def test_features_flags_and_bots(spark, mixed_traffic):
+    f = add_features(mixed_traffic)
+    r = f.agg({"*": "count"}).first()[0]
+    rows = f.collect()
+    assert r == 9
+    assert sum(x.is_bot for x in rows) == 2
+    assert sum(x.is_error for x in rows) == 5
+    assert sum(x.is_server_error for x in rows) == 1
+    assert sum(x.is_client_error for x in rows) == 4
+    assert {x.day_of_week for x in rows} == {"Monday"} and {x.hour for x in rows} == {8}
+    assert set(mixed_traffic.columns) < set(f.columns)  # input unchanged, columns added
+
+
+def test_null_agent_is_not_bot_and_status_edges(spark):
+    f = add_features(make_log(spark, [{"user_agent": None, "status": 199}, {"status": 600},
+                                      {"user_agent": "Some SPIDER thing"}]))
+    rows = f.collect()
+    assert [x.is_bot for x in rows] == [False, False, True]
+    assert rows[0].is_success is False and rows[1].is_server_error is True
+    dist = {r.status_code: r.category for r in errors.status_distribution(f).collect()}
+    assert dist[199] == "Success (2xx)" and dist[600] == "Server Error (5xx)"
+
+
+def test_status_distribution(spark, mixed_traffic):
+    rows = errors.status_distribution(add_features(mixed_traffic)).collect()
+    assert [(r.status_code, r["count"]) for r in rows] == [(200, 4), (401, 3), (404, 1), (500, 1)]
+    assert rows[1].category == "Client Error (4xx)"
+
+
+def test_null_keys_form_no_group(spark):
+    f = add_features(make_log(spark, [{"path": None, "status": 404}, {"path": "/x", "status": 404},
+                                      {"user_agent": None}]))
+    assert [r.path for r in errors.top_404_paths(f).collect()] == ["/x"]
+    assert [r.path for r in errors.error_summary(f).collect()] == ["/x"]
+    assert all(r.user_agent is not None for r in clients.top_user_agents(f).collect())
+
+
+def test_top_ips_with_ties(spark, mixed_traffic):
+    rows = clients.top_ips(add_features(mixed_traffic), n=3).collect()
+    assert [(r.ip, r.total_requests, r.error_requests, r.bot_requests) for r in rows] == [
+        ("10.0.0.4", 3, 3, 0), ("10.0.0.1", 2, 0, 0), ("10.0.0.2", 2, 2, 0)]
+    assert rows[0].error_rate == 1.0
+
+
+def test_error_rate_rounds_half_even(spark):
+    # 1/8 = 0.125 -> 0.12 at 2 dp half-even; at 4 dp check 1/32 = 0.03125 -> 0.0312
+    rows = [{"ip": "a", "status": 500}] + [{"ip": "a"}] * 31
+    (r,) = clients.top_ips(add_features(make_log(spark, rows)), n=1).collect()
+    assert r.error_rate == 0.0312
+
+
+def test_traffic_by_time(spark, mixed_traffic):
+    f = add_features(mixed_traffic)
+    assert [(r.hour_bucket, r.request_count) for r in traffic.hourly_traffic(f).collect()] == [
+        (dt.datetime(2024, 1, 15, 8, 0), 9)]
+    assert [(str(r.date), r.request_count) for r in traffic.daily_traffic(f).collect()] == [("2024-01-15", 9)]
+    (p,) = traffic.peak_hours(f).collect()
+    assert (p.hour, p.avg_requests, p.avg_per_day) == (8, 9, 9.0)
+
+
+def test_bandwidth_and_endpoints(spark, mixed_traffic):
+    f = add_features(mixed_traffic)
+    b = clients.bandwidth_usage(f, n=2).collect()
+    assert b[0].path == "/index.html" and b[0].total_bytes == 4 * 1024 and b[0].request_count == 4
+    assert b[0].total_mb == 0.0
+    e = clients.top_endpoints(f).collect()
+    assert [(r.path, r.hit_count) for r in e] == [("/index.html", 4)]
+    split = {r.label: r["count"] for r in clients.user_agent_split(f).collect()}
+    assert split == {"Bot": 2, "Human": 7}
+
+
+def test_summary_stats(spark, mixed_traffic):
+    (s,) = summary.summary_stats(add_features(mixed_traffic)).collect()
+    assert s.total_requests == 9 and s.unique_ips == 4 and s.server_errors == 1
+    assert s.top_status == 200 and s.date_range_days == 0
+    assert abs(s.error_rate - 500 / 9) < 1e-9 and abs(s.bot_traffic_pct - 200 / 9) < 1e-9
+    (t,) = summary.summary_report(add_features(mixed_traffic)).collect()
+    assert t.error_rate == "55.56%" and t.total_bytes_gb == "0.000 GB"
+
+
+def test_summary_mode_tie_and_floor_days(spark):
+    rows = [{"status": 404, "timestamp": dt.datetime(2024, 1, 1, 0, 0)},
+            {"status": 200, "timestamp": dt.datetime(2024, 1, 2, 23, 59)},
+            {"status": 404, "timestamp": dt.datetime(2024, 1, 3, 0, 0)},
+            {"status": 200, "timestamp": dt.datetime(2024, 1, 2, 23, 0)}]
+    (s,) = summary.summary_stats(add_features(make_log(spark, rows))).collect()
+    assert s.top_status == 200 and s.date_range_days == 2
+    rows2 = [{"timestamp": dt.datetime(2024, 1, 1, 12, 0)}, {"timestamp": dt.datetime(2024, 1, 3, 11, 59)}]
+    (s2,) = summary.summary_stats(add_features(make_log(spark, rows2))).collect()
+    assert s2.date_range_days == 1
