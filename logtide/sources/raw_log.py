@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import ACCESS_LINE_PATTERN, ACCESS_TIME_FORMATS
 from .access_view import BASE_COLUMNS
 
-_STRIP = r"^(?U)\s+|(?U)\s+$"
+# Characters Python's ``str.strip()`` removes (derived by rule, not listed).
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-
-def _group(line: Column, i: int) -> Column:
-    return F.regexp_extract(line, ACCESS_LINE_PATTERN, i)
+# One regex pass per line: a match is rewritten to its twelve groups joined
+# by U+0000 (an unmatched optional group contributes ""), so one evaluation
+# replaces twelve ``regexp_extract`` calls. Lines that already contain U+0000
+# take the exact per-group path instead, so the delimiter cannot collide.
+_SEP = "\u0000"
+_WHOLE_LINE = "(?s)" + ACCESS_LINE_PATTERN + ".*$"
+_GROUPS_JOINED = _SEP.join(f"${i}" for i in range(1, 13))
 
 
 def _null_if(c: Column, value: str) -> Column:
@@ -38,17 +43,38 @@ def parse_access_time(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in ACCESS_TIME_FORMATS])
 
 
+def joined_groups(line: Column) -> Column:
+    """Fast path: the line rewritten to its groups and split (12 parts iff it matched)."""
+    return F.split(F.regexp_replace(line, _WHOLE_LINE, _GROUPS_JOINED), _SEP, -1)
+
+
+def line_groups(line: Column, joined: Column) -> Column:
+    """array<string> of the twelve groups of a matching line, else null."""
+    exact = F.array(*[F.regexp_extract(line, ACCESS_LINE_PATTERN, i) for i in range(1, 13)])
+    return (F.when(line.contains(_SEP), F.when(line.rlike(ACCESS_LINE_PATTERN), exact))
+            .otherwise(F.when(F.size(joined) == 12, joined)))
+
+
 def split_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """Add ``line`` (valid UTF-8, stripped), ``is_blank`` and ``matched``."""
-    clean = F.regexp_replace(F.make_valid_utf8(F.col(value_col)), _STRIP, "")
+    """Add ``line`` (valid UTF-8, stripped), ``groups``, ``is_blank`` and ``matched``.
+
+    Each step is its own projection so the optimizer keeps one evaluation of
+    the expensive expressions (it does not inline an expensive expression
+    that is referenced more than once).
+    """
+    clean = F.btrim(F.make_valid_utf8(F.col(value_col)), F.lit(PY_WHITESPACE))
     return (lines.withColumn("line", clean)
+            .withColumn("_joined", joined_groups(F.col("line")))
+            .withColumn("groups", F.when(F.col("line") != F.lit(""),
+                                         line_groups(F.col("line"), F.col("_joined"))))
+            .drop("_joined")
             .withColumn("is_blank", F.col("line") == F.lit(""))
-            .withColumn("matched", ~F.col("is_blank") & F.col("line").rlike(ACCESS_LINE_PATTERN)))
+            .withColumn("matched", F.col("groups").isNotNull()))
 
 
-def typed_columns(line: Column) -> list[Column]:
-    """The ten typed columns of a matching line (casts of the survey's S2)."""
-    g = {i: _group(line, i) for i in range(1, 13)}
+def typed_columns(groups: Column) -> list[Column]:
+    """The ten typed columns from the twelve groups (casts of the survey's S2)."""
+    g = {i: groups.getItem(i - 1) for i in range(1, 13)}
     empty_to_null = lambda c: F.when(c == F.lit(""), F.lit(None).cast("string")).otherwise(c)
     bytes_text = _null_if(g[8], "-")
     optional = lambda outer, inner: F.when(outer == F.lit(""), F.lit(None).cast("string")).otherwise(inner)
@@ -72,8 +98,13 @@ def parse_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...
     Blank and non-matching lines give no row; rows whose timestamp cannot
     be parsed are dropped. ``keep`` names input columns to carry along.
     """
-    marked = split_lines(lines, value_col).where(F.col("matched"))
-    typed = marked.select(*[F.col(k) for k in keep], *typed_columns(F.col("line")))
+    marked = split_lines(lines, value_col)
+    # Rows leave through a generator (one struct for a matching line, none
+    # otherwise): a filter on ``matched`` would be pushed below the
+    # projections and evaluate the regex a second time.
+    row = F.struct(*typed_columns(F.col("groups")))
+    typed = marked.select(*[F.col(k) for k in keep],
+                          F.inline(F.when(F.col("matched"), F.array(row))))
     return typed.where(F.col("timestamp").isNotNull())
 
 
@@ -85,7 +116,7 @@ def parse_quality(lines: DataFrame, source_col: str = "source", value_col: str =
     the partial aggregate makes the shuffle negligible.
     """
     marked = split_lines(lines, value_col)
-    bad_ts = F.col("matched") & parse_access_time(_group(F.col("line"), 3)).isNull()
+    bad_ts = F.col("matched") & parse_access_time(F.col("groups").getItem(2)).isNull()
     return (marked.groupBy(source_col)
             .agg(F.count(F.lit(1)).alias("total_lines"),
                  F.count_if(F.col("matched")).alias("parsed_lines"),

@@ -141,3 +141,16 @@ def test_parse_quality_counts(spark):
     (r,) = parse_quality(read_log_lines(spark, p)).collect()
     assert (r.total_lines, r.parsed_lines, r.failed_lines, r.blank_lines, r.bad_timestamps) == (5, 3, 1, 1, 1)
     assert r.parse_pct == pytest.approx(60.0)
+
+
+def test_line_with_nul_takes_exact_path(spark):
+    nul = '1.2.3.4 - - [15/Jan/2024:08:00:00 +0000] "GET /x HTTP/1.1" 200 5 "r\x00ef" "U\x00A"'
+    (r,) = parse(spark, [nul])
+    assert r["referrer"] == "r\x00ef" and r["user_agent"] == "U\x00A" and r["path"] == "/x"
+    assert parse(spark, ["junk \x00 line"]) == []
+
+
+def test_parse_plan_evaluates_regex_once(spark):
+    df = spark.createDataFrame([(FULL,)], "value string")
+    plan = parse_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
