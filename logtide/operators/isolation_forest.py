@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import half_even
-from ..functions.quantile import exact_quantile
+from ..functions.quantile import BAND_ROWS, exact_quantile
 from ..session import ensure_checkpoint_dir
 from .ip_features import FEATURE_NAMES, ip_feature_matrix
 
@@ -141,6 +141,7 @@ def fit_forest(feats: DataFrame, n_estimators: int = 200, max_samples: int = 256
     for k in arrays:
         arrays[k][t, i] = nodes[k].to_numpy()
     arrays["psi"] = psi
+    arrays["n"] = n
     arrays["max_depth"] = max(1, int(math.ceil(math.log2(max(psi, 2)))))
     return arrays
 
@@ -194,6 +195,9 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
     bc = spark.sparkContext.broadcast(model)
     scored_schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
     scored = feats.mapInPandas(_scorer(bc, FEATURE_NAMES), scored_schema)
+    if model["n"] > BAND_ROWS:
+        # The offset search reads the scores several times: score once.
+        scored = scored.checkpoint(eager=True)
     offset = exact_quantile(scored.select((-F.col("anomaly_score")).alias("neg_score")),
                             "neg_score", contamination)
     decision = -F.col("anomaly_score") - F.lit(offset)

@@ -35,6 +35,15 @@ def summary_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def feature_rates(df: DataFrame) -> DataFrame:
+    """Rows, error % and bot % of the featured table (the numbers the
+    reference logs after adding features), one row."""
+    df = ensure_features(df)
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  (F.avg(F.col("is_error").cast("int")) * 100).alias("error_pct"),
+                  (F.avg(F.col("is_bot").cast("int")) * 100).alias("bot_pct"))
+
+
 def summary_report(df: DataFrame) -> DataFrame:
     """The same KPIs with the display formatting (``12.34%``, ``0.123 GB``)."""
     s = summary_stats(df)

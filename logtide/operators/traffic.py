@@ -30,12 +30,15 @@ def peak_hours(df: DataFrame) -> DataFrame:
 
     ``avg_requests`` keeps the reference's meaning (the total over all days);
     ``avg_per_day`` divides it by the number of distinct dates in the table.
-    That count is a scalar subquery (one small global aggregate), not a join.
+    Both come from one per-(date, hour) aggregate (at most 24 rows per day of
+    log span): the day count is a scalar subquery over it, and its exchange
+    is reused, so the log is scanned once.
     """
     df = ensure_features(df)
-    n_days = df.select(F.count_distinct("date")).scalar()
-    return (df.where(F.col("hour").isNotNull())
-            .groupBy("hour")
-            .agg(F.count(F.lit(1)).alias("avg_requests"))
+    per_date_hour = (df.where(F.col("hour").isNotNull())
+                     .groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n")))
+    n_days = per_date_hour.select(F.count_distinct("date")).scalar()
+    return (per_date_hour.groupBy("hour")
+            .agg(F.sum("n").alias("avg_requests"))
             .withColumn("avg_per_day", F.col("avg_requests") / n_days)
             .orderBy(F.desc("avg_requests"), F.asc("hour")))

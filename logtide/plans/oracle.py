@@ -77,6 +77,9 @@ SELECT count(*) AS total_requests, count(DISTINCT ip) AS unique_ips,
   sum(bytes) / 1073741824 AS total_bytes_gb,
   CAST(count_if(is_server_error) AS BIGINT) AS server_errors
 FROM feat""")
+    s["feature_rates"] = _q("""
+SELECT count(*) AS rows, avg(CAST(is_error AS INTEGER)) * 100 AS error_pct,
+  avg(CAST(is_bot AS INTEGER)) * 100 AS bot_pct FROM feat""")
     s["zscore_anomalies"] = _q(ZSCORE_CTE.format(z=2.0) + """
 SELECT strftime(date, '%Y-%m-%d') AS date, hour, ip, request_count, round_even(window_mean, 9) AS window_mean,
   round_even(window_std, 9) AS window_std, round_even(z_score, 9) AS z_score

@@ -17,12 +17,14 @@ import argparse
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import clients, detectors, errors, summary
+from ..operators import clients, detectors, errors, isolation_forest, summary
 from ..sinks.writers import result_path, write_csv, write_parquet
 from ..sources.load import load_access_log, read_parquet_log
 
-ANALYSES = ("summary", "top_ips", "top_404", "anomalies", "brute_force")
-DEFAULTS = {"top_ips": 20, "top_404": 10, "z_score": 3.0, "window_minutes": 5, "threshold": 20}
+ANALYSES = ("summary", "top_ips", "top_404", "anomalies", "brute_force", "iqr", "isolation_forest",
+            "full_table")
+DEFAULTS = {"top_ips": 20, "top_404": 10, "z_score": 3.0, "window_minutes": 5, "threshold": 20,
+            "contamination": 0.05}
 
 
 def build_results(df: DataFrame, analyses: tuple[str, ...], params: dict) -> dict[str, DataFrame]:
@@ -40,6 +42,12 @@ def build_results(df: DataFrame, analyses: tuple[str, ...], params: dict) -> dic
     if "brute_force" in analyses:
         out["_bruteforce"] = detectors.brute_force(df, window_minutes=p["window_minutes"],
                                                    threshold=p["threshold"])
+    if "iqr" in analyses:
+        out["_iqr_outliers"] = detectors.iqr_outliers(df)
+    if "isolation_forest" in analyses:
+        out["_anomaly_report"] = isolation_forest.isolation_forest(df, contamination=p["contamination"])
+    if "full_table" in analyses:
+        out["_parsed"] = df
     return out
 
 

@@ -101,3 +101,25 @@ def stream_brute_force(parsed: DataFrame, window_minutes: int = 5, threshold: in
     return fails.groupBy("ip").applyInPandasWithState(
         _alert_state_fn(w, int(threshold), int(window_minutes)),
         ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_stream(df: DataFrame, name: str, sink_path: str | None = None, fmt: str = "parquet",
+                 output_mode: str = "append", checkpoint_location: str | None = None,
+                 trigger: dict | None = None):
+    """Start a fault-tolerant streaming query.
+
+    Progress and operator state go to ``checkpoint_location`` (default: a
+    folder named after the query under the session's shared
+    ``spark.checkpoint.dir``), so a restarted query or a lost executor
+    resumes without losing or repeating output for file sinks.
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    location = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    writer = (df.writeStream.queryName(name).outputMode(output_mode)
+              .option("checkpointLocation", location))
+    if trigger:
+        writer = writer.trigger(**trigger)
+    if fmt == "memory":
+        return writer.format("memory").start()
+    return writer.format(fmt).start(sink_path)

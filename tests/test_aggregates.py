@@ -96,3 +96,17 @@ def test_summary_mode_tie_and_floor_days(spark):
     rows2 = [{"timestamp": dt.datetime(2024, 1, 1, 12, 0)}, {"timestamp": dt.datetime(2024, 1, 3, 11, 59)}]
     (s2,) = summary.summary_stats(add_features(make_log(spark, rows2))).collect()
     assert s2.date_range_days == 1
+
+
+def test_feature_rates(spark, mixed_traffic):
+    (r,) = summary.feature_rates(add_features(mixed_traffic)).collect()
+    assert r.rows == 9 and abs(r.error_pct - 500 / 9) < 1e-9 and abs(r.bot_pct - 200 / 9) < 1e-9
+
+
+def test_unicode_space_is_not_a_separator(spark):
+    # Documented divergence: Java regex classes are ASCII, so U+00A0 inside the
+    # line is part of a field rather than a separator.
+    from logtide.sources.raw_log import parse_lines
+    line = '1.2.3.4 - - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5'
+    rows = parse_lines(spark.createDataFrame([(line,)], "value string")).collect()
+    assert rows == []

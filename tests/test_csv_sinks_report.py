@@ -45,10 +45,13 @@ def test_csv_ingest_casts_defaults_and_drops(spark):
         "1.1.1.5,2024-01-15T11:00:00Z,GET,/e,200.5,5,UA,z",
         "1.1.1.6,1705305600,GET,/f,200,5,UA,z",
         "1.1.1.7,2024-01-15T12:00:00Z,GET,/g,500.0,null,UA,w",
+        "1.1.1.8,2024-01-15T12:00:00Z,GET,/h,200,,UA,w",
+        "1.1.1.9,2024-01-15T12:00:00Z,GET,/i,200,None,UA,w",
     ]) + "\n")
     rows = [r.asDict() for r in read_csv_log(spark, p).orderBy("ip").collect()]
-    assert [r["ip"] for r in rows] == ["1.1.1.1", "1.1.1.2", "1.1.1.7"]
-    a, b, g = rows
+    assert [r["ip"] for r in rows] == ["1.1.1.1", "1.1.1.2", "1.1.1.7", "1.1.1.8", "1.1.1.9"]
+    a, b, g = rows[:3]
+    assert rows[3]["bytes"] == 0 and rows[4]["bytes"] == 0
     assert a["timestamp"] == dt.datetime(2024, 1, 15, 8, 0) and a["bytes"] == 0 and a["protocol"] == "HTTP/1.1"
     assert b["bytes"] == 12 and b["user_agent"] is None and b["status"] == 404
     assert g["status"] == 500 and g["bytes"] == 0 and g["extra"] == "w"
@@ -90,6 +93,9 @@ def test_load_dispatch_and_report_job(spark, mixed_traffic):
     assert list(bf.ip) == ["10.0.0.4"]
     out2 = run_report(spark, log, os.path.join(d, "rep2"), (), save_parquet=os.path.join(d, "pq"))
     assert set(out2) == {"_summary"} and os.path.isdir(os.path.join(d, "pq"))
+    out3 = run_report(spark, log, os.path.join(d, "rep3"), ("iqr", "full_table"), fmt="parquet")
+    assert spark.read.parquet(out3["_parsed"]).count() == 9
+    assert set(out3) == {"_iqr_outliers", "_parsed"}
 
 
 def test_write_csv(spark):

@@ -132,3 +132,19 @@ def test_ip_features_match_pandas(spark):
                                  p95_request_gap=("gap", lambda s: s.quantile(0.95))).fillna(0).sort_index()
     for c in want.columns:
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, err_msg=c)
+
+
+def test_one_request_ip_has_zero_std_and_gap(spark):
+    df = add_features(make_log(spark, [{"ip": "solo", "status": 404}]
+                               + [{"ip": "busy", "timestamp": BASE_TS + dt.timedelta(seconds=s)} for s in (0, 10, 30)]))
+    got = {r.ip: r for r in ip_features.ip_feature_matrix(df).collect()}
+    assert got["solo"].status_std == 0 and got["solo"].p95_request_gap == 0 and got["solo"].error_rate == 1.0
+    assert got["busy"].p95_request_gap == pytest.approx(np.percentile([10, 20], 95))
+
+
+def test_hot_ip_gaps_cross_buckets(spark):
+    # one IP spread over many one-minute buckets: boundary gaps must still be exact
+    secs = [0, 50, 61, 200, 201, 500, 1000]
+    df = add_features(make_log(spark, [{"ip": "hot", "timestamp": BASE_TS + dt.timedelta(seconds=s)} for s in secs]))
+    (r,) = ip_features.ip_feature_matrix(df, bucket_seconds=60).collect()
+    assert r.p95_request_gap == pytest.approx(np.percentile(np.diff(secs), 95))

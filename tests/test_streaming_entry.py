@@ -54,6 +54,19 @@ def test_stream_hourly_traffic_emits_closed_windows(spark):
     assert got[0][0] == dt.datetime(2024, 1, 15, 8, 0)
 
 
+def test_start_stream_with_session_checkpoint(spark):
+    from logtide.streaming.live import start_stream
+    src = tempfile.mkdtemp(prefix="logtide-stream-")
+    _write_lines(spark, make_log(spark, [{}, {}, {}]), src, "a.log")
+    name = "lt_started_" + os.path.basename(src).replace("-", "_")
+    q = start_stream(stream_access_log(spark, src), name, fmt="memory", trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert spark.table(name).count() == 3
+    from logtide.session import ensure_checkpoint_dir
+    ckpt = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert os.path.isdir(os.path.join(ckpt, "streams", name))
+
+
 def test_entry_and_registry(spark):
     df = entry.entry(spark)
     rows = df.collect()
