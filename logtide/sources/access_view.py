@@ -36,14 +36,21 @@ BASE_COLUMNS = ("ip", "user", "timestamp", "method", "path", "protocol", "status
                 "bytes", "referrer", "user_agent")
 
 
-def register_events(spark: SparkSession, sf_dir: str) -> None:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+def ensure_utc(spark: SparkSession) -> None:
+    """Access-log time parts are defined in UTC; set the session zone if needed."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def access_log(spark: SparkSession, sf_dir: str, keep_line_id: bool = False) -> DataFrame:
-    """The base access-log table (ten typed columns) over ``events``."""
-    register_events(spark, sf_dir)
-    df = spark.sql(ACCESS_VIEW_SELECT)
+    """The base access-log table (ten typed columns) over ``events``.
+
+    The events DataFrame is bound as a SQL parameter, so no temporary view
+    name is registered in the caller's session.
+    """
+    ensure_utc(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = spark.sql(ACCESS_VIEW_SELECT.replace("FROM events", "FROM {events}"), events=events)
     return df if keep_line_id else df.drop("line_id")
 
 
