@@ -31,16 +31,13 @@ def ip_feature_matrix(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
             .select("ip", "timestamp", "status", "bytes", "path", "is_error", "is_bot",
                     F.floor(F.unix_seconds(ts) / F.lit(int(bucket_seconds))).alias("bucket")))
     in_bucket = Window.partitionBy("ip", "bucket").orderBy("timestamp")
-    whole_bucket = Window.partitionBy("ip", "bucket")
     secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
-    rows = (base.withColumn("prev", F.lag(ts).over(in_bucket))
-            .withColumn("last_ts", F.max(ts).over(whole_bucket))
-            .withColumn("gap", secs(ts, F.col("prev"))))
-    # The first row of each bucket (no predecessor inside it) carries the
-    # bucket's first and last timestamps: one row per (ip, bucket), taken from
-    # the same partitioning, so the input is scanned and shuffled once.
-    buckets = (rows.where(F.col("prev").isNull() & ts.isNotNull())
-               .select("ip", "bucket", ts.alias("first_ts"), "last_ts"))
+    rows = base.withColumn("gap", secs(ts, F.lag(ts).over(in_bucket)))
+    # First and last timestamp of every (ip, bucket): a narrow re-read of two
+    # columns, combined map-side, so only one small row per (ip, bucket) and
+    # partition is shuffled (cheaper than sharing the sorted window output).
+    buckets = (base.where(ts.isNotNull()).groupBy("ip", "bucket")
+               .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")))
     across = Window.partitionBy("ip").orderBy("bucket")
     boundary = (buckets
                 .withColumn("gap", secs(F.col("first_ts"), F.lag("last_ts").over(across)))

@@ -37,6 +37,33 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(total_cores: int = 8000, input_tb: float = 100.0) -> dict[str, str]:
+    """Settings sized for a large cluster (pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions start high (about 3 per core) and AQE coalesces them
+    to ~256 MB each at run time; files are split at 512 MB so a 100 TB scan
+    is ~200k tasks; skewed shuffle partitions are split by AQE; broadcasts
+    stay on AQE's runtime size check (explicit hints are used only for sides
+    with a proven bound). The checkpoint folder must be shared storage and
+    is set by the cluster, not here.
+    """
+    return {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+        "spark.sql.parquet.compression.codec": "snappy",
+        "spark.task.maxFailures": "8",
+        "spark.ui.enabled": "false",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
