@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features, half_even
 from ..functions.fixed_values import AUTH_FAILURE_STATUSES
+from ..functions.stats import exact_stddev_samp
 
 
 def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0) -> DataFrame:
@@ -28,7 +29,7 @@ def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("request_count")))
     stats = (counts.groupBy("date", "hour")
              .agg(F.avg("request_count").alias("window_mean"),
-                  F.stddev_samp("request_count").alias("window_std"))
+                  exact_stddev_samp(F.col("request_count"), wide=True).alias("window_std"))
              .withColumn("window_std", F.greatest(F.coalesce(F.col("window_std"), F.lit(1.0)), F.lit(1.0))))
     z = half_even((F.col("request_count") - F.col("window_mean")) / F.col("window_std"), 3)
     return (counts.join(F.broadcast(stats), ["date", "hour"])
@@ -46,45 +47,45 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     One row per alerting IP: ip, window_end, failures_in_window,
     example_path, window_minutes; most failures first.
 
-    Scale: a RANGE window per IP would put a hot IP in a single task. The
-    failures are therefore split into (ip, time bucket) partitions of width
-    ``bucket_seconds`` (at least the window); each row whose [t, t + window]
-    reaches into the next bucket is copied there as a halo row, so every
-    own row sees its full interval inside its bucket and the counts are
-    exact. Buckets with fewer than ``threshold`` rows (own plus halo) cannot
-    alert and are removed by a left-semi join before the sort. The first
-    alert per IP is a ``min`` over a struct (partial aggregation, no sort).
-    Ties inside a second are broken by timestamp, then path (nulls first).
+    Scale: every row of one second has the same interval, so the failures
+    are first aggregated per (ip, second): a count and the first row of the
+    second (by timestamp, then path with nulls first). That aggregate is
+    combined map-side, so a hot IP costs at most one row per distinct second.
+    The interval sum then runs as a RANGE window over those per-second rows,
+    partitioned by (ip, time bucket) of ``bucket_seconds`` (default one day,
+    at least the window). Seconds whose interval reaches into the next bucket
+    are copied there as halo rows, so sums stay exact. A window partition
+    therefore holds at most ``bucket_seconds`` rows whatever the traffic. The
+    first alerting second per IP is a ``min`` over a struct.
     """
     w = int(window_minutes) * 60
-    width = int(bucket_seconds or max(8 * w, 3600))
+    width = int(bucket_seconds or max(86400, w))
     if width < w:
         raise ValueError("bucket_seconds must be at least the window length")
-    epoch = F.unix_seconds(F.col("timestamp"))
     fails = (df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES)
                       & F.col("ip").isNotNull() & F.col("timestamp").isNotNull())
-             .select("ip", "timestamp", "path", epoch.alias("ts_epoch"))
-             .withColumn("bucket", F.floor(F.col("ts_epoch") / F.lit(width))))
+             .select("ip", "timestamp", "path", F.unix_seconds("timestamp").alias("ts_epoch")))
+    first_row = F.struct("timestamp", F.col("path").isNotNull().alias("has_path"), "path")
+    per_second = (fails.groupBy("ip", "ts_epoch")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(first_row).alias("first"))
+                  .withColumn("bucket", F.floor(F.col("ts_epoch") / F.lit(width))))
     reaches_next = F.col("ts_epoch") >= (F.col("bucket") + 1) * F.lit(width) - F.lit(w)
-    expanded = (fails
+    expanded = (per_second
                 .withColumn("shift", F.explode(F.when(reaches_next, F.array(F.lit(0), F.lit(1)))
                                                .otherwise(F.array(F.lit(0)))))
                 .withColumn("own", F.col("shift") == 0)
                 .withColumn("bucket", F.col("bucket") + F.col("shift"))
                 .drop("shift"))
-    busy = (expanded.groupBy("ip", "bucket").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= F.lit(threshold)).select("ip", "bucket"))
     frame = Window.partitionBy("ip", "bucket").orderBy("ts_epoch").rangeBetween(-w, 0)
-    hits = (expanded.join(busy, ["ip", "bucket"], "left_semi")
-            .withColumn("failures_in_window", F.count(F.lit(1)).over(frame))
+    hits = (expanded
+            .withColumn("failures_in_window", F.sum("n").over(frame))
             .where(F.col("own") & (F.col("failures_in_window") >= F.lit(threshold))))
     first = (hits.groupBy("ip")
-             .agg(F.min(F.struct("ts_epoch", "timestamp", F.col("path").isNotNull().alias("has_path"),
-                                 "path", "failures_in_window")).alias("a")))
+             .agg(F.min(F.struct("ts_epoch", "first", "failures_in_window")).alias("a")))
     return (first.select("ip",
-                         F.col("a.timestamp").alias("window_end"),
+                         F.col("a.first.timestamp").alias("window_end"),
                          F.col("a.failures_in_window").alias("failures_in_window"),
-                         F.col("a.path").alias("example_path"),
+                         F.col("a.first.path").alias("example_path"),
                          F.lit(int(window_minutes)).alias("window_minutes"))
             .orderBy(F.desc("failures_in_window"), F.asc("ip")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features
+from ..functions.stats import exact_stddev_samp
 
 FEATURE_NAMES = ("total_requests", "error_rate", "avg_bytes", "bot_rate",
                  "unique_paths", "status_std", "p95_request_gap")
@@ -17,47 +18,54 @@ def ip_feature_matrix(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     percentile (linear) of the seconds between consecutive requests of the
     IP; missing values become 0.
 
-    Scale: the gap to the previous request needs an ordered scan per IP,
-    which would put a hot IP in one task. Rows are ordered inside (ip, time
-    bucket) partitions instead; the first row of each bucket takes its gap
-    from the latest timestamp of the IP's previous non-empty bucket, which a
-    ``lag`` over the small per-bucket table supplies. Those boundary gaps are
-    unioned with the in-bucket gaps, and one ``groupBy('ip')`` with map-side
-    partial aggregation computes all seven features.
+    Scale (a hot IP may hold a large share of all rows):
+    * the six order-free features are one ``groupBy('ip')`` with map-side
+      partial aggregation;
+    * the gap distribution only depends on the distinct timestamps of an IP
+      and their multiplicities m: sorted distinct timestamps give one gap
+      each, and every repeat adds a gap of 0 (m - 1 times). Requests are
+      therefore first aggregated per (ip, timestamp), map-side, and the
+      percentile takes the multiplicities as frequencies;
+    * the ordered scan over distinct timestamps runs inside (ip, time
+      bucket) windows; the first timestamp of each bucket takes its gap from
+      the last timestamp of the IP's previous non-empty bucket through a
+      ``lag`` over the small per-bucket table. Both read the same exchange.
+    The two per-IP results are joined on ``ip`` (both already hash
+    partitioned by ``ip``).
     """
     df = ensure_features(df)
     ts = F.col("timestamp")
-    base = (df.where(F.col("ip").isNotNull())
-            .select("ip", "timestamp", "status", "bytes", "path", "is_error", "is_bot",
-                    F.floor(F.unix_seconds(ts) / F.lit(int(bucket_seconds))).alias("bucket")))
-    in_bucket = Window.partitionBy("ip", "bucket").orderBy("timestamp")
-    secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
-    rows = base.withColumn("gap", secs(ts, F.lag(ts).over(in_bucket)))
-    # First and last timestamp of every (ip, bucket): a narrow re-read of two
-    # columns, combined map-side, so only one small row per (ip, bucket) and
-    # partition is shuffled (cheaper than sharing the sorted window output).
-    buckets = (base.where(ts.isNotNull()).groupBy("ip", "bucket")
-               .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")))
-    across = Window.partitionBy("ip").orderBy("bucket")
-    boundary = (buckets
-                .withColumn("gap", secs(F.col("first_ts"), F.lag("last_ts").over(across)))
-                .where(F.col("gap").isNotNull())
-                .select("ip", "gap"))
-    real = rows.select("ip", F.lit(1).alias("one"), "status", "bytes", "path",
-                       "is_error", "is_bot", "gap")
-    extra = boundary.select("ip", F.lit(None).cast("int").alias("one"),
-                            F.lit(None).cast("smallint").alias("status"),
-                            F.lit(None).cast("bigint").alias("bytes"),
-                            F.lit(None).cast("string").alias("path"),
-                            F.lit(None).cast("boolean").alias("is_error"),
-                            F.lit(None).cast("boolean").alias("is_bot"), "gap")
-    feats = (real.unionByName(extra, allowMissingColumns=False)
-             .groupBy("ip")
-             .agg(F.count("one").alias("total_requests"),
+    base = df.where(F.col("ip").isNotNull())
+    stats = (base.groupBy("ip")
+             .agg(F.count(F.lit(1)).alias("total_requests"),
                   F.avg(F.col("is_error").cast("double")).alias("error_rate"),
                   F.avg("bytes").alias("avg_bytes"),
                   F.avg(F.col("is_bot").cast("double")).alias("bot_rate"),
                   F.count_distinct("path").alias("unique_paths"),
-                  F.stddev_samp("status").alias("status_std"),
-                  F.percentile("gap", F.lit(0.95)).alias("p95_request_gap")))
-    return feats.fillna(0, subset=list(FEATURE_NAMES))
+                  exact_stddev_samp(F.col("status")).alias("status_std")))
+    secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    per_ts = (base.where(ts.isNotNull()).groupBy("ip", "timestamp")
+              .agg(F.count(F.lit(1)).alias("m"))
+              .withColumn("bucket", F.floor(F.unix_seconds(ts) / F.lit(int(bucket_seconds)))))
+    in_bucket = Window.partitionBy("ip", "bucket").orderBy("timestamp")
+    # Each distinct timestamp contributes its gap to the previous one (weight
+    # 1) and m - 1 zero gaps for its repeats, emitted from the same row.
+    local_gaps = (per_ts.withColumn("prev", F.lag(ts).over(in_bucket))
+                  .select("ip", F.explode(F.array(
+                      F.struct(secs(ts, F.col("prev")).alias("gap"), F.lit(1).cast("bigint").alias("freq")),
+                      F.struct(F.lit(0.0).alias("gap"), (F.col("m") - 1).alias("freq")))).alias("g"))
+                  .select("ip", "g.gap", "g.freq")
+                  .where(F.col("gap").isNotNull() & (F.col("freq") > 0)))
+    buckets = (per_ts.groupBy("ip", "bucket")
+               .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.sum("m").alias("n")))
+    across = Window.partitionBy("ip").orderBy("bucket")
+    boundary_gaps = (buckets
+                     .withColumn("gap", secs(F.col("first_ts"), F.lag("last_ts").over(across)))
+                     .where(F.col("gap").isNotNull())
+                     .select("ip", "gap", F.lit(1).cast("bigint").alias("freq")))
+    p95 = (local_gaps.unionByName(boundary_gaps)
+           .groupBy("ip")
+           .agg(F.percentile("gap", F.lit(0.95), F.col("freq")).alias("p95_request_gap")))
+    return (stats.join(p95, "ip", "left")
+            .select("ip", *FEATURE_NAMES)
+            .fillna(0, subset=list(FEATURE_NAMES)))
