@@ -49,3 +49,17 @@ def test_ip_features_bucket_bounds_are_combined_map_side(spark, q):
 def test_iqr_uses_scalar_subquery_not_join(spark, q):
     p = executed_plan(q["iqr_outliers"](spark, SF))
     assert "Subquery" in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_parquet_source_pushes_filter_and_prunes_columns(spark, tmp_path):
+    from conftest import make_log
+
+    from logtide.operators import errors
+    from logtide.sinks.writers import write_parquet
+    from logtide.sources.load import load_access_log
+    path = str(tmp_path / "log.parquet")
+    write_parquet(make_log(spark, [{"status": 404, "path": "/x"}, {}]), path)
+    p = executed_plan(errors.top_404_paths(load_access_log(spark, path)))
+    scan = [line for line in p.splitlines() if "FileScan parquet" in line][0]
+    assert "EqualTo(status,404)" in scan
+    assert "ReadSchema: struct<path:string,status:smallint>" in scan
