@@ -123,7 +123,12 @@ def fit_forest(feats: DataFrame, n_estimators: int = 200, max_samples: int = 256
         picked = F.filter(trees, lambda t: _uniform_hash(F.col("ip"), t, seed) < F.lit(rate))
         sample = (feats.select("ip", *features, F.explode(picked).alias("tree"))
                   .withColumn("u", _uniform_hash(F.col("ip"), F.col("tree"), seed)))
-        nodes = (sample.groupBy("tree")
+        # The sample is small (about 3*psi*T rows) at any data size, so AQE
+        # would coalesce it into one task; an explicit repartition on the
+        # tree id keeps the trees growing in parallel, and the grouping below
+        # reuses that partitioning (no second shuffle).
+        parallel = max(1, min(n_estimators, feats.sparkSession.sparkContext.defaultParallelism))
+        nodes = (sample.repartition(parallel, "tree").groupBy("tree")
                  .applyInPandas(_tree_builder(psi, seed, features), NODE_SCHEMA)
                  .toPandas())
         sizes = nodes.groupby("tree")["sample_size"].first() if len(nodes) else pd.Series(dtype=int)

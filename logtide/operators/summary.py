@@ -30,7 +30,8 @@ def summary_stats(df: DataFrame) -> DataFrame:
         (F.avg(F.col("is_error").cast("int")) * 100).alias("error_rate"),
         (F.avg(F.col("is_bot").cast("int")) * 100).alias("bot_traffic_pct"),
         F.mode("status", deterministic=True).cast("int").alias("top_status"),
-        (F.sum("bytes") / F.lit(BYTES_PER_GIB)).alias("total_bytes_gb"),
+        # decimal sum: a year of traffic can exceed the 64-bit byte count
+        (F.sum(F.col("bytes").cast("decimal(38,0)")).cast("double") / F.lit(BYTES_PER_GIB)).alias("total_bytes_gb"),
         F.count_if(F.col("is_server_error")).alias("server_errors"),
     )
 
