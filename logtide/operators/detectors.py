@@ -10,7 +10,7 @@ from ..functions.fixed_values import AUTH_FAILURE_STATUSES
 from ..functions.stats import exact_stddev_samp
 
 
-def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0) -> DataFrame:
+def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0, broadcast_stats: bool = True) -> DataFrame:
     """(date, hour, ip) windows whose request count is ``z_threshold`` sample
     standard deviations or more above the mean of that (date, hour).
 
@@ -20,6 +20,9 @@ def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0) -> DataFrame:
     The broadcast side has one row per clock hour present in the log, so its
     size is bounded by the time span (8,784 rows per year), not by traffic
     volume. The counts exchange is reused by both branches.
+    With ``broadcast_stats=False`` the join is left to AQE, which broadcasts
+    only after measuring the stats side at run time (for logs whose time span
+    is too long for the bound above).
     A missing std (one IP in the hour) becomes 1.0 and std is clipped at 1.0;
     z is rounded half-even to 3 decimals before the threshold test.
     """
@@ -32,7 +35,7 @@ def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0) -> DataFrame:
                   exact_stddev_samp(F.col("request_count"), wide=True).alias("window_std"))
              .withColumn("window_std", F.greatest(F.coalesce(F.col("window_std"), F.lit(1.0)), F.lit(1.0))))
     z = half_even((F.col("request_count") - F.col("window_mean")) / F.col("window_std"), 3)
-    return (counts.join(F.broadcast(stats), ["date", "hour"])
+    return (counts.join(F.broadcast(stats) if broadcast_stats else stats, ["date", "hour"])
             .withColumn("z_score", z)
             .where(F.col("z_score") >= F.lit(float(z_threshold)))
             .select("date", "hour", "ip", "request_count", "window_mean", "window_std", "z_score")

@@ -1,9 +1,11 @@
 """Raw Apache Combined log ingest: text files (plain or gzip) to the typed table.
 
-All parsing is JVM-side (``regexp_extract``/``try_*`` casts inside one
-projection); there is no Python per line. Lines are read with
-``spark.read.text``; plain files split by block, gzip files are read whole per
-task (pass ``repartition`` to spread the regex work of a few huge gzip files).
+All parsing is JVM-side: one ``regexp_replace`` per line rewrites a matching
+line to its twelve groups, ``split`` turns them into an array, and ``try_*``
+casts type them, all inside one whole-stage-codegen projection; there is no
+Python per line. Lines are read with ``spark.read.text``; plain files split by
+block, gzip files are read whole per task (pass ``repartition`` to spread the
+regex work of a few huge gzip files).
 """
 
 from __future__ import annotations

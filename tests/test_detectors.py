@@ -148,3 +148,10 @@ def test_hot_ip_gaps_cross_buckets(spark):
     df = add_features(make_log(spark, [{"ip": "hot", "timestamp": BASE_TS + dt.timedelta(seconds=s)} for s in secs]))
     (r,) = ip_features.ip_feature_matrix(df, bucket_seconds=60).collect()
     assert r.p95_request_gap == pytest.approx(np.percentile(np.diff(secs), 95))
+
+
+def test_zscore_without_broadcast_hint_gives_same_rows(spark):
+    f = hot_ip_log(spark)
+    a = detectors.traffic_anomalies(f, 3.0).collect()
+    b = detectors.traffic_anomalies(f, 3.0, broadcast_stats=False).collect()
+    assert a == b and len(a) == 1
