@@ -31,8 +31,10 @@ def add_features(df: DataFrame) -> DataFrame:
     """Add hour, day_of_week, date, five status flags and is_bot.
 
     One narrow projection: stays inside the scan's whole-stage codegen span.
-    The session time zone must be UTC (``hour``/``to_date`` use it).
+    Time parts are UTC: the session time zone is set to UTC if it differs.
     """
+    from ..session import ensure_utc
+    ensure_utc(df.sparkSession)
     ts = F.col("timestamp")
     status = F.col("status")
     return df.withColumns({

@@ -37,6 +37,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Access-log time parts (hour, date, weekday) and zone-less CSV times are
+    defined in UTC; set the session time zone to UTC when it differs."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def cluster_conf(total_cores: int = 8000, input_tb: float = 100.0) -> dict[str, str]:
     """Settings sized for a large cluster (pass to ``SparkSession.builder.config``).
 

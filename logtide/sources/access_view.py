@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_utc
+
 ACCESS_VIEW_SELECT = """
 SELECT event_id AS line_id,
   CASE WHEN hour(ts) IN (3, 4) AND event_id % 2 = 0 THEN '203.0.113.' || CAST(day(ts) % 3 AS STRING)
@@ -36,12 +38,6 @@ BASE_COLUMNS = ("ip", "user", "timestamp", "method", "path", "protocol", "status
                 "bytes", "referrer", "user_agent")
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    """Access-log time parts are defined in UTC; set the session zone if needed."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def access_log(spark: SparkSession, sf_dir: str, keep_line_id: bool = False) -> DataFrame:
     """The base access-log table (ten typed columns) over ``events``.
 

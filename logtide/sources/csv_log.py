@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (CSV_BYTES_AS_ZERO, CSV_COLUMN_ALIASES, CSV_DEFAULTS,
                                       CSV_NULL_TOKENS, CSV_REQUIRED_COLUMNS)
+from ..session import ensure_utc
 from .access_view import BASE_COLUMNS
 from .raw_log import to_long_or_zero
 
@@ -69,6 +70,7 @@ def map_and_cast(raw: DataFrame, timestamp_formats: tuple[str, ...] = DEFAULT_TI
     an integral number that fits smallint; bytes junk is 0; absent standard
     columns get their defaults; nulls inside present columns stay null.
     """
+    ensure_utc(raw.sparkSession)  # zone-less timestamps are read as UTC
     plan = rename_plan(raw.columns)
     named = {plan.get(c, c): F.col(f"`{c}`") for c in raw.columns}
     missing = [c for c in CSV_REQUIRED_COLUMNS if c not in named]

@@ -110,3 +110,13 @@ def test_unicode_space_is_not_a_separator(spark):
     line = '1.2.3.4 - - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5'
     rows = parse_lines(spark.createDataFrame([(line,)], "value string")).collect()
     assert rows == []
+
+
+def test_time_parts_are_utc_whatever_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        f = add_features(make_log(spark, [{"timestamp": dt.datetime(2024, 1, 15, 2, 30)}]))
+        (r,) = f.collect()
+        assert (r.hour, str(r.date), r.day_of_week) == (2, "2024-01-15", "Monday")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
