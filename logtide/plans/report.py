@@ -2,7 +2,7 @@
 
 Usage with spark-submit::
 
-    spark-submit -m logtide.plans.report --input logs/ --pattern '*.log.gz' \\
+    spark-submit scripts/run_report.py --input logs/ --pattern '*.log.gz' \\
         --out /shared/reports/run1 --analyses summary,top_ips,anomalies,brute_force
 
 Every result is written by the executors (no ``collect``). The featured table
