@@ -89,3 +89,14 @@ def test_isolation_forest_properties(spark):
 def test_isolation_forest_too_few_rows(spark):
     out = isolation_forest(add_features(make_log(spark, [{}] * 5)))
     assert out.count() == 0 and "decision_score" in out.columns
+
+
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.93, 1.0])
+def test_exact_quantile_band_path_matches_numpy(spark, monkeypatch, q):
+    import logtide.functions.quantile as quantile_mod
+    monkeypatch.setattr(quantile_mod, "BAND_ROWS", 300)   # force the sketch-and-band path
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.exponential(size=3000), np.full(500, 0.25)])  # ties included
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(6)
+    got = quantile_mod.exact_quantile(df, "v", q, accuracy=200)
+    assert got == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12)
