@@ -28,9 +28,10 @@ ACCESS_LINE_PATTERN = (
     r'(\s+"([^"]*)")?'             # optional "user agent"
 )
 
-# strptime "%d/%b/%Y:%H:%M:%S %z" expressed as Spark datetime patterns; the
-# zone may be written +0000, +00:00 or Z and the day with one or two digits.
-ACCESS_TIME_FORMATS = ("d/MMM/yyyy:HH:mm:ss Z", "d/MMM/yyyy:HH:mm:ss XXX")
+# strptime "%d/%b/%Y:%H:%M:%S %z" expressed as Spark datetime patterns; like
+# strptime, day, hour, minute and second take one or two digits, and the zone
+# may be written +0000, +00:00 or Z.
+ACCESS_TIME_FORMATS = ("d/MMM/yyyy:H:m:s Z", "d/MMM/yyyy:H:m:s XXX")
 
 # Case-insensitive substring signatures of automated clients.
 BOT_SIGNATURES = (

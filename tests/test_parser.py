@@ -82,6 +82,12 @@ def test_zone_forms_and_one_digit_day(spark):
 
 def test_bad_timestamp_row_dropped(spark):
     assert parse(spark, ['1.2.3.4 - - [45/Foo/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5']) == []
+    assert parse(spark, ['1.2.3.4 - - [15/Jan/2024:24:00:00 +0000] "GET / HTTP/1.1" 200 5']) == []
+
+
+def test_one_digit_time_fields_like_strptime(spark):
+    (r,) = parse(spark, ['1.2.3.4 - - [5/Jan/2024:3:4:5 -0100] "GET / HTTP/1.1" 200 5'])
+    assert r["timestamp"] == dt.datetime(2024, 1, 5, 4, 4, 5)
 
 
 def test_bytes_decimal_and_exponent(spark):
