@@ -11,7 +11,8 @@ from .fixed_values import (BOT_SIGNATURES, CATEGORY_CLIENT_ERROR, CATEGORY_REDIR
 FEATURE_COLUMNS = ("hour", "day_of_week", "date", "is_success", "is_redirect",
                    "is_client_error", "is_server_error", "is_error", "is_bot")
 
-BOT_REGEX = "(?i)(" + "|".join(BOT_SIGNATURES) + ")"
+# Unicode-aware case folding, as a case-insensitive Python search does.
+BOT_REGEX = "(?iu)(" + "|".join(BOT_SIGNATURES) + ")"
 
 
 def bot_flag(user_agent: Column) -> Column:

@@ -120,3 +120,14 @@ def test_time_parts_are_utc_whatever_the_session_zone(spark):
         assert (r.hour, str(r.date), r.day_of_week) == (2, "2024-01-15", "Monday")
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_bot_match_folds_case_like_python(spark):
+    import re
+
+    from logtide.functions.features import BOT_REGEX
+    agents = ["ſcrapy/2.0", "GOOGLEBOT", "Mozilla/5.0", "curl/8", "MJ12BOT", "Kelvin-Krawler"]
+    f = add_features(make_log(spark, [{"user_agent": a} for a in agents]))
+    got = [r.is_bot for r in f.orderBy("timestamp").collect()]
+    want = [bool(re.search(BOT_REGEX.replace("(?iu)", ""), a, re.IGNORECASE)) for a in agents]
+    assert got == want
