@@ -24,8 +24,22 @@ PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # by U+0000 (an unmatched optional group contributes ""), so one evaluation
 # replaces twelve ``regexp_extract`` calls. Lines that already contain U+0000
 # take the exact per-group path instead, so the delimiter cannot collide.
+def python_classes(pattern: str) -> str:
+    """The pattern with Python ``str``-regex class semantics in Java syntax.
+
+    Python's ``\\s``, ``\\S`` and ``\\d`` are Unicode-aware, Java's only under
+    ``(?U)``; Python's ``\\s`` also covers U+001C..U+001F (``str.isspace``),
+    which Java's Unicode ``\\s`` does not, so those are added explicitly.
+    """
+    ws = r"\s\x1c-\x1f"
+    return "(?U)" + (pattern.replace(r"\S", "\u0001").replace(r"\s", f"[{ws}]")
+                     .replace("\u0001", f"[^{ws}]"))
+
+
+LINE_PATTERN = python_classes(ACCESS_LINE_PATTERN)
+
 _SEP = "\u0000"
-_WHOLE_LINE = "(?s)" + ACCESS_LINE_PATTERN + ".*$"
+_WHOLE_LINE = "(?s)" + LINE_PATTERN + ".*$"
 _GROUPS_JOINED = _SEP.join(f"${i}" for i in range(1, 13))
 
 
@@ -52,8 +66,8 @@ def joined_groups(line: Column) -> Column:
 
 def line_groups(line: Column, joined: Column) -> Column:
     """array<string> of the twelve groups of a matching line, else null."""
-    exact = F.array(*[F.regexp_extract(line, ACCESS_LINE_PATTERN, i) for i in range(1, 13)])
-    return (F.when(line.contains(_SEP), F.when(line.rlike(ACCESS_LINE_PATTERN), exact))
+    exact = F.array(*[F.regexp_extract(line, LINE_PATTERN, i) for i in range(1, 13)])
+    return (F.when(line.contains(_SEP), F.when(line.rlike(LINE_PATTERN), exact))
             .otherwise(F.when(F.size(joined) == 12, joined)))
 
 

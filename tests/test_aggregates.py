@@ -103,13 +103,26 @@ def test_feature_rates(spark, mixed_traffic):
     assert r.rows == 9 and abs(r.error_pct - 500 / 9) < 1e-9 and abs(r.bot_pct - 200 / 9) < 1e-9
 
 
-def test_unicode_space_is_not_a_separator(spark):
-    # Documented divergence: Java regex classes are ASCII, so U+00A0 inside the
-    # line is part of a field rather than a separator.
+def test_unicode_classes_follow_python(spark):
+    # The line pattern keeps Python's Unicode \\s, \\S and \\d semantics in Java.
+    import re
+
+    from logtide.functions.fixed_values import ACCESS_LINE_PATTERN
     from logtide.sources.raw_log import parse_lines
-    line = '1.2.3.4 - - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5'
-    rows = parse_lines(spark.createDataFrame([(line,)], "value string")).collect()
-    assert rows == []
+    lines = ['1.2.3.1\u00a0- - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5',
+             '1.2.3.2 - - [15/Jan/2024:08:00:00 +0000]\u2003"GET /a HTTP/1.1" 404 7',
+             '1.2.3.3\x1c- - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" 200 5',
+             '1.2.3.4 - - [15/Jan/2024:08:00:00 +0000] "GET / HTTP/1.1" \u0662\u0660\u0660 5',
+             '\u4f60\u597d - - [15/Jan/2024:08:00:00 +0000] "GET /\u00e9 HTTP/1.1" 200 5']
+    got = {r.ip: (r.path, r.status) for r in
+           parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    want = {}
+    for x in lines:
+        m = re.match(ACCESS_LINE_PATTERN, x.strip())
+        if m:
+            status = int(m.group(7)) if m.group(7).isascii() else None
+            want[m.group(1)] = (m.group(5), status)
+    assert got == want and len(want) == 5
 
 
 def test_time_parts_are_utc_whatever_the_session_zone(spark):
