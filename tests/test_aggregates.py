@@ -144,3 +144,11 @@ def test_bot_match_folds_case_like_python(spark):
     got = [r.is_bot for r in f.orderBy("timestamp").collect()]
     want = [bool(re.search(BOT_REGEX.replace("(?iu)", ""), a, re.IGNORECASE)) for a in agents]
     assert got == want
+
+
+def test_summary_approx_distinct_opt_in(spark):
+    rows = [{"ip": f"10.0.{i // 250}.{i % 250}"} for i in range(2000)]
+    f = add_features(make_log(spark, rows))
+    (exact,) = summary.summary_stats(f).collect()
+    (approx,) = summary.summary_stats(f, approx_distinct=True).collect()
+    assert exact.unique_ips == 2000 and abs(approx.unique_ips - 2000) <= 60
