@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features
 from ..functions.fixed_values import AUTH_FAILURE_STATUSES, WEEKDAYS
+from ..session import ensure_utc
 
 
 def error_heatmap(df: DataFrame) -> DataFrame:
@@ -46,6 +47,7 @@ def auth_failure_timeline(df: DataFrame, top_n: int = 5) -> DataFrame:
     The top IPs are a TakeOrderedAndProject of ``top_n`` rows, so the
     broadcast side of the left-semi join is bounded by ``top_n``.
     """
+    ensure_utc(df.sparkSession)  # UTC hour buckets
     fails = df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES) & F.col("ip").isNotNull())
     top = (fails.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("ip")).limit(top_n).select("ip"))

@@ -152,3 +152,12 @@ def test_summary_approx_distinct_opt_in(spark):
     (exact,) = summary.summary_stats(f).collect()
     (approx,) = summary.summary_stats(f, approx_distinct=True).collect()
     assert exact.unique_ips == 2000 and abs(approx.unique_ips - 2000) <= 60
+
+
+def test_hour_buckets_are_utc_in_half_hour_zone(spark, mixed_traffic):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        rows = traffic.hourly_traffic(mixed_traffic).collect()
+        assert [(r.hour_bucket, r.request_count) for r in rows] == [(dt.datetime(2024, 1, 15, 8, 0), 9)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
