@@ -29,9 +29,13 @@ def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso_dates(df: DataFrame) -> DataFrame:
-    """Render DateType columns as ``yyyy-MM-dd`` strings for the cross-engine check."""
-    return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd")
-                           for f in df.schema.fields if isinstance(f.dataType, T.DateType)})
+    """Render DATE columns as ``yyyy-MM-dd`` and TIMESTAMP columns (whole
+    seconds in the test view) as ``yyyy-MM-dd HH:mm:ss`` strings for the
+    cross-engine check, so both engines hand over the same text."""
+    fmt = {T.DateType: "yyyy-MM-dd", T.TimestampType: "yyyy-MM-dd HH:mm:ss",
+           T.TimestampNTZType: "yyyy-MM-dd HH:mm:ss"}
+    return df.withColumns({f.name: F.date_format(f.name, fmt[type(f.dataType)])
+                           for f in df.schema.fields if type(f.dataType) in fmt})
 
 
 def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -47,7 +51,7 @@ def registered_queries() -> dict[str, Query]:
     q["status_distribution"] = lambda s, d: errors.status_distribution(_featured(s, d))
     q["error_summary"] = lambda s, d: errors.error_summary(_featured(s, d))
     q["top_404_paths"] = lambda s, d: errors.top_404_paths(_featured(s, d), n=10)
-    q["hourly_traffic"] = lambda s, d: traffic.hourly_traffic(_featured(s, d))
+    q["hourly_traffic"] = lambda s, d: iso_dates(traffic.hourly_traffic(_featured(s, d)))
     q["daily_traffic"] = lambda s, d: iso_dates(traffic.daily_traffic(_featured(s, d)))
     q["peak_hours"] = lambda s, d: traffic.peak_hours(_featured(s, d))
     q["top_ips"] = lambda s, d: clients.top_ips(_featured(s, d), n=15)
@@ -59,7 +63,8 @@ def registered_queries() -> dict[str, Query]:
     q["feature_rates"] = lambda s, d: summary.feature_rates(_featured(s, d))
     q["zscore_anomalies"] = lambda s, d: iso_dates(round_stats(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0)))
-    q["brute_force"] = lambda s, d: detectors.brute_force(_featured(s, d), window_minutes=60, threshold=5)
+    q["brute_force"] = lambda s, d: iso_dates(detectors.brute_force(_featured(s, d), window_minutes=60,
+                                                                   threshold=5))
     q["iqr_outliers"] = lambda s, d: detectors.iqr_outliers(_featured(s, d))
     q["ip_features"] = lambda s, d: round_stats(ip_features.ip_feature_matrix(_featured(s, d)))
     _register_more(q)
@@ -102,13 +107,13 @@ def aliased_csv_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_more(q: dict[str, Query]) -> None:
-    q["parse_raw_lines"] = lambda s, d: parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS)
+    q["parse_raw_lines"] = lambda s, d: iso_dates(parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS))
     q["parse_quality"] = lambda s, d: parse_quality(quality_lines(s, d))
-    q["csv_alias_ingest"] = lambda s, d: map_and_cast(aliased_csv_frame(s, d))
+    q["csv_alias_ingest"] = lambda s, d: iso_dates(map_and_cast(aliased_csv_frame(s, d)))
     q["column_mapping"] = lambda s, d: profile.column_mapping(aliased_csv_frame(s, d))
     q["error_heatmap"] = lambda s, d: chart_data.error_heatmap(_featured(s, d))
     q["bot_vs_human"] = lambda s, d: chart_data.bot_vs_human(_featured(s, d))
-    q["auth_failure_timeline"] = lambda s, d: chart_data.auth_failure_timeline(_featured(s, d))
+    q["auth_failure_timeline"] = lambda s, d: iso_dates(chart_data.auth_failure_timeline(_featured(s, d)))
     q["anomaly_points"] = lambda s, d: iso_dates(round_stats(chart_data.anomaly_points(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))))
     q["column_profile"] = lambda s, d: profile.column_profile(_featured(s, d))

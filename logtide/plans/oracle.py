@@ -31,7 +31,8 @@ def _q(body: str) -> str:
 
 def oracle_statements() -> dict[str, str]:
     s: dict[str, str] = {}
-    s["features"] = _q("SELECT * EXCLUDE (line_id, date), strftime(date, '%Y-%m-%d') AS date FROM feat")
+    s["features"] = _q("SELECT * EXCLUDE (line_id, date, timestamp), strftime(date, '%Y-%m-%d') AS date, "
+                       "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp FROM feat")
     s["status_distribution"] = _q(f"""
 SELECT status AS status_code, count(*) AS count, {CATEGORY.format(c='status')} AS category
 FROM feat WHERE status IS NOT NULL GROUP BY status ORDER BY status_code""")
@@ -42,7 +43,8 @@ WHERE is_error AND path IS NOT NULL GROUP BY status, path ORDER BY count DESC, s
 SELECT path, count(*) AS count FROM feat WHERE status = 404 AND path IS NOT NULL
 GROUP BY path ORDER BY count DESC, path LIMIT 10""")
     s["hourly_traffic"] = _q("""
-SELECT date_trunc('hour', timestamp) AS hour_bucket, count(*) AS request_count FROM feat
+SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour_bucket, count(*) AS request_count
+FROM feat
 GROUP BY hour_bucket ORDER BY hour_bucket""")
     s["daily_traffic"] = _q("""
 SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS request_count FROM feat GROUP BY date ORDER BY date""")
@@ -91,7 +93,8 @@ cnt AS (SELECT *, count(*) OVER (PARTITION BY ip ORDER BY ts_epoch
   RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS failures_in_window FROM fails),
 hit AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_epoch, timestamp, path NULLS FIRST) AS rn
   FROM cnt WHERE failures_in_window >= 5)
-SELECT ip, timestamp AS window_end, failures_in_window, path AS example_path, 60 AS window_minutes
+SELECT ip, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS window_end, failures_in_window, path AS example_path,
+  60 AS window_minutes
 FROM hit WHERE rn = 1 ORDER BY failures_in_window DESC, ip""")
     s["iqr_outliers"] = _q("""
 , c AS (SELECT ip, count(*) AS total_requests FROM feat WHERE ip IS NOT NULL GROUP BY ip),
@@ -120,7 +123,8 @@ WEEKDAY_CASE = ("CASE day_of_week WHEN 'Monday' THEN 1 WHEN 'Tuesday' THEN 2 WHE
 
 
 def _more(s: dict[str, str]) -> None:
-    base = "ip, user, timestamp, method, path, protocol, status, bytes, referrer, user_agent"
+    base = ("ip, user, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, method, path, protocol, status, "
+            "bytes, referrer, user_agent")
     s["parse_raw_lines"] = _q(f"SELECT {base} FROM access_log")
     s["parse_quality"] = _q("""
 SELECT 'access-' || strftime(timestamp, '%Y-%m-%d') AS source,
@@ -135,7 +139,8 @@ SELECT 'access-' || strftime(timestamp, '%Y-%m-%d') AS source,
     AS parse_pct
 FROM access_log GROUP BY source ORDER BY source""")
     s["csv_alias_ingest"] = _q("""
-SELECT ip, user, timestamp, method, path, 'HTTP/1.1' AS protocol, status, bytes,
+SELECT ip, user, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, method, path, 'HTTP/1.1' AS protocol,
+  status, bytes,
   NULLIF(referrer, '') AS referrer, user_agent, CAST(line_id AS VARCHAR) AS line_id FROM access_log""")
     s["column_mapping"] = _q("""
 SELECT * FROM (VALUES
@@ -166,12 +171,12 @@ UNION ALL SELECT 'Bot Traffic' AS label, CAST(count_if(is_bot) AS BIGINT) AS cou
     s["auth_failure_timeline"] = _q("""
 , fails AS (SELECT * FROM feat WHERE status IN (401, 403) AND ip IS NOT NULL),
 top AS (SELECT ip FROM fails GROUP BY ip ORDER BY count(*) DESC, ip LIMIT 5)
-SELECT date_trunc('hour', timestamp) AS hour_bucket, ip, count(*) AS failures
+SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour_bucket, ip, count(*) AS failures
 FROM fails WHERE ip IN (SELECT ip FROM top) GROUP BY hour_bucket, ip ORDER BY hour_bucket, ip""")
     s["anomaly_points"] = _q(ZSCORE_CTE.format(z=2.0) + """
 SELECT strftime(date, '%Y-%m-%d') AS date, hour, ip, request_count, round_even(window_mean, 9) AS window_mean,
   round_even(window_std, 9) AS window_std, round_even(z_score, 9) AS z_score,
-  CAST(date AS TIMESTAMP) + hour * INTERVAL 1 HOUR AS ts
+  strftime(CAST(date AS TIMESTAMP) + hour * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts
 FROM scored ORDER BY z_score DESC, date, hour, ip""")
     parts = []
     for i, (c, t) in enumerate(FEATURE_TYPES):
