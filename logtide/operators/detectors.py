@@ -55,14 +55,16 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     second (by timestamp, then path with nulls first). That aggregate is
     combined map-side, so a hot IP costs at most one row per distinct second.
     The interval sum then runs as a RANGE window over those per-second rows,
-    partitioned by (ip, time bucket) of ``bucket_seconds`` (default one day,
-    at least the window). Seconds whose interval reaches into the next bucket
-    are copied there as halo rows, so sums stay exact. A window partition
-    therefore holds at most ``bucket_seconds`` rows whatever the traffic. The
-    first alerting second per IP is a ``min`` over a struct.
+    partitioned by (ip, time bucket) of ``bucket_seconds`` (default six hours
+    or four windows, whichever is longer; at least the window). Seconds whose
+    interval reaches into the next bucket are copied there as halo rows (at
+    most window/bucket of them), so sums stay exact. A window partition
+    therefore holds at most ``bucket_seconds`` rows whatever the traffic, and
+    a hot IP's days of activity spread over many tasks. The first alerting
+    second per IP is a ``min`` over a struct.
     """
     w = int(window_minutes) * 60
-    width = int(bucket_seconds or max(86400, w))
+    width = int(bucket_seconds or max(6 * 3600, 4 * w))
     if width < w:
         raise ValueError("bucket_seconds must be at least the window length")
     fails = (df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES)
