@@ -29,9 +29,11 @@ def ip_feature_matrix(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     * the ordered scan over distinct timestamps runs inside (ip, time
       bucket) windows; the first timestamp of each bucket takes its gap from
       the last timestamp of the IP's previous non-empty bucket through a
-      ``lag`` over the small per-bucket table. Both read the same exchange.
-    The two per-IP results are joined on ``ip`` (both already hash
-    partitioned by ``ip``).
+      ``lag`` over the small per-bucket table (first/last timestamp per
+      bucket, which Catalyst computes as a narrow map-side aggregate of
+      ``ip`` and ``timestamp`` only).
+    The two per-IP results are joined on ``ip``; the percentile side has one
+    row per IP with at least two requests, and AQE broadcasts it when small.
     """
     df = ensure_features(df)
     ts = F.col("timestamp")
