@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 BAND_ROWS = 200_000
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -> float | None:
-    """Linear-interpolated ``q`` quantile of the non-null values of ``col``."""
+def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 10000,
+                   n: int | None = None) -> float | None:
+    """Linear-interpolated ``q`` quantile of the non-null values of ``col``.
+
+    ``n`` is the number of non-null values when the caller already knows it
+    (saves one pass over ``df``).
+    """
     v = F.col(col).cast("double")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
+    n = vals.count() if n is None else n
     if n == 0:
         return None
     if n <= BAND_ROWS:

@@ -204,7 +204,7 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
         # The offset search reads the scores several times: score once.
         scored = scored.checkpoint(eager=True)
     offset = exact_quantile(scored.select((-F.col("anomaly_score")).alias("neg_score")),
-                            "neg_score", contamination)
+                            "neg_score", contamination, n=model["n"])  # every IP gets a score
     decision = -F.col("anomaly_score") - F.lit(offset)
     return (scored
             .withColumn("raw_score", F.when(decision < 0, F.lit(-1)).otherwise(F.lit(1)))
