@@ -63,3 +63,17 @@ def test_parquet_source_pushes_filter_and_prunes_columns(spark, tmp_path):
     scan = [line for line in p.splitlines() if "FileScan parquet" in line][0]
     assert "EqualTo(status,404)" in scan
     assert "ReadSchema: struct<path:string,status:smallint>" in scan
+
+
+def test_brute_force_pre_aggregates_per_ip_second_before_shuffling(spark, q):
+    import re
+    p = executed_plan(q["brute_force"](spark, SF)).split("== Initial Plan ==")[0]
+    # the map side combines failures per (ip, second) before the first exchange
+    assert re.search(r"Aggregate\(keys?=\[ip#\d+, ts_epoch#\d+L?\], functions=\[partial_count\(1\)", p)
+    assert re.search(r"Exchange hashpartitioning\(ip#\d+, ts_epoch#\d+L?, ", p)
+
+
+def test_ip_features_pre_aggregate_per_ip_timestamp(spark, q):
+    p = executed_plan(q["ip_features"](spark, SF)).split("== Initial Plan ==")[0]
+    assert any("timestamp" in seg[:60] for seg in p.split("hashpartitioning(ip#")[1:])
+    assert "partial_count(1)" in p
