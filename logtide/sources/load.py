@@ -18,12 +18,15 @@ def read_parquet_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def load_access_log(spark: SparkSession, path: str, fmt: str | None = None,
-                    pattern: str | None = None, features: bool = True) -> DataFrame:
+                    pattern: str | None = None, features: bool = True,
+                    repartition: int | None = None) -> DataFrame:
     """Load ``path`` as an access-log table and add the derived columns.
 
     ``fmt`` is ``csv``, ``parquet`` or ``log``; when omitted it follows the
     suffix (``.csv``, ``.parquet``, anything else is a raw log). A ``pattern``
     reads every matching file of the directory ``path`` as raw logs.
+    ``repartition`` spreads the parse of raw logs over that many tasks (useful
+    for a few large gzip files, which Spark cannot split).
     """
     if fmt is None:
         lower = path.lower().rstrip("/")
@@ -40,7 +43,7 @@ def load_access_log(spark: SparkSession, path: str, fmt: str | None = None,
     elif fmt == "parquet":
         df = read_parquet_log(spark, path)
     elif pattern:
-        df = batch_parse(spark, path, pattern)
+        df = batch_parse(spark, path, pattern, repartition=repartition)
     else:
-        df = parse_log_file(spark, path)
+        df = parse_log_file(spark, path, repartition=repartition)
     return add_features(df) if features else df

@@ -104,3 +104,14 @@ def test_write_csv(spark):
     write_csv(df, os.path.join(d, "x"))
     back = pd.concat(pd.read_csv(x) for x in glob.glob(os.path.join(d, "x", "*.csv")))
     assert sorted(back.ip) == ["a", "b"]
+
+
+def test_load_with_repartition(spark, mixed_traffic):
+    import gzip
+    d = scratch()
+    lines = [r.value for r in render_lines(mixed_traffic).collect()]
+    p = os.path.join(d, "a.log.gz")
+    with gzip.open(p, "wt") as f:
+        f.write("\n".join(lines) + "\n")
+    df = load_access_log(spark, p, repartition=4)
+    assert df.count() == 9 and df.rdd.getNumPartitions() == 4
