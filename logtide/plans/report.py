@@ -54,10 +54,10 @@ def build_results(df: DataFrame, analyses: tuple[str, ...], params: dict) -> dic
 def run_report(spark: SparkSession, input_path: str, out_prefix: str,
                analyses: tuple[str, ...] = (), params: dict | None = None,
                pattern: str | None = None, save_parquet: str | None = None,
-               fmt: str = "csv") -> dict[str, str]:
+               fmt: str = "csv", repartition: int | None = None) -> dict[str, str]:
     """Run the job; returns {suffix: written path}. With no analyses chosen
     the summary is written."""
-    df = load_access_log(spark, input_path, pattern=pattern)
+    df = load_access_log(spark, input_path, pattern=pattern, repartition=repartition)
     if save_parquet:
         write_parquet(df, save_parquet, partition_by="date")
         df = read_parquet_log(spark, save_parquet)
@@ -85,13 +85,16 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("--analyses", default="", help=",".join(ANALYSES))
     ap.add_argument("--save-parquet", default=None)
     ap.add_argument("--format", default="csv", choices=("csv", "parquet"))
+    ap.add_argument("--repartition", type=int, default=None,
+                    help="spread the parse of a few large gzip logs over N tasks")
     for k, v in DEFAULTS.items():
         ap.add_argument("--" + k.replace("_", "-"), type=type(v), default=v)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("logtide-report").getOrCreate()
     params = {k: getattr(a, k) for k in DEFAULTS}
     chosen = tuple(x for x in a.analyses.split(",") if x)
-    return run_report(spark, a.input, a.out, chosen, params, a.pattern, a.save_parquet, a.format)
+    return run_report(spark, a.input, a.out, chosen, params, a.pattern, a.save_parquet, a.format,
+                      a.repartition)
 
 
 if __name__ == "__main__":
