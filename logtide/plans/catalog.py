@@ -28,7 +28,7 @@ def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_features(access_log(spark, sf_dir))
 
 
-def iso_dates(df: DataFrame) -> DataFrame:
+def iso_temporal(df: DataFrame) -> DataFrame:
     """Render DATE columns as ``yyyy-MM-dd`` and TIMESTAMP columns (whole
     seconds in the test view) as ``yyyy-MM-dd HH:mm:ss`` strings for the
     cross-engine check, so both engines hand over the same text."""
@@ -47,12 +47,12 @@ def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def registered_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
-    q["features"] = lambda s, d: iso_dates(_featured(s, d))
+    q["features"] = lambda s, d: iso_temporal(_featured(s, d))
     q["status_distribution"] = lambda s, d: errors.status_distribution(_featured(s, d))
     q["error_summary"] = lambda s, d: errors.error_summary(_featured(s, d))
     q["top_404_paths"] = lambda s, d: errors.top_404_paths(_featured(s, d), n=10)
-    q["hourly_traffic"] = lambda s, d: iso_dates(traffic.hourly_traffic(_featured(s, d)))
-    q["daily_traffic"] = lambda s, d: iso_dates(traffic.daily_traffic(_featured(s, d)))
+    q["hourly_traffic"] = lambda s, d: iso_temporal(traffic.hourly_traffic(_featured(s, d)))
+    q["daily_traffic"] = lambda s, d: iso_temporal(traffic.daily_traffic(_featured(s, d)))
     q["peak_hours"] = lambda s, d: traffic.peak_hours(_featured(s, d))
     q["top_ips"] = lambda s, d: clients.top_ips(_featured(s, d), n=15)
     q["bandwidth"] = lambda s, d: clients.bandwidth_usage(_featured(s, d), n=15)
@@ -61,9 +61,9 @@ def registered_queries() -> dict[str, Query]:
     q["top_endpoints"] = lambda s, d: clients.top_endpoints(_featured(s, d), n=10)
     q["summary_stats"] = lambda s, d: summary.summary_stats(_featured(s, d))
     q["feature_rates"] = lambda s, d: summary.feature_rates(_featured(s, d))
-    q["zscore_anomalies"] = lambda s, d: iso_dates(round_stats(
+    q["zscore_anomalies"] = lambda s, d: iso_temporal(round_stats(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0)))
-    q["brute_force"] = lambda s, d: iso_dates(detectors.brute_force(_featured(s, d), window_minutes=60,
+    q["brute_force"] = lambda s, d: iso_temporal(detectors.brute_force(_featured(s, d), window_minutes=60,
                                                                    threshold=5))
     q["iqr_outliers"] = lambda s, d: detectors.iqr_outliers(_featured(s, d))
     q["ip_features"] = lambda s, d: round_stats(ip_features.ip_feature_matrix(_featured(s, d)))
@@ -107,14 +107,14 @@ def aliased_csv_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_more(q: dict[str, Query]) -> None:
-    q["parse_raw_lines"] = lambda s, d: iso_dates(parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS))
+    q["parse_raw_lines"] = lambda s, d: iso_temporal(parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS))
     q["parse_quality"] = lambda s, d: parse_quality(quality_lines(s, d))
-    q["csv_alias_ingest"] = lambda s, d: iso_dates(map_and_cast(aliased_csv_frame(s, d)))
+    q["csv_alias_ingest"] = lambda s, d: iso_temporal(map_and_cast(aliased_csv_frame(s, d)))
     q["column_mapping"] = lambda s, d: profile.column_mapping(aliased_csv_frame(s, d))
     q["error_heatmap"] = lambda s, d: chart_data.error_heatmap(_featured(s, d))
     q["bot_vs_human"] = lambda s, d: chart_data.bot_vs_human(_featured(s, d))
-    q["auth_failure_timeline"] = lambda s, d: iso_dates(chart_data.auth_failure_timeline(_featured(s, d)))
-    q["anomaly_points"] = lambda s, d: iso_dates(round_stats(chart_data.anomaly_points(
+    q["auth_failure_timeline"] = lambda s, d: iso_temporal(chart_data.auth_failure_timeline(_featured(s, d)))
+    q["anomaly_points"] = lambda s, d: iso_temporal(round_stats(chart_data.anomaly_points(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))))
     q["column_profile"] = lambda s, d: profile.column_profile(_featured(s, d))
     # Not SQL-expressible (random trees): checked by row count here and by
