@@ -59,5 +59,9 @@ def ensure_features(df: DataFrame) -> DataFrame:
 
 
 def half_even(col: Column, digits: int) -> Column:
-    """Round half to even, as pandas ``round`` does."""
-    return F.bround(col.cast("double"), digits)
+    """Round as pandas/numpy ``round`` does: scale by 10**digits, round the
+    scaled double half to even (``rint``), scale back. ``bround`` rounds the
+    decimal expansion instead and differs near ties (0.00015 -> 0.0002,
+    where numpy gives 0.0001)."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(col.cast("double") * scale) / scale

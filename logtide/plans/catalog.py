@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.features import add_features
+from ..functions.features import add_features, half_even
 from ..operators import (chart_data, clients, detectors, errors, ip_features, isolation_forest, profile,
                          summary, traffic)
 from ..sources.access_view import BASE_COLUMNS, access_log, render_lines
@@ -41,7 +41,7 @@ def iso_temporal(df: DataFrame) -> DataFrame:
 def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round sample statistics (std, mean, percentile) half-even to ``digits``
     decimals for the cross-engine check: engines differ in the last bit."""
-    return df.withColumns({f.name: F.bround(f.name, digits)
+    return df.withColumns({f.name: half_even(F.col(f.name), digits)
                            for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
 
 

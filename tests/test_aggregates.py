@@ -161,3 +161,15 @@ def test_hour_buckets_are_utc_in_half_hour_zone(spark, mixed_traffic):
         assert [(r.hour_bucket, r.request_count) for r in rows] == [(dt.datetime(2024, 1, 15, 8, 0), 9)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_half_even_matches_numpy_round(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from logtide.functions.features import half_even
+    vals = [0.00015, 0.125, 2.675, 1.005, 0.0312500001, 1 / 3, 0.015, 0.045, 2.5e-5, 12345.6785, 0.5, 1.5]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for d in (0, 2, 4):
+        got = [r[0] for r in df.select(half_even(F.col("x"), d)).collect()]
+        assert got == [float(np.round(v, d)) for v in vals]
