@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import ensure_features
+from ..functions.features import ensure_features, half_even
 
 BYTES_PER_GIB = 1073741824
 MICROS_PER_DAY = 86400 * 1000000
@@ -48,13 +48,17 @@ def feature_rates(df: DataFrame) -> DataFrame:
 
 
 def summary_report(df: DataFrame) -> DataFrame:
-    """The same KPIs with the display formatting (``12.34%``, ``0.123 GB``)."""
+    """The same KPIs with the display formatting (``12.34%``, ``0.123 GB``).
+
+    Values are rounded half-even first (Java's ``%.2f`` alone rounds ties
+    up, Python's formatting rounds exact ties to even: 0.125 -> "0.12").
+    """
     s = summary_stats(df)
     return s.select(
         "total_requests", "unique_ips", "date_range_days",
-        F.format_string("%.2f%%", "error_rate").alias("error_rate"),
-        F.format_string("%.2f%%", "bot_traffic_pct").alias("bot_traffic_pct"),
+        F.format_string("%.2f%%", half_even(F.col("error_rate"), 2)).alias("error_rate"),
+        F.format_string("%.2f%%", half_even(F.col("bot_traffic_pct"), 2)).alias("bot_traffic_pct"),
         "top_status",
-        F.format_string("%.3f GB", "total_bytes_gb").alias("total_bytes_gb"),
+        F.format_string("%.3f GB", half_even(F.col("total_bytes_gb"), 3)).alias("total_bytes_gb"),
         "server_errors",
     )

@@ -173,3 +173,9 @@ def test_half_even_matches_numpy_round(spark):
     for d in (0, 2, 4):
         got = [r[0] for r in df.select(half_even(F.col("x"), d)).collect()]
         assert got == [float(np.round(v, d)) for v in vals]
+
+
+def test_summary_report_formats_ties_like_python(spark):
+    rows = [{"status": 500}] + [{}] * 799            # error rate 0.125 %
+    (t,) = summary.summary_report(add_features(make_log(spark, rows))).collect()
+    assert t.error_rate == f"{0.125:.2f}%" == "0.12%"
