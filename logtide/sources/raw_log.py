@@ -55,7 +55,12 @@ def to_long_or_zero(text: Column) -> Column:
 
 
 def parse_access_time(text: Column) -> Column:
-    """``10/Oct/2000:13:55:36 -0700`` style text to a UTC timestamp (null if bad)."""
+    """``10/Oct/2000:13:55:36 -0700`` style text to a UTC timestamp (null if bad).
+
+    strptime's ``%d`` also takes a space-padded day (`` 5/Jan/...``); that one
+    leading space is dropped before the Spark patterns are tried.
+    """
+    text = F.regexp_replace(text, r"^ ([1-9]/)", "$1")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in ACCESS_TIME_FORMATS])
 
 
