@@ -115,3 +115,14 @@ def test_load_with_repartition(spark, mixed_traffic):
         f.write("\n".join(lines) + "\n")
     df = load_access_log(spark, p, repartition=4)
     assert df.count() == 9 and df.rdd.getNumPartitions() == 4
+
+
+def test_report_cli_main(spark, mixed_traffic):
+    from logtide.plans.report import main
+    d = scratch()
+    lines = [r.value for r in render_lines(mixed_traffic).collect()]
+    log = write_text(os.path.join(d, "access.log"), "\n".join(lines) + "\n")
+    out = main(["--input", log, "--out", os.path.join(d, "cli"), "--analyses", "top_ips,brute_force",
+                "--threshold", "3", "--repartition", "2", "--format", "parquet"])
+    assert set(out) == {"_top_ips", "_bruteforce"}
+    assert [r.ip for r in spark.read.parquet(out["_bruteforce"]).collect()] == ["10.0.0.4"]
