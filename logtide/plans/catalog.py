@@ -61,6 +61,7 @@ def registered_queries() -> dict[str, Query]:
     q["top_endpoints"] = lambda s, d: clients.top_endpoints(_featured(s, d), n=10)
     q["summary_stats"] = lambda s, d: summary.summary_stats(_featured(s, d))
     q["feature_rates"] = lambda s, d: summary.feature_rates(_featured(s, d))
+    q["summary_report"] = lambda s, d: summary.summary_report(_featured(s, d))
     q["zscore_anomalies"] = lambda s, d: iso_temporal(round_stats(
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0)))
     q["brute_force"] = lambda s, d: iso_temporal(detectors.brute_force(_featured(s, d), window_minutes=60,

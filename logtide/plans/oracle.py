@@ -78,6 +78,16 @@ SELECT count(*) AS total_requests, count(DISTINCT ip) AS unique_ips,
      ORDER BY count(*) DESC, status LIMIT 1) AS top_status,
   sum(bytes) / 1073741824 AS total_bytes_gb,
   CAST(count_if(is_server_error) AS BIGINT) AS server_errors
+FROM feat""")
+    s["summary_report"] = _q("""
+SELECT count(*) AS total_requests, count(DISTINCT ip) AS unique_ips,
+  CAST(floor((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000) AS BIGINT) AS date_range_days,
+  printf('%.2f%%', round_even(avg(CAST(is_error AS INTEGER)) * 100, 2)) AS error_rate,
+  printf('%.2f%%', round_even(avg(CAST(is_bot AS INTEGER)) * 100, 2)) AS bot_traffic_pct,
+  (SELECT CAST(status AS INTEGER) FROM feat WHERE status IS NOT NULL GROUP BY status
+     ORDER BY count(*) DESC, status LIMIT 1) AS top_status,
+  printf('%.3f GB', round_even(sum(bytes) / 1073741824, 3)) AS total_bytes_gb,
+  CAST(count_if(is_server_error) AS BIGINT) AS server_errors
 FROM feat""")
     s["feature_rates"] = _q("""
 SELECT count(*) AS rows, avg(CAST(is_error AS INTEGER)) * 100 AS error_pct,
