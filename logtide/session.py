@@ -89,7 +89,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/object store) "
                            "that all executors can reach")
+    # Local runs only: a scratch folder, registered on the SparkContext (the
+    # spark.checkpoint.dir setting itself cannot change at run time).
     local = tempfile.mkdtemp(prefix="logtide-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return sc.getCheckpointDir() or local
