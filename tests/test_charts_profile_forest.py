@@ -100,3 +100,17 @@ def test_exact_quantile_band_path_matches_numpy(spark, monkeypatch, q):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(6)
     got = quantile_mod.exact_quantile(df, "v", q, accuracy=200)
     assert got == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12)
+
+
+def test_forest_scores_lie_in_unit_interval(spark):
+    from pyspark.sql import types as T
+
+    from logtide.operators import isolation_forest as forest
+    from logtide.operators.ip_features import FEATURE_NAMES, ip_feature_matrix
+    feats = ip_feature_matrix(forest_log(spark))
+    model = forest.fit_forest(feats, n_estimators=30, max_samples=32, seed=7)
+    bc = spark.sparkContext.broadcast(model)
+    schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
+    scores = [r.anomaly_score for r in feats.mapInPandas(forest._scorer(bc, FEATURE_NAMES), schema).collect()]
+    assert len(scores) == 61 and all(0.0 < s < 1.0 for s in scores)
+    assert model["psi"] == 32 and model["max_depth"] == 5
