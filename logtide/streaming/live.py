@@ -34,7 +34,9 @@ def stream_access_log(spark: SparkSession, log_dir: str, pattern: str | None = N
 
 def stream_hourly_traffic(parsed: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Requests per clock hour; a window is emitted (append mode) once the
-    watermark passes its end; rows behind the watermark are dropped."""
+    watermark passes its end. Input rows older than the previous micro-batch's
+    watermark are dropped (Spark's late-event rule), so rows arriving in the
+    same batch that moved the watermark past them can still count."""
     return (parsed.withWatermark("timestamp", watermark)
             .groupBy(F.window("timestamp", "1 hour").alias("w"))
             .agg(F.count(F.lit(1)).alias("request_count"))

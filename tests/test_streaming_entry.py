@@ -74,3 +74,24 @@ def test_entry_and_registry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"isolation_forest"}
+
+
+def test_stream_hourly_traffic_drops_rows_behind_watermark(spark):
+    # Spark filters late rows against the previous batch's watermark, so the
+    # late file is the third micro-batch, after one batch that moved it on.
+    import time
+    src = tempfile.mkdtemp(prefix="logtide-stream-")
+    first = [{"timestamp": BASE_TS + dt.timedelta(minutes=30 * i)} for i in range(8)]      # 08:00 .. 11:30
+    later = [{"timestamp": BASE_TS + dt.timedelta(hours=4, minutes=30 * i)} for i in range(4)]  # 12:00 .. 13:30
+    late = [{"timestamp": BASE_TS + dt.timedelta(minutes=15)}, {"timestamp": BASE_TS - dt.timedelta(hours=5)}]
+    for rows, name in ((first, "a.log"), (later, "b.log"), (late, "c.log")):
+        _write_lines(spark, make_log(spark, rows), src, name)
+    now = time.time()                 # the file source reads the oldest file first
+    for k, name in enumerate(("a.log", "b.log", "c.log")):
+        os.utime(os.path.join(src, name), (now - 300 + 60 * k, now - 300 + 60 * k))
+    name = "lt_late_" + os.path.basename(src).replace("-", "_")
+    _run_to_memory(stream_hourly_traffic(stream_access_log(spark, src, max_files_per_trigger=1),
+                                         watermark="1 hour"), name)
+    got = {r.hour_bucket: r.request_count for r in spark.table(name).collect()}
+    assert got[dt.datetime(2024, 1, 15, 8, 0)] == 2            # the late 08:15 row was dropped
+    assert dt.datetime(2024, 1, 15, 3, 0) not in got            # so was the 03:00 row
