@@ -79,7 +79,10 @@ def _alert_state_fn(window_seconds: int, threshold: int, window_minutes: int):
         newest = max(per_sec)
         per_sec = {k: v for k, v in per_sec.items() if k >= newest - window_seconds}
         state.update((sorted(per_sec), [per_sec[k] for k in sorted(per_sec)], alerted))
-        state.setTimeoutTimestamp((newest + window_seconds) * 1000 + 1)
+        # event-time timeouts must lie after the current watermark (late rows
+        # can make ``newest`` older than it)
+        timeout_ms = (newest + window_seconds) * 1000 + 1
+        state.setTimeoutTimestamp(max(timeout_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out)
     return fn

@@ -95,3 +95,21 @@ def test_stream_hourly_traffic_drops_rows_behind_watermark(spark):
     got = {r.hour_bucket: r.request_count for r in spark.table(name).collect()}
     assert got[dt.datetime(2024, 1, 15, 8, 0)] == 2            # the late 08:15 row was dropped
     assert dt.datetime(2024, 1, 15, 3, 0) not in got            # so was the 03:00 row
+
+
+def test_stream_brute_force_survives_rows_older_than_the_watermark(spark):
+    import time
+    src = tempfile.mkdtemp(prefix="logtide-stream-")
+    a1 = [{"ip": "1.1.1.1", "status": 401, "timestamp": BASE_TS + dt.timedelta(seconds=10 * i)} for i in range(5)]
+    a2 = [{"ip": "1.1.1.1", "status": 401, "timestamp": BASE_TS + dt.timedelta(hours=4, seconds=i)} for i in range(5)]
+    b = [{"ip": "2.2.2.2", "status": 401, "timestamp": BASE_TS + dt.timedelta(hours=1, seconds=i)} for i in range(5)]
+    for rows, name in ((a1, "a.log"), (a2, "b.log"), (b, "c.log")):
+        _write_lines(spark, make_log(spark, rows), src, name)
+    now = time.time()
+    for k, name in enumerate(("a.log", "b.log", "c.log")):
+        os.utime(os.path.join(src, name), (now - 300 + 60 * k, now - 300 + 60 * k))
+    name = "lt_bf_late_" + os.path.basename(src).replace("-", "_")
+    q = _run_to_memory(stream_brute_force(stream_access_log(spark, src, max_files_per_trigger=1), 5, 5), name)
+    assert q.exception() is None
+    got = {r.ip for r in spark.table(name).collect()}
+    assert "1.1.1.1" in got
