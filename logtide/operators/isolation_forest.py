@@ -116,6 +116,8 @@ def fit_forest(feats: DataFrame, n_estimators: int = 200, max_samples: int = 256
                seed: int = 42, features: tuple[str, ...] = FEATURE_NAMES) -> dict:
     """Grow the forest on a (checkpointed) feature matrix; returns numpy arrays."""
     n = feats.count()
+    if n == 0:
+        raise ValueError("no IPs to fit the forest on")
     psi = int(min(max_samples, n))
     rate = min(1.0, 3.0 * psi / max(n, 1))
     while True:
@@ -196,6 +198,8 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
         return spark.createDataFrame([], out_schema)
     ensure_checkpoint_dir(spark)
     feats = feats.checkpoint(eager=True)
+    if feats.isEmpty():                      # e.g. every row has a null IP
+        return spark.createDataFrame([], out_schema)
     model = fit_forest(feats, n_estimators, max_samples, seed)
     bc = spark.sparkContext.broadcast(model)
     scored_schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])

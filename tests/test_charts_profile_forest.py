@@ -114,3 +114,8 @@ def test_forest_scores_lie_in_unit_interval(spark):
     scores = [r.anomaly_score for r in feats.mapInPandas(forest._scorer(bc, FEATURE_NAMES), schema).collect()]
     assert len(scores) == 61 and all(0.0 < s < 1.0 for s in scores)
     assert model["psi"] == 32 and model["max_depth"] == 5
+
+
+def test_isolation_forest_without_ips_is_empty(spark):
+    out = isolation_forest(add_features(make_log(spark, [{"ip": None}] * 12)), n_estimators=5)
+    assert out.count() == 0 and "is_anomaly" in out.columns
