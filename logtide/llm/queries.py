@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
+from . import html_extraction, language_id, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filters, op2_language_id, op4_secret_scans, op5_simhash_near_dedup, op8_quality_rules, op9_sharding, op10_packing)
+    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op8_quality_rules, op9_sharding, op10_packing)
     return {f.__name__: f for f in own}
 
 
