@@ -68,7 +68,7 @@ class ChunkEncoder:
             chunks.append(rest)
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        new = list(set().union(*chunks) - self.known.keys())
+        new = [x for x in set().union(*chunks) if x not in self.known]
         self.known.update(zip(new, self.encode([" " + x for x in new]), strict=True))
         look = self.known.__getitem__
         return [a + b"".join(map(look, rest)) for a, rest in zip(self.encode(heads), chunks, strict=True)]

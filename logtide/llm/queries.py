@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
+from . import decontamination, html_extraction, language_id, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -37,6 +37,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op8_quality_rules, op9_sharding, op10_packing)
+    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op6_decontamination, op8_quality_rules, op9_sharding, op10_packing)
     return {f.__name__: f for f in own}
 
 
