@@ -47,3 +47,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 5 * stutter > n_words OR 10 * lettered < 6 * n_words) AS kept
 FROM judged
 """
+
+OP7 = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+              FROM documents),
+split AS (SELECT id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM docs),
+words AS (SELECT id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS w, len(words) AS m FROM split),
+grams AS (SELECT id, i, m, w AS g1, lag(w) OVER d || ' ' || w AS g2,
+                 lag(w, 2) OVER d || ' ' || lag(w) OVER d || ' ' || w AS g3
+          FROM words WINDOW d AS (PARTITION BY id ORDER BY i)),
+n AS (SELECT count(*) AS n FROM words),
+o1 AS (SELECT id, g1, count(*) AS c FROM grams GROUP BY ALL),
+o2 AS (SELECT id, g2, count(*) AS c FROM grams WHERE g2 IS NOT NULL GROUP BY ALL),
+o3 AS (SELECT id, g3, count(*) AS c FROM grams WHERE g3 IS NOT NULL GROUP BY ALL),
+e1 AS (SELECT id, g1, sum(c) OVER (PARTITION BY g1) - c AS c FROM o1),
+e2 AS (SELECT id, g2, sum(c) OVER (PARTITION BY g2) - c AS c FROM o2),
+e3 AS (SELECT id, g3, sum(c) OVER (PARTITION BY g3) - c AS c FROM o3),
+counted AS (SELECT id, i, m, n - m AS rest, e1.c AS c1, coalesce(e2.c, 0) AS c2, coalesce(e3.c, 0) AS c3
+            FROM grams CROSS JOIN n JOIN e1 USING (id, g1) LEFT JOIN e2 USING (id, g2) LEFT JOIN e3 USING (id, g3)),
+placed AS (SELECT *, lag(c1) OVER d AS p1, lag(c2) OVER d AS p2,
+                  CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used
+           FROM counted WINDOW d AS (PARTITION BY id ORDER BY i)),
+scored AS (SELECT id, used,
+                  round(1e6 * ln(CASE used WHEN 3 THEN c3::DOUBLE / p2::DOUBLE WHEN 2 THEN c2::DOUBLE / p1::DOUBLE
+                                 WHEN 1 THEN c1::DOUBLE / rest::DOUBLE ELSE 1.0::DOUBLE / (rest + 1)::DOUBLE END
+                                 * pow(0.4::DOUBLE, least(i, 3) - greatest(used, 1))))::BIGINT AS micro
+           FROM placed)
+SELECT doc_id, count(used)::BIGINT AS n_words, coalesce(sum(micro), 0)::BIGINT AS log_micro,
+       CASE WHEN count(used) > 0 THEN sum(micro)::DOUBLE / 1e6::DOUBLE / count(used) END AS mean_log,
+       count(*) FILTER (used = 0)::BIGINT AS n_unseen, count(*) FILTER (used = 1)::BIGINT AS n_order1,
+       count(*) FILTER (used = 2)::BIGINT AS n_order2, count(*) FILTER (used = 3)::BIGINT AS n_order3
+FROM docs LEFT JOIN scored USING (id) GROUP BY id, doc_id
+"""

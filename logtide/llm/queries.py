@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
+from . import decontamination, html_extraction, language_id, lm_scoring, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -54,9 +58,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op6_decontamination, op8_quality_rules, op9_sharding, op10_packing)
+    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op6_decontamination, op7_lm_scoring, op8_quality_rules, op9_sharding, op10_packing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": oracle.OP1, "op8_quality_rules": oracle.OP8}
+    return {"op1_url_filters": oracle.OP1, "op7_lm_scoring": oracle.OP7, "op8_quality_rules": oracle.OP8}
