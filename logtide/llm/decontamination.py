@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, fresh_name
+
 WINDOW = 10
 STEPS = 2 * WINDOW
 PASSAGE_WORDS = 64
@@ -271,7 +273,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """keys, item, edits, similarity: every item of which a passage occurs in
     a document within MOST_EDITS, with its closest passage."""
-    from .common import checkpointed
     index = checkpointed(benchmark_index(benchmark, item, item_text))
     names = [f"key_{i}" for i in range(len(keys))]
     stretches = candidate_windows(docs, list(keys), text, key_filter(index))
@@ -306,9 +307,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item.
     Rows are told apart by two hashes of the text, 96 bits together."""
-    one, two = "text_a", "text_b"
-    while {one, two} & set(docs.columns):
-        one, two = one + "_", two + "_"
+    one, two = fresh_name(docs, "text_hash_a"), fresh_name(docs, "text_hash_b")
     marked = docs.withColumns({one: F.xxhash64(text), two: F.hash(text)})
     leaks = find_leaks(marked, benchmark, (one, two), text, item, item_text).select(one, two).distinct()
     return marked.join(leaks, [one, two], "left_anti").drop(one, two)

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import fresh_name
+
 #: Order in which kinds are listed where spans begin together.
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -193,14 +195,9 @@ def redacted(text: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets masked; ``chars``, if there is such a column,
     follows the new length where the text changed."""
-    new = "text_"
-    while new in docs.columns:
-        new += "_"
+    new = fresh_name(docs, "masked_text")
     rows = docs.withColumn(new, redacted(F.col(text)))
-    out = {}
-    for c in docs.columns:
-        out[c] = F.col(new) if c == text else F.col(c)
-        if c == chars and c != text:
-            out[c] = F.when(F.col(new).eqNullSafe(F.col(text)), F.col(c)).otherwise(
-                F.length(new)).cast(docs.schema[c].dataType)
-    return rows.select(*[v.alias(c) for c, v in out.items()])
+    if chars in docs.columns:
+        length = F.when(F.col(new).eqNullSafe(F.col(text)), F.col(chars)).otherwise(F.length(new))
+        rows = rows.withColumn(chars, length.cast(docs.schema[chars].dataType))
+    return rows.withColumn(text, F.col(new)).drop(new)

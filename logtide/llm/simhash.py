@@ -11,8 +11,7 @@ Distinct fingerprints are bucketed by (mask, masked bits). Inside a bucket a
 breadth-first search emits one edge per newly reached fingerprint, never all
 pairs. A bucket above BUCKET_ROWS is first dealt out anew by the same
 construction over the bits its mask leaves free; what remains equal then has
-at most 14 or 15 free bits, so no group exceeds 2^15 fingerprints whatever
-the data. Edges become components by alternating large-star and small-star
+at most 16 free bits, so no group exceeds 2^16 fingerprints whatever the data. Edges become components by alternating large-star and small-star
 rounds, each checkpointed.
 
 Defined results
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import checkpointed, staged
+from .common import checkpointed, fresh_name, staged
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -192,9 +191,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
                   radius: int = RADIUS) -> DataFrame:
     """One row of each component, all columns: that with the smallest key
     (nulls last), then the smallest fingerprint; of rows equal in both, any one."""
-    fp = "fp_"
-    while fp in docs.columns:
-        fp += "_"
+    fp = fresh_name(docs, "fp")
     rows = staged(docs.withColumn(fp, fingerprint(F.col(text), shingle_words)), "fingerprints")
     groups = fingerprint_groups(rows.select(F.col(key).alias("key"), F.col(fp).alias("fp")), radius)
     pick = F.min(F.struct("no_key", "least", F.col("fp").alias("of"), "n")).alias("pick")

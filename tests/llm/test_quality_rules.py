@@ -1,0 +1,67 @@
+import random
+
+from logtide.llm import oracle, quality_rules
+
+from .conftest import rows_of
+
+PROSE = "the quick brown fox jumps over a lazy dog while many other animals watch from the old stone wall today"
+
+
+def texts():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    for n in (0, 1, 7, 8, 9, 19, 20, 60, 400):
+        yield " ".join(rng.choices(words, k=n))
+    run = " ".join(rng.choices(words, k=12))
+    yield f"{run} {PROSE} {run}"
+    yield " ".join(["same"] * 50)
+    yield "\n".join([PROSE, PROSE, "", " ", PROSE + " "])
+    yield PROSE.upper() + " AND MORE OF IT"
+    yield PROSE + " ***" * 5
+    yield "1 2 3 4 " * 10
+    yield "\t\x0b\x0c\r\n \u00a0\u2003 é #*$%&|<>"
+    yield " ".join(words * 300)  # long, every window repeated
+    yield "a b c d e f g h a b c d e f g h i"
+    yield PROSE.replace(" ", "\u00a0") + " x" * 25
+
+
+def test_against_sql_with_null_repeated_and_clashing(spark, docs_of, duck):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(100, None), (None, PROSE), (3, PROSE), (3, PROSE)]
+    df = docs_of(rows)
+    got = quality_rules.measure(df).toPandas()
+    assert rows_of(got) == duck(oracle.OP8, documents=df.select("doc_id", "text").toPandas())
+
+
+def test_brute_repeat_words(spark, docs_of):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices("ab", k=rng.randint(0, 60)))) for i in range(80)]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.measure(docs_of(rows)).collect()}
+    for i, t in rows:
+        w = t.split()
+        grams = [tuple(w[k:k + 8]) for k in range(len(w) - 7)]
+        cover = {j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(k, k + 8)}
+        assert got[i] == len(cover)
+
+
+def test_order_changes_no_verdict(spark, docs_of):
+    df = docs_of([(i, t) for i, t in enumerate(texts())])
+    kept = {r.doc_id for r in quality_rules.measure(df).where("kept").collect()}
+    assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == kept
+    backwards = quality_rules.RULES[::-1]
+    assert {r.doc_id for r in quality_rules.keep_good(df, rules=backwards).collect()} == kept
+    assert quality_rules.keep_good(df).columns == df.columns
+    assert quality_rules.keep_good(df, rules=()).count() == df.count()
+
+
+def test_rules_are_ordered_by_rejection_per_cost():
+    rules = quality_rules.RULES[:3]
+    a, b, c = (r.name for r in rules)
+    got = quality_rules.ordered(rules, [(a, 2.0, 0.1), (b, 0.1, 0.1), (c, 0.1, 0.0)])
+    assert [r.name for r in got] == [b, a, c]
+
+
+def test_empty_table_and_plan(spark, docs_of):
+    assert quality_rules.measure(docs_of([])).count() == 0
+    assert quality_rules.keep_good(docs_of([])).count() == 0
+    plan = quality_rules.measure(docs_of([(1, PROSE)]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
