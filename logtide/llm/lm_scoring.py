@@ -159,6 +159,8 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
             for row in batch.itertuples(index=False):
                 words, lengths = _unpacked(row)
                 for n, _, hashes in ngram_hashes(words, lengths, order):
+                    if not len(hashes):
+                        continue
                     grams, counts = np.unique(hashes, return_counts=True)
                     bucket = np.minimum(grams // width, np.uint64(buckets - 1)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
