@@ -32,10 +32,20 @@ def add_features(df: DataFrame) -> DataFrame:
     """Add hour, day_of_week, date, five status flags and is_bot.
 
     One narrow projection: stays inside the scan's whole-stage codegen span.
-    Time parts are UTC: the session time zone is set to UTC if it differs.
+    Time parts are UTC (the session must be). A column whose name differs from
+    a derived one by case only (``Date``) is kept, as ``Date_raw``.
     """
-    from ..session import ensure_utc
-    ensure_utc(df.sparkSession)
+    taken, names = {c.lower() for c in df.columns}, []
+    for c in df.columns:
+        name = c
+        while c not in FEATURE_COLUMNS and name.lower() in FEATURE_COLUMNS or name != c and name.lower() in taken:
+            name += "_raw"
+        taken.add(name.lower())
+        names.append(name)
+    if names != df.columns:
+        df = df.toDF(*names)
+    from ..session import require_utc
+    require_utc(df.sparkSession)
     ts = F.col("timestamp")
     status = F.col("status")
     return df.withColumns({

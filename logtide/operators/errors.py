@@ -38,8 +38,9 @@ def error_summary(df: DataFrame) -> DataFrame:
 def top_404_paths(df: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` paths answered most often with 404 (path, count).
 
-    The ``status = 404`` predicate reaches the Parquet scan; the top-n is a
-    TakeOrderedAndProject, so no global sort happens.
+    Over a stored table the ``status = 404`` predicate reaches the Parquet scan
+    (not where status is itself computed, as in the registered query's view);
+    the top-n is a TakeOrderedAndProject, so no global sort happens.
     """
     return (df.where((F.col("status") == 404) & F.col("path").isNotNull())
             .groupBy("path")

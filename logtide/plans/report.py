@@ -6,19 +6,24 @@ Usage with spark-submit::
         --out /shared/reports/run1 --analyses summary,top_ips,anomalies,brute_force
 
 Every result is written by the executors (no ``collect``). The featured table
-is either written once as Parquet (``save_parquet``; later analyses then read
-pruned columns from it and a lost executor only re-reads files) or persisted.
+is written once as Parquet, clustered by date: to ``save_parquet`` if that is
+given, else to a folder under ``spark.checkpoint.dir`` that is removed at the
+end. The analyses read pruned columns from it, and a lost executor only means
+rereading files. An enabled analysis without rows still writes its (empty)
+folder.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clients, detectors, errors, isolation_forest, summary
-from ..sinks.writers import result_path, write_csv, write_parquet
+from ..session import ensure_checkpoint_dir
+from ..sinks.writers import remove_folder, result_path, write_csv, write_parquet
 from ..sources.load import load_access_log, read_parquet_log
 
 ANALYSES = ("summary", "top_ips", "top_404", "anomalies", "brute_force", "iqr", "isolation_forest",
@@ -57,23 +62,22 @@ def run_report(spark: SparkSession, input_path: str, out_prefix: str,
                fmt: str = "csv", repartition: int | None = None) -> dict[str, str]:
     """Run the job; returns {suffix: written path}. With no analyses chosen
     the summary is written."""
+    unknown = sorted(set(analyses) - set(ANALYSES))
+    if unknown:
+        raise ValueError(f"unknown analyses {unknown}; there are {', '.join(ANALYSES)}")
     df = load_access_log(spark, input_path, pattern=pattern, repartition=repartition)
-    if save_parquet:
-        write_parquet(df, save_parquet, partition_by="date")
-        df = read_parquet_log(spark, save_parquet)
-        cached = None
-    else:
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        df = cached
+    stage = save_parquet or f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
     written: dict[str, str] = {}
     try:
+        write_parquet(df, stage, partition_by="date")
+        df = read_parquet_log(spark, stage, df.schema)
         for suffix, res in build_results(df, tuple(analyses), params or {}).items():
             path = result_path(out_prefix, suffix)
             (write_csv if fmt == "csv" else write_parquet)(res, path)
             written[suffix] = path
     finally:
-        if cached is not None:
-            cached.unpersist()
+        if stage != save_parquet:
+            remove_folder(spark, stage)
     return written
 
 

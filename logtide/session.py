@@ -28,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
@@ -37,11 +38,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_utc(spark: SparkSession) -> None:
+def require_utc(spark: SparkSession) -> None:
     """Access-log time parts (hour, date, weekday) and zone-less CSV times are
-    defined in UTC; set the session time zone to UTC when it differs."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    defined in UTC. The caller's session is not changed: one with another time
+    zone is refused."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "Z", "UCT", "ETC/GMT", "+00:00"):
+        raise ValueError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
 
 
 def cluster_conf(total_cores: int = 8000, input_tb: float = 100.0) -> dict[str, str]:
@@ -67,6 +70,7 @@ def cluster_conf(total_cores: int = 8000, input_tb: float = 100.0) -> dict[str,
         "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
         "spark.sql.parquet.compression.codec": "snappy",
         "spark.task.maxFailures": "8",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
 

@@ -7,13 +7,23 @@ job idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.csv_text import CSV_TEXT
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | list[str] | None = None,
                   mode: str = "overwrite") -> None:
-    """Snappy Parquet; ``partition_by='date'`` enables partition pruning on reload."""
+    """Snappy Parquet; ``partition_by='date'`` enables partition pruning on reload.
+
+    A partitioned write is first rebalanced on the partition columns: rows of
+    a value meet in few tasks (AQE splits large values and joins small ones by
+    its advisory size), so a value gets few files of that size instead of one
+    per task."""
+    if partition_by:
+        names = [partition_by] if isinstance(partition_by, str) else partition_by
+        df = df.hint("rebalance", *names)
     w = df.write.mode(mode).option("compression", "snappy")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
@@ -33,8 +43,15 @@ def _csv_safe(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row, one directory per result."""
-    _csv_safe(df).write.mode(mode).option("header", "true").csv(path)
+    """RFC 4180 CSV with a header row, one directory per result; nulls and
+    empty strings are both empty cells."""
+    _csv_safe(df).write.mode(mode).options(**CSV_TEXT).option("header", "true").csv(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote for its own use, in whatever store it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def result_path(prefix: str, suffix: str) -> str:

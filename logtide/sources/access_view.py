@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_utc
+from ..session import require_utc
 
 ACCESS_VIEW_SELECT = """
 SELECT event_id AS line_id,
@@ -44,7 +44,7 @@ def access_log(spark: SparkSession, sf_dir: str, keep_line_id: bool = False) ->
     The events DataFrame is bound as a SQL parameter, so no temporary view
     name is registered in the caller's session.
     """
-    ensure_utc(spark)
+    require_utc(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     df = spark.sql(ACCESS_VIEW_SELECT.replace("FROM events", "FROM {events}"), events=events)
     return df if keep_line_id else df.drop("line_id")

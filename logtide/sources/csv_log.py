@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.csv_text import CSV_TEXT
+from ..functions.features import FEATURE_COLUMNS
 from ..functions.fixed_values import (CSV_BYTES_AS_ZERO, CSV_COLUMN_ALIASES, CSV_DEFAULTS,
                                       CSV_NULL_TOKENS, CSV_REQUIRED_COLUMNS)
-from ..session import ensure_utc
+from ..session import require_utc
 from .access_view import BASE_COLUMNS
 from .raw_log import to_long_or_zero
 
@@ -31,25 +33,38 @@ DEFAULT_TIMESTAMP_FORMATS = (
 
 
 def rename_plan(columns: list[str]) -> dict[str, str]:
-    """Raw column -> standard name. Header match is case-insensitive after
-    stripping; alias order is priority; a standard name already present
-    exactly wins; a raw column is claimed at most once."""
-    by_lower: dict[str, str] = {}
-    for c in columns:
-        by_lower[c.lower().strip()] = c
-    plan: dict[str, str] = {}
-    present = set(columns)
-    for std, aliases in CSV_COLUMN_ALIASES.items():
-        if std in present:
-            continue
-        for alias in aliases:
-            raw = by_lower.get(alias.lower())
-            if raw is not None and raw not in plan and raw not in CSV_COLUMN_ALIASES:
-                plan[raw] = std
-                break
+    """Raw column -> standard name.
+
+    Headers are compared without case and outer blanks (of equal ones the last
+    counts). A standard name that is there as such stays; any other standard
+    column takes the header that stands first in its alias list, unless that
+    header is itself a standard name or already taken.
+    """
+    free = {c.strip().lower(): c for c in columns}
+    free = {header: c for header, c in free.items() if c not in CSV_COLUMN_ALIASES}
+    plan = {}
+    for std in (x for x in CSV_COLUMN_ALIASES if x not in columns):
+        header = next((a.lower() for a in CSV_COLUMN_ALIASES[std] if a.lower() in free), None)
+        if header is not None:
+            plan[free.pop(header)] = std
     return plan
 
 
+def other_names(columns: list[str], taken: tuple[str, ...]) -> dict[str, str]:
+    """Names for the columns that pass through: their own, or with ``_raw``
+    added as often as it takes to differ, whatever the case, from the standard
+    and derived columns and from one another."""
+    used = {x.lower() for x in taken}
+    names = {}
+    for c in columns:
+        name = c
+        while name.lower() in used:
+            name += "_raw"
+        used.add(name.lower())
+        names[c] = name
+    return names
+
+
 def _nullify_tokens(c: Column) -> Column:
     return F.when(c.isin(*CSV_NULL_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
@@ -68,48 +83,45 @@ def map_and_cast(raw: DataFrame, timestamp_formats: tuple[str, ...] = DEFAULT_TI
 
     Rows with an unparseable timestamp or status are dropped; status must be
     an integral number that fits smallint; bytes junk is 0; absent standard
-    columns get their defaults; nulls inside present columns stay null.
+    columns get their defaults; nulls inside present columns stay null. Other
+    columns keep their name unless it clashes (see ``other_names``).
     """
-    ensure_utc(raw.sparkSession)  # zone-less timestamps are read as UTC
+    require_utc(raw.sparkSession)  # zone-less timestamps are read as UTC
     plan = rename_plan(raw.columns)
-    named = {plan.get(c, c): F.col(f"`{c}`") for c in raw.columns}
-    missing = [c for c in CSV_REQUIRED_COLUMNS if c not in named]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`").cast("string") for c in raw.columns}
+    standard = {plan.get(c, c): quoted[c] for c in raw.columns if c in plan or c in BASE_COLUMNS}
+    missing = sorted(set(CSV_REQUIRED_COLUMNS) - set(standard))
     if missing:
-        raise ValueError(f"CSV is missing required columns after mapping: {set(missing)}. "
-                         f"Found columns: {list(named)}")
-    cols = {k: _nullify_tokens(v.cast("string")) for k, v in named.items()}
-    status_num = cols["status"].try_cast("double")
-    status_small = status_num.try_cast("smallint")
-    status = F.when(status_small.cast("double") == status_num, status_small)
-    if "bytes" in cols:
-        raw_bytes = named["bytes"].cast("string")
-        bytes_col = F.when(raw_bytes.isNull() | raw_bytes.isin(*CSV_BYTES_AS_ZERO), F.lit(0).cast("bigint")) \
-            .otherwise(to_long_or_zero(raw_bytes))
-    else:
-        bytes_col = F.lit(0).cast("bigint")
-    typed = {
-        "ip": cols.get("ip"), "user": cols.get("user"),
-        "timestamp": parse_csv_timestamp(cols["timestamp"], timestamp_formats),
-        "method": cols.get("method"), "path": cols.get("path"), "protocol": cols.get("protocol"),
-        "status": status, "bytes": bytes_col,
-        "referrer": cols.get("referrer"), "user_agent": cols.get("user_agent"),
-    }
-    out = []
-    for name in BASE_COLUMNS:
-        c = typed[name]
-        if c is None:
-            c = F.lit(CSV_DEFAULTS.get(name)).cast("string")
-        out.append(c.alias(name))
-    others = [cols[k].alias(k) for k in cols if k not in BASE_COLUMNS]
-    return (raw.select(*out, *others)
+        raise ValueError(f"no column of the CSV can serve as {' or '.join(missing)} (its header: {', '.join(raw.columns)})")
+    text = {name: _nullify_tokens(c) for name, c in standard.items()}
+    number = text["status"].try_cast("double")
+    small = number.try_cast("smallint")
+    typed = {"timestamp": parse_csv_timestamp(text["timestamp"], timestamp_formats),
+             "status": F.when(small.cast("double") == number, small), "bytes": F.lit(0).cast("bigint")}
+    if "bytes" in standard:
+        size = standard["bytes"]
+        typed["bytes"] = F.when(size.isNull() | size.isin(*CSV_BYTES_AS_ZERO), F.lit(0).cast("bigint")).otherwise(
+            to_long_or_zero(size))
+    row = [typed.get(name, text.get(name, F.lit(CSV_DEFAULTS.get(name)).cast("string"))).alias(name)
+           for name in BASE_COLUMNS]
+    others = other_names([c for c in raw.columns if plan.get(c, c) not in BASE_COLUMNS], BASE_COLUMNS + FEATURE_COLUMNS)
+    row += [_nullify_tokens(quoted[c]).alias(name) for c, name in others.items()]
+    # Through a generator, so that the filter is not pushed below the parse,
+    # which would evaluate it twice a row.
+    return (raw.select(F.inline(F.array(F.struct(*row))))
             .where(F.col("timestamp").isNotNull() & F.col("status").isNotNull()))
 
 
 def read_csv_log(spark: SparkSession, path: str | list[str],
-                 timestamp_formats: tuple[str, ...] = DEFAULT_TIMESTAMP_FORMATS) -> DataFrame:
-    """CSV file(s) with a header row, all cells read as strings, then mapped."""
-    raw = (spark.read.option("header", "true").option("inferSchema", "false")
-           .option("mode", "PERMISSIVE").csv(path))
+                 timestamp_formats: tuple[str, ...] = DEFAULT_TIMESTAMP_FORMATS, multi_line: bool = True) -> DataFrame:
+    """CSV file(s) with a header row, all cells read as strings, then mapped.
+
+    ``multi_line`` allows line breaks inside quoted cells; Spark then reads
+    each file in one task. Without such cells, ``multi_line=False`` lets large
+    files be split.
+    """
+    raw = (spark.read.options(**CSV_TEXT).option("header", "true").option("inferSchema", "false")
+           .option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE").csv(path))
     return map_and_cast(raw, timestamp_formats)
 
 

@@ -10,6 +10,9 @@ regex work of a few huge gzip files).
 
 from __future__ import annotations
 
+import logging
+from fnmatch import fnmatchcase
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,19 +151,56 @@ def parse_quality(lines: DataFrame, source_col: str = "source", value_col: str =
             .orderBy(source_col))
 
 
+def _matching(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that a Hadoop glob matches, hidden ones included."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
+def _refuse_hidden(spark: SparkSession, paths: list[str], pattern: str | None) -> None:
+    """Spark's readers pass over names that begin with ``_`` or ``.`` without a
+    word; a log that would be lost that way is an error instead."""
+    if pattern is None:
+        hidden = [p for p in paths if p.rstrip("/").rsplit("/", 1)[-1][:1] in ("_", ".")]
+    else:
+        *folders, name = pattern.split("/")
+        hidden = []
+        for p in paths:
+            base = p.rstrip("/")
+            for depth in range(len(folders)):  # folders that the pattern names or matches
+                found = _matching(spark, "/".join([base, *folders[:depth], "[_.]*"]))
+                hidden += [x for x in found if fnmatchcase(x.rsplit("/", 1)[-1], folders[depth])]
+            found = _matching(spark, "/".join([base, *folders, "[_.]*"]))
+            hidden += [x for x in found if fnmatchcase(x.rsplit("/", 1)[-1], name)]
+    if hidden:
+        raise ValueError(f"Spark does not read files or folders whose name begins with '_' or '.': {sorted(hidden)[:20]}. "
+                         "Rename them, or give a pattern that leaves them out (such as '[!_.]*.log').")
+
+
 def read_log_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None,
-                   repartition: int | None = None, skip_corrupt: bool = False) -> DataFrame:
-    """Raw lines (``value``) with their file (``source``); gzip by extension."""
+                   repartition: int | None = None) -> DataFrame:
+    """Raw lines (``value``) with their file (``source``); gzip by extension.
+
+    ``pattern`` names files inside the folder ``path``; it may hold folders
+    (``2024-*/*.log``) but not ``**``. A file that cannot be read to its end
+    fails the query; a name that Spark would pass over is refused.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if pattern and "**" in pattern.split("/"):
+        raise ValueError(f"'**' is not supported in a pattern ('{pattern}'): name the folders, as in '*/*.log'")
+    _refuse_hidden(spark, paths, pattern)
     reader = spark.read.format("text")
+    if pattern and "/" in pattern:
+        folder, pattern = pattern.rsplit("/", 1)
+        paths = [f"{p.rstrip('/')}/{folder}" for p in paths]
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    if skip_corrupt:
-        reader = reader.option("ignoreCorruptFiles", "true")
+        reader = reader.option("pathGlobFilter", pattern.replace("[!", "[^"))
     try:
-        df = reader.load(path)
+        df = reader.load(paths)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise FileNotFoundError(f"Log file not found: {path}") from exc
+            raise FileNotFoundError(f"no such log: {', '.join(paths)}") from exc
         raise
     df = df.select("value", F.col("_metadata.file_path").alias("source"))
     if repartition:
@@ -168,37 +208,80 @@ def read_log_lines(spark: SparkSession, path: str | list[str], pattern: str | No
     return df
 
 
+def unreadable_files(spark: SparkSession, files: list[str]) -> list[tuple[str, str]]:
+    """(file, reason) of the files that cannot be read to their end.
+
+    All files are read in one job; only where that fails are they halved, so
+    k faulty files among n take about k log2(n) jobs, on the executors.
+    """
+    if not files:
+        return []
+    try:
+        spark.read.text(files).agg(F.sum(F.length("value"))).collect()
+        return []
+    except Exception as exc:  # noqa: BLE001 - told apart below
+        text = str(exc)
+        if "FAILED_READ_FILE" not in text:
+            raise
+        if len(files) == 1:
+            cause = [x.strip() for x in text.splitlines() if x.startswith("Caused by:") or "Exception:" in x]
+            return [(files[0], (cause or text.splitlines())[-1][:300])]
+    half = len(files) // 2
+    return unreadable_files(spark, files[:half]) + unreadable_files(spark, files[half:])
+
+
+def _typed(raw: DataFrame, check: bool, nothing: str, repartition: int | None) -> DataFrame:
+    """The typed table. ``check`` raises if no line matches: a ``limit 1``
+    probe on the unshuffled read. A log whose lines match but whose times are
+    all bad is an empty table."""
+    if check and split_lines(raw).where("matched").isEmpty():
+        raise ValueError(nothing)
+    lines = raw.repartition(repartition) if repartition else raw
+    return parse_lines(lines).select(*BASE_COLUMNS)
+
+
 def parse_log_file(spark: SparkSession, path: str, check: bool = True,
                    repartition: int | None = None) -> DataFrame:
     """Typed table of one log file (plain or ``.gz``).
 
     Raises FileNotFoundError for a missing path and, when ``check``, a
-    ValueError if no line matches (a ``limit 1`` probe on the unshuffled
-    read, not a full count).
+    ValueError if no line matches.
     """
-    raw = read_log_lines(spark, path)
-    if check and parse_lines(raw).isEmpty():
-        raise ValueError(f"No valid Apache log lines found in '{path}'. "
-                         "Check the file format: expected Apache Combined Log Format.")
-    lines = raw.repartition(repartition) if repartition else raw
-    return parse_lines(lines).select(*BASE_COLUMNS)
+    return _typed(read_log_lines(spark, path), check,
+                  f"No valid Apache log lines found in '{path}': no line has the Combined layout", repartition)
 
 
 def batch_parse(spark: SparkSession, log_dir: str, pattern: str = "*.log",
                 check: bool = True, repartition: int | None = None) -> DataFrame:
-    """All files of ``log_dir`` matching ``pattern`` (not recursive) in one scan.
-
-    A file without valid lines adds no rows and an unreadable (corrupt)
-    file is skipped. Raises FileNotFoundError if no file matches and, when
-    ``check``, ValueError if no line of any file matches. Both checks are
-    ``limit 1`` probes on the unshuffled read; the file list is consulted
-    only when nothing was read, so a directory of millions of files is
-    never copied into Python.
+    """All files of ``log_dir`` matching ``pattern`` in one scan.
+
+    A file without valid lines adds no rows; an unreadable file fails the
+    query (see ``batch_parse_readable``). Raises FileNotFoundError if no file
+    matches and, when ``check``, ValueError if no line of any file matches.
+    The file list is consulted only when nothing was read, so a folder of
+    millions of files is never copied into Python.
     """
-    raw = read_log_lines(spark, log_dir, pattern=pattern, skip_corrupt=True)
+    raw = read_log_lines(spark, log_dir, pattern)
     if raw.isEmpty() and not raw.inputFiles():
-        raise FileNotFoundError(f"No files matching '{pattern}' found in: {log_dir}")
-    if check and parse_lines(raw).isEmpty():
-        raise ValueError("No files were successfully parsed.")
-    lines = raw.repartition(repartition) if repartition else raw
-    return parse_lines(lines).select(*BASE_COLUMNS)
+        raise FileNotFoundError(f"'{log_dir}' has no file like '{pattern}'")
+    return _typed(raw, check, f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'", repartition)
+
+
+def batch_parse_readable(spark: SparkSession, log_dir: str, pattern: str = "*.log", check: bool = True,
+                         repartition: int | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``batch_parse`` of the readable files, and (file, reason) of the others.
+
+    An unreadable file is left out whole, none of its lines are used. The
+    files are read once more than in ``batch_parse`` to find them.
+    """
+    files = sorted(read_log_lines(spark, log_dir, pattern).inputFiles())
+    if not files:
+        raise FileNotFoundError(f"'{log_dir}' has no file like '{pattern}'")
+    skipped = unreadable_files(spark, files)
+    for name, reason in skipped:
+        logging.getLogger(__name__).warning("left out %s: %s", name, reason)
+    left = sorted(set(files) - {name for name, _ in skipped})
+    if not left:
+        raise ValueError(f"none of the files '{pattern}' of '{log_dir}' can be read: {skipped[:5]}")
+    return _typed(read_log_lines(spark, left), check,
+                  f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'", repartition), skipped

@@ -126,3 +126,66 @@ def test_report_cli_main(spark, mixed_traffic):
                 "--threshold", "3", "--repartition", "2", "--format", "parquet"])
     assert set(out) == {"_top_ips", "_bruteforce"}
     assert [r.ip for r in spark.read.parquet(out["_bruteforce"]).collect()] == ["10.0.0.4"]
+
+
+def test_csv_quoting_as_rfc_4180(spark):
+    d = scratch()
+    p = write_text(os.path.join(d, "q.csv"), "time,status,size,ua,note\n"
+                   '2024-01-15T08:00:00Z,200,5,"Moz ""x"", like Gecko",a\n'
+                   '2024-01-15T08:00:01Z,200,6,"two\nlines", edge \n')
+    rows = read_csv_log(spark, p).orderBy("timestamp").collect()
+    assert [(r.user_agent, r.bytes, r.note) for r in rows] == [('Moz "x", like Gecko', 5, "a"), ("two\nlines", 6, " edge ")]
+    plain = write_text(os.path.join(d, "p.csv"), 'time,status,ua\n2024-01-15T08:00:00Z,200,"a,b"\n')
+    assert [r.user_agent for r in read_csv_log(spark, plain, multi_line=False).collect()] == ["a,b"]
+
+
+def test_written_csv_reads_back_the_same(spark):
+    d = scratch()
+    cells = [" lead trail ", 'say "hi"', "a,b", "two\nlines", "back\\slash", "plain", "é", '"']
+    df = spark.createDataFrame([(i, c, None) for i, c in enumerate(cells)], "i int, c string, n string").coalesce(1)
+    write_csv(df, os.path.join(d, "x"))
+    back = pd.concat(pd.read_csv(x) for x in glob.glob(os.path.join(d, "x", "*.csv"))).sort_values("i")
+    assert list(back.c) == cells and back.n.isna().all()
+
+
+def test_csv_columns_that_clash_are_kept(spark):
+    d = scratch()
+    p = write_text(os.path.join(d, "c.csv"), "Time,Status,Protocol,Date,Hour,is_bot,URL\n"
+                   "2024-01-15T08:00:00Z,200,SPDY,1999,99,maybe,/a\n")
+    df = add_features(read_csv_log(spark, p))
+    (r,) = df.select("protocol", "Protocol_raw", "date", "Date_raw", "hour", "Hour_raw", "is_bot", "is_bot_raw").collect()
+    assert tuple(r) == ("HTTP/1.1", "SPDY", dt.date(2024, 1, 15), "1999", 8, "99", False, "maybe")
+    write_parquet(df, os.path.join(d, "pq"), partition_by="date")
+    assert read_parquet_log(spark, os.path.join(d, "pq")).count() == 1
+
+
+def test_features_keep_a_column_that_differs_by_case(spark):
+    df = make_log(spark, [{}]).selectExpr("*", "'mine' AS Date", "7 AS HOUR")
+    (r,) = add_features(df).select("date", "Date_raw", "hour", "HOUR_raw").collect()
+    assert tuple(r) == (dt.date(2024, 1, 15), "mine", 8, 7)
+
+
+@pytest.mark.parametrize(("header", "named"), [("url,status", "timestamp"), ("time,url", "status"), ("url,ua", "status")])
+def test_csv_missing_required_columns(spark, header, named):
+    p = write_text(os.path.join(scratch(), "m.csv"), header + "\nx,y\n")
+    with pytest.raises(ValueError, match=named):
+        read_csv_log(spark, p)
+
+
+def test_report_refuses_unknown_analyses_and_cleans_its_stage(spark, mixed_traffic):
+    d = scratch()
+    log = write_text(os.path.join(d, "a.log"), "\n".join(r.value for r in render_lines(mixed_traffic).collect()) + "\n")
+    with pytest.raises(ValueError, match="top_ip"):
+        run_report(spark, log, os.path.join(d, "r"), ("top_ip",))
+    stage = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(stage + "/report-*"))
+    assert set(run_report(spark, log, os.path.join(d, "r"), ("top_ips",))) == {"_top_ips"}
+    assert set(glob.glob(stage + "/report-*")) == before
+
+
+def test_partitioned_parquet_has_few_files(spark):
+    d = scratch()
+    rows = [{"timestamp": dt.datetime(2024, 1, 1 + i % 3, 8)} for i in range(300)]
+    df = add_features(make_log(spark, rows)).repartition(16)
+    write_parquet(df, os.path.join(d, "t"), partition_by="date")
+    assert all(len(glob.glob(x + "/*.parquet")) == 1 for x in glob.glob(os.path.join(d, "t", "date=*")))

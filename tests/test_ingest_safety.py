@@ -1,0 +1,92 @@
+"""No line, file or column is lost without notice."""
+
+import gzip
+import os
+
+import pytest
+
+from logtide.sources.raw_log import batch_parse, batch_parse_readable, parse_log_file
+
+LINE = '10.9.8.{} - - [15/Jan/2024:08:00:00 +0000] "GET /p{} HTTP/1.1" 200 5'
+
+
+def lines(n):
+    return "".join(LINE.format(i % 250, i) + "\n" for i in range(n))
+
+
+def write(folder, name, text):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    opener = gzip.open if name.endswith(".gz") else open
+    with opener(path, "wt") as f:
+        f.write(text)
+    return path
+
+
+@pytest.fixture()
+def faulty(tmp_path):
+    folder = str(tmp_path)
+    write(folder, "good.log.gz", lines(3))
+    cut = write(folder, "cut.log.gz", lines(50_000))
+    data = open(cut, "rb").read()
+    open(cut, "wb").write(data[:len(data) // 2])
+    with open(os.path.join(folder, "plain.log.gz"), "w") as f:
+        f.write(lines(2))
+    return folder
+
+
+def test_unreadable_files_fail_by_default(spark, faulty):
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        batch_parse(spark, faulty, "*.gz", check=False).count()
+
+
+def test_unreadable_files_are_left_out_whole_and_named(spark, faulty):
+    table, skipped = batch_parse_readable(spark, faulty, "*.gz")
+    assert table.count() == 3
+    assert sorted(os.path.basename(name) for name, _ in skipped) == ["cut.log.gz", "plain.log.gz"]
+    assert all(reason for _, reason in skipped)
+
+
+def test_hidden_names_are_refused(spark, tmp_path):
+    folder = str(tmp_path)
+    hidden = write(folder, "_a.log", lines(1))
+    write(folder, "b.log", lines(2))
+    with pytest.raises(ValueError, match="_a.log"):
+        batch_parse(spark, folder, "*.log")
+    with pytest.raises(ValueError, match="_a.log"):
+        parse_log_file(spark, hidden)
+    assert batch_parse(spark, folder, "[!_.]*.log").count() == 2
+    write(folder, ".c.txt", lines(1))
+    with pytest.raises(ValueError, match="c.txt"):
+        batch_parse(spark, folder, "*.txt")
+
+
+def test_matching_lines_with_bad_times_are_an_empty_table(spark, tmp_path):
+    path = write(str(tmp_path), "x.log", LINE.format(1, 1).replace("15/Jan", "45/Foo") + "\n")
+    assert parse_log_file(spark, path).count() == 0
+    assert batch_parse(spark, str(tmp_path)).count() == 0
+
+
+def test_folder_patterns(spark, tmp_path):
+    folder = str(tmp_path)
+    write(folder, "2024/a.log", lines(2))
+    write(folder, "2025/b.log", lines(3))
+    write(folder, "2025/c.txt", lines(3))
+    assert batch_parse(spark, folder, "*/*.log").count() == 5
+    assert batch_parse(spark, folder, "2025/*.log").count() == 3
+    with pytest.raises(ValueError, match="not supported"):
+        batch_parse(spark, folder, "**/*.log")
+    write(folder, "_old/d.log", lines(1))
+    with pytest.raises(ValueError, match="_old"):
+        batch_parse(spark, folder, "*/*.log")
+
+
+def test_other_time_zones_are_refused_not_changed(spark):
+    from conftest import make_log
+
+    from logtide.functions.features import add_features
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/New_York")
+    with pytest.raises(ValueError, match="New_York"):
+        add_features(make_log(other, [{}]))
+    assert other.conf.get("spark.sql.session.timeZone") == "America/New_York"
