@@ -1,13 +1,13 @@
 """Exact quantile of a column without gathering the column in one task.
 
-Spark's exact ``percentile`` keeps a value->count map per group; over
-millions of distinct continuous values the final merge of a global
-percentile would sit in a single task. Here the approximate quantile
-(Greenwald-Khanna, bounded sketch per partition) brackets the answer, one
-pass counts the values below the bracket, and only the values inside the
-narrow bracket are brought back and ranked. The result equals linear
-interpolation between the two order statistics around ``q * (n - 1)``,
-i.e. ``percentile``/``numpy.percentile``.
+The value at a rank is found by narrowing: the range of the values still in
+question is cut into BINS equal parts, one aggregate counts each part and
+takes its least and greatest value, and the part that holds the rank is the
+next range. Parts get narrower BINS-fold each pass, so a few passes end at a
+single value, however many rows share it; no more than BINS + 1 rows ever
+reach the driver. The result equals linear interpolation between the two
+order statistics around ``q * (n - 1)``, as ``percentile`` and
+``numpy.percentile`` have it.
 """
 
 from __future__ import annotations
@@ -17,46 +17,42 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BAND_ROWS = 200_000
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 10000,
-                   n: int | None = None) -> float | None:
+BINS = 1024
+
+
+def value_at_rank(values: DataFrame, rank: int, bins: int = BINS) -> float:
+    """The ``rank``-th smallest (from 0) of the double column ``v``, which has
+    neither nulls nor NaN."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        # Halves keep the width finite for any two doubles.
+        width = high / 2 - low / 2
+        part = F.least(F.lit(bins - 1), F.floor((F.col("v") / 2 - F.lit(low / 2)) / F.lit(width) * bins)).cast("int")
+        if width == 0:  # neighbours: telling the two values apart is all that is left
+            part = (F.col("v") > F.lit(low)).cast("int")
+        rows = (values.where(F.col("v").between(low, high)).groupBy(part.alias("part"))
+                .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for row in sorted(rows, key=lambda r: r["part"]):
+            if rank < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            rank -= row["n"]
+    return low
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None) -> float | None:
     """Linear-interpolated ``q`` quantile of the non-null values of ``col``.
 
     ``n`` is the number of non-null values when the caller already knows it
-    (saves one pass over ``df``).
+    (saves one pass over ``df``). Give a column that is cheap to read, such as
+    a checkpoint: each of the two ranks takes a handful of passes.
     """
-    v = F.col(col).cast("double")
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    n = vals.count() if n is None else n
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    n = values.count() if n is None else n
     if n == 0:
         return None
-    if n <= BAND_ROWS:
-        # Few values: Spark's exact aggregate merges at most BAND_ROWS entries.
-        return vals.select(F.percentile("v", F.lit(q))).first()[0]
-    pos = q * (n - 1)
-    k0, k1 = int(math.floor(pos)), int(math.ceil(pos))
-    frac = pos - k0
-    eps = 2.0 / accuracy
-    for _ in range(8):
-        lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
-        lo, hi = vals.select(F.percentile_approx("v", [lo_q, hi_q], accuracy)).first()[0]
-        if lo_q == 0.0:
-            lo = -math.inf
-        if hi_q == 1.0:
-            hi = math.inf
-        in_band = (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
-        below, band_n = vals.select(F.count_if(F.col("v") < F.lit(lo)), F.count_if(in_band)).first()
-        if not (below <= k0 and k1 < below + band_n):
-            eps *= 2          # the sketch missed the ranks: widen the bracket
-            continue
-        if band_n > BAND_ROWS:
-            accuracy *= 8     # bracket too wide to bring back: sharpen the sketch
-            eps /= 4
-            continue
-        band = [r[0] for r in vals.where(in_band).orderBy("v").collect()]
-        a, b = band[k0 - below], band[k1 - below]
-        return a + (b - a) * frac
-    # Pathological value distribution: fall back to Spark's exact aggregate.
-    return vals.select(F.percentile("v", F.lit(q))).first()[0]
+    at = q * (n - 1)
+    below = value_at_rank(values, math.floor(at))
+    if at == math.floor(at):
+        return below
+    return below + (value_at_rank(values, math.ceil(at)) - below) * (at - math.floor(at))

@@ -20,9 +20,12 @@ def exact_stddev_samp(c: Column, wide: bool = False) -> Column:
     Null for fewer than two values, like ``stddev_samp``.
     """
     x = c.cast("bigint")
-    n = F.count(x)
-    s1 = F.sum(x)
     s2 = F.sum((x.cast("decimal(38,0)") * x.cast("decimal(38,0)")) if wide else x * x)
+    return stddev_from_sums(F.count(x), F.sum(x), s2)
+
+
+def stddev_from_sums(n: Column, s1: Column, s2: Column) -> Column:
+    """The same from a count, a sum and a sum of squares."""
     dec = lambda e: e.cast("decimal(38,0)")
     numerator = dec(n) * dec(s2) - dec(s1) * dec(s1)
     var = numerator.cast("double") / (n.cast("double") * (n - 1).cast("double"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import half_even
-from ..functions.quantile import BAND_ROWS, exact_quantile
+from ..functions.quantile import exact_quantile
 from ..session import ensure_checkpoint_dir
 from .ip_features import FEATURE_NAMES, ip_feature_matrix
 
@@ -194,7 +194,7 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
     out_schema = T.StructType(feats.schema.fields + [
         T.StructField("raw_score", T.IntegerType()), T.StructField("decision_score", T.DoubleType()),
         T.StructField("is_anomaly", T.BooleanType())])
-    if df.limit(10).count() < 10:
+    if len(df.select("ip").take(10)) < 10:
         return spark.createDataFrame([], out_schema)
     ensure_checkpoint_dir(spark)
     feats = feats.checkpoint(eager=True)
@@ -204,9 +204,7 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
     bc = spark.sparkContext.broadcast(model)
     scored_schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
     scored = feats.mapInPandas(_scorer(bc, FEATURE_NAMES), scored_schema)
-    if model["n"] > BAND_ROWS:
-        # The offset search reads the scores several times: score once.
-        scored = scored.checkpoint(eager=True)
+    scored = scored.checkpoint(eager=True)   # the offset search reads the scores several times
     offset = exact_quantile(scored.select((-F.col("anomaly_score")).alias("neg_score")),
                             "neg_score", contamination, n=model["n"])  # every IP gets a score
     decision = -F.col("anomaly_score") - F.lit(offset)

@@ -53,7 +53,7 @@ def test_exact_quantile_matches_numpy(spark):
     vals = rng.normal(size=5000)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     for q in (0.05, 0.5, 0.999):
-        assert exact_quantile(df, "v", q, accuracy=100) == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12)
+        assert exact_quantile(df, "v", q) == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12)
 
 
 def test_average_path_length():
@@ -91,15 +91,24 @@ def test_isolation_forest_too_few_rows(spark):
     assert out.count() == 0 and "decision_score" in out.columns
 
 
-@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.93, 1.0])
-def test_exact_quantile_band_path_matches_numpy(spark, monkeypatch, q):
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.2, 0.5, 0.93, 1.0])
+@pytest.mark.parametrize("bins", [2, 7, 1024])
+def test_exact_quantile_with_ties_at_the_rank(spark, monkeypatch, q, bins):
+    """Most values tie, at the rank itself for the middle quantiles, whatever the bins."""
     import logtide.functions.quantile as quantile_mod
-    monkeypatch.setattr(quantile_mod, "BAND_ROWS", 300)   # force the sketch-and-band path
+    monkeypatch.setattr(quantile_mod.value_at_rank, "__defaults__", (bins,))
     rng = np.random.default_rng(11)
-    vals = np.concatenate([rng.exponential(size=3000), np.full(500, 0.25)])  # ties included
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(6)
-    got = quantile_mod.exact_quantile(df, "v", q, accuracy=200)
-    assert got == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12)
+    vals = np.concatenate([rng.exponential(size=200), np.full(2500, 0.25), [-1e300, 1e300, 5e-324, -0.0]])
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double").repartition(6)
+    got = quantile_mod.exact_quantile(df, "v", q)
+    assert got == pytest.approx(np.percentile(vals, 100 * q), abs=1e-12, rel=1e-12)
+
+
+def test_exact_quantile_empty_and_neighbours(spark):
+    assert exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
+    low, high = 1.0, float(np.nextafter(1.0, 2.0))
+    df = spark.createDataFrame([(low,), (high,), (high,)], "v double")
+    assert exact_quantile(df, "v", 0.0) == low and exact_quantile(df, "v", 1.0) == high
 
 
 def test_forest_scores_lie_in_unit_interval(spark):
