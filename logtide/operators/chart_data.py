@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features
 from ..functions.fixed_values import AUTH_FAILURE_STATUSES, WEEKDAYS
-from ..session import ensure_utc
+from ..session import require_utc
 
 
 def error_heatmap(df: DataFrame) -> DataFrame:
@@ -44,16 +44,18 @@ def bot_vs_human(df: DataFrame) -> DataFrame:
 def auth_failure_timeline(df: DataFrame, top_n: int = 5) -> DataFrame:
     """401/403 counts per (hour_bucket, ip) for the ``top_n`` IPs with most failures.
 
-    The top IPs are a TakeOrderedAndProject of ``top_n`` rows, so the
-    broadcast side of the left-semi join is bounded by ``top_n``.
+    Failures are aggregated per (hour, ip) in one scan, combined map-side; an
+    IP's hours (at most one entry per hour of the log) are then gathered with
+    their total, and a TakeOrderedAndProject keeps ``top_n`` IPs.
     """
-    ensure_utc(df.sparkSession)  # UTC hour buckets
+    require_utc(df.sparkSession)  # UTC hour buckets
     fails = df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES) & F.col("ip").isNotNull())
-    top = (fails.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), F.asc("ip")).limit(top_n).select("ip"))
-    return (fails.join(F.broadcast(top), "ip", "left_semi")
-            .groupBy(F.date_trunc("hour", "timestamp").alias("hour_bucket"), "ip")
-            .agg(F.count(F.lit(1)).alias("failures"))
+    counts = (fails.groupBy(F.date_trunc("hour", "timestamp").alias("hour_bucket"), "ip")
+              .agg(F.count(F.lit(1)).alias("failures")))
+    top = (counts.groupBy("ip").agg(F.sum("failures").alias("n"),
+                                    F.collect_list(F.struct("hour_bucket", "failures")).alias("hours"))
+           .orderBy(F.desc("n"), F.asc("ip")).limit(top_n))
+    return (top.select("ip", F.inline("hours")).select("hour_bucket", "ip", "failures")
             .orderBy("hour_bucket", "ip"))
 
 

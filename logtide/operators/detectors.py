@@ -10,19 +10,17 @@ from ..functions.fixed_values import AUTH_FAILURE_STATUSES
 from ..functions.stats import exact_stddev_samp
 
 
-def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0, broadcast_stats: bool = True) -> DataFrame:
+def traffic_anomalies(df: DataFrame, z_threshold: float = 3.0, broadcast_stats: bool = False) -> DataFrame:
     """(date, hour, ip) windows whose request count is ``z_threshold`` sample
     standard deviations or more above the mean of that (date, hour).
 
     Plan: one hash aggregate to per-(date, hour, ip) counts (map-side partial
     aggregation, so a hot IP is pre-combined), a second tiny aggregate to the
-    per-(date, hour) mean and sample std, and a broadcast hash join back.
-    The broadcast side has one row per clock hour present in the log, so its
-    size is bounded by the time span (8,784 rows per year), not by traffic
-    volume. The counts exchange is reused by both branches.
-    With ``broadcast_stats=False`` the join is left to AQE, which broadcasts
-    only after measuring the stats side at run time (for logs whose time span
-    is too long for the bound above).
+    per-(date, hour) mean and sample std, and a join back. The stats side has
+    one row per clock hour of the log; AQE measures it at run time and
+    broadcasts it if it is small. ``broadcast_stats=True`` forces that, for
+    logs whose time span is known to be bounded (8,784 rows a year). The
+    counts exchange is reused by both branches.
     A missing std (one IP in the hour) becomes 1.0 and std is clipped at 1.0;
     z is rounded half-even to 3 decimals before the threshold test.
     """
@@ -51,9 +49,10 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     example_path, window_minutes; most failures first.
 
     Scale: every row of one second has the same interval, so the failures
-    are first aggregated per (ip, second): a count and the first row of the
-    second (by timestamp, then path with nulls first). That aggregate is
-    combined map-side, so a hot IP costs at most one row per distinct second.
+    are first hash-aggregated per (ip, second): a count and the first
+    timestamp. That aggregate is combined map-side, so a hot IP costs at most
+    one row per distinct second. The path (of the first row by timestamp, then
+    path with nulls first) is looked up afterwards, for alert seconds only.
     The interval sum then runs as a RANGE window over those per-second rows,
     partitioned by (ip, time bucket) of ``bucket_seconds`` (default six hours
     or four windows, whichever is longer; at least the window). Seconds whose
@@ -61,7 +60,7 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     most window/bucket of them), so sums stay exact. A window partition
     therefore holds at most ``bucket_seconds`` rows whatever the traffic, and
     a hot IP's days of activity spread over many tasks. The first alerting
-    second per IP is a ``min`` over a struct.
+    second per IP is a hash aggregate too (``min_by`` over longs).
     """
     w = int(window_minutes) * 60
     width = int(bucket_seconds or max(6 * 3600, 4 * w))
@@ -70,9 +69,8 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     fails = (df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES)
                       & F.col("ip").isNotNull() & F.col("timestamp").isNotNull())
              .select("ip", "timestamp", "path", F.unix_seconds("timestamp").alias("ts_epoch")))
-    first_row = F.struct("timestamp", F.col("path").isNotNull().alias("has_path"), "path")
     per_second = (fails.groupBy("ip", "ts_epoch")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min(first_row).alias("first"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"))
                   .withColumn("bucket", F.floor(F.col("ts_epoch") / F.lit(width))))
     reaches_next = F.col("ts_epoch") >= (F.col("bucket") + 1) * F.lit(width) - F.lit(w)
     expanded = (per_second
@@ -85,13 +83,14 @@ def brute_force(df: DataFrame, window_minutes: int = 5, threshold: int = 20,
     hits = (expanded
             .withColumn("failures_in_window", F.sum("n").over(frame))
             .where(F.col("own") & (F.col("failures_in_window") >= F.lit(threshold))))
-    first = (hits.groupBy("ip")
-             .agg(F.min(F.struct("ts_epoch", "first", "failures_in_window")).alias("a")))
-    return (first.select("ip",
-                         F.col("a.first.timestamp").alias("window_end"),
-                         F.col("a.failures_in_window").alias("failures_in_window"),
-                         F.col("a.first.path").alias("example_path"),
-                         F.lit(int(window_minutes)).alias("window_minutes"))
+    alerts = (hits.groupBy("ip")
+              .agg(F.min_by("first", "ts_epoch").alias("window_end"),
+                   F.min_by("failures_in_window", "ts_epoch").alias("failures_in_window")))
+    at_alert = fails.select("ip", F.col("timestamp").alias("window_end"), "path").join(alerts, ["ip", "window_end"])
+    by_path = Window.partitionBy("ip").orderBy(F.asc_nulls_first("path"))
+    return (at_alert.withColumn("nth", F.row_number().over(by_path)).where(F.col("nth") == 1)
+            .select("ip", "window_end", "failures_in_window", F.col("path").alias("example_path"),
+                    F.lit(int(window_minutes)).alias("window_minutes"))
             .orderBy(F.desc("failures_in_window"), F.asc("ip")))
 
 

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features
-from ..functions.stats import exact_stddev_samp
+from ..functions.stats import stddev_from_sums
+from ..session import ensure_checkpoint_dir
 
 FEATURE_NAMES = ("total_requests", "error_rate", "avg_bytes", "bot_rate",
                  "unique_paths", "status_std", "p95_request_gap")
 
 
+#: Gap bins per doubling of the gap: bin edges about 1% apart.
+BINS_PER_OCTAVE = 64
+P95 = 0.95
+
+
 def ip_feature_matrix(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """One row per IP: total_requests, error_rate, avg_bytes, bot_rate,
     unique_paths (nulls not counted), status_std (sample) and the 95th
@@ -19,55 +25,78 @@ def ip_feature_matrix(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     IP; missing values become 0.
 
     Scale (a hot IP may hold a large share of all rows):
-    * the six order-free features are one ``groupBy('ip')`` with map-side
-      partial aggregation;
-    * the gap distribution only depends on the distinct timestamps of an IP
-      and their multiplicities m: sorted distinct timestamps give one gap
-      each, and every repeat adds a gap of 0 (m - 1 times). Requests are
-      therefore first aggregated per (ip, timestamp), map-side, and the
-      percentile takes the multiplicities as frequencies;
-    * the ordered scan over distinct timestamps runs inside (ip, time
-      bucket) windows; the first timestamp of each bucket takes its gap from
-      the last timestamp of the IP's previous non-empty bucket through a
-      ``lag`` over the small per-bucket table (first/last timestamp per
-      bucket, which Catalyst computes as a narrow map-side aggregate of
-      ``ip`` and ``timestamp`` only).
-    The two per-IP results are joined on ``ip``; the percentile side has one
-    row per IP with at least two requests, and AQE broadcasts it when small.
+    * one scan: each row gives a (ip, timestamp) and a (ip, path) record, which
+      are combined map-side in one hash aggregate; its result is checkpointed
+      and everything below reads that. Requests of the same IP at the same
+      time, or for the same path, are then one row each.
+    * the order-free features are integer sums over the (ip, timestamp) rows.
+    * gaps: sorted distinct timestamps give one gap each, inside (ip, time
+      bucket) windows; the first of a bucket takes its gap from the last of the
+      IP's previous bucket through a ``lag`` over the small per-bucket table.
+      Repeats add zero gaps: requests less distinct timestamps.
+    * the percentile comes from cumulative frequencies, per (ip, bin) first
+      (some thousand logarithmic bins at most) and then over the distinct gaps
+      of the one or two bins that hold the ranks. A bin near g microseconds is
+      0.011 g wide, and a log of S microseconds has at most S / g such gaps, so
+      the last window sees under sqrt(0.011 S) rows per IP (600,000 for a
+      year), whatever the traffic.
     """
     df = ensure_features(df)
-    ts = F.col("timestamp")
-    base = df.where(F.col("ip").isNotNull())
-    stats = (base.groupBy("ip")
-             .agg(F.count(F.lit(1)).alias("total_requests"),
-                  F.avg(F.col("is_error").cast("double")).alias("error_rate"),
-                  F.avg("bytes").alias("avg_bytes"),
-                  F.avg(F.col("is_bot").cast("double")).alias("bot_rate"),
-                  F.count_distinct("path").alias("unique_paths"),
-                  exact_stddev_samp(F.col("status")).alias("status_std")))
-    secs = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
-    per_ts = (base.where(ts.isNotNull()).groupBy("ip", "timestamp")
-              .agg(F.count(F.lit(1)).alias("m"))
-              .withColumn("bucket", F.floor(F.unix_seconds(ts) / F.lit(int(bucket_seconds)))))
-    in_bucket = Window.partitionBy("ip", "bucket").orderBy("timestamp")
-    # Each distinct timestamp contributes its gap to the previous one (weight
-    # 1) and m - 1 zero gaps for its repeats, emitted from the same row.
-    local_gaps = (per_ts.withColumn("prev", F.lag(ts).over(in_bucket))
-                  .select("ip", F.explode(F.array(
-                      F.struct(secs(ts, F.col("prev")).alias("gap"), F.lit(1).cast("bigint").alias("freq")),
-                      F.struct(F.lit(0.0).alias("gap"), (F.col("m") - 1).alias("freq")))).alias("g"))
-                  .select("ip", "g.gap", "g.freq")
-                  .where(F.col("gap").isNotNull() & (F.col("freq") > 0)))
-    buckets = (per_ts.groupBy("ip", "bucket")
-               .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.sum("m").alias("n")))
-    across = Window.partitionBy("ip").orderBy("bucket")
-    boundary_gaps = (buckets
-                     .withColumn("gap", secs(F.col("first_ts"), F.lag("last_ts").over(across)))
-                     .where(F.col("gap").isNotNull())
-                     .select("ip", "gap", F.lit(1).cast("bigint").alias("freq")))
-    p95 = (local_gaps.unionByName(boundary_gaps)
-           .groupBy("ip")
-           .agg(F.percentile("gap", F.lit(0.95), F.col("freq")).alias("p95_request_gap")))
-    return (stats.join(p95, "ip", "left")
+    ensure_checkpoint_dir(df.sparkSession)
+    record = lambda kind, **given: F.struct(F.lit(kind).alias("kind"), *[
+        given.get(name, F.lit(None)).cast(kind_of).alias(name) for name, kind_of in (
+            ("ts", "timestamp"), ("page", "string"), ("one", "bigint"), ("error", "bigint"), ("size", "bigint"),
+            ("bot", "bigint"), ("code", "bigint"))])
+    kinds = F.array(record(0, ts=F.col("timestamp"), one=F.lit(1), error=F.col("is_error"), size=F.col("bytes"),
+                           bot=F.col("is_bot"), code=F.col("status")),
+                    record(1, page=F.col("path")))
+    facts = (df.where(F.col("ip").isNotNull()).select("ip", F.inline(kinds)).groupBy("ip", "kind", "ts", "page")
+             .agg(F.sum("one").alias("n"), F.sum("error").alias("error"), F.count("error").alias("n_error"),
+                  F.sum("size").alias("size"), F.count("size").alias("n_size"), F.sum("bot").alias("bot"),
+                  F.count("bot").alias("n_bot"), F.sum("code").alias("code"), F.count("code").alias("n_code"),
+                  F.sum(F.col("code") * F.col("code")).alias("code2"))).checkpoint()
+    at = facts.where("kind = 0")
+    mean = lambda c: F.sum(c).cast("double") / F.sum("n_" + c).cast("double")
+    guarded = lambda c: F.when(F.sum("n_" + c) > 0, mean(c))
+    stats = at.groupBy("ip").agg(
+        F.sum("n").alias("total_requests"), guarded("error").alias("error_rate"), guarded("size").alias("avg_bytes"),
+        guarded("bot").alias("bot_rate"),
+        stddev_from_sums(F.sum("n_code"), F.sum("code"), F.sum("code2")).alias("status_std"))
+    paths = facts.where("kind = 1 AND page IS NOT NULL").groupBy("ip").agg(F.count(F.lit(1)).alias("unique_paths"))
+    gaps = _percentile_gap(at.where("ts IS NOT NULL").select("ip", "ts", "n"), int(bucket_seconds))
+    return (stats.join(paths, "ip", "left").join(gaps, "ip", "left")
             .select("ip", *FEATURE_NAMES)
             .fillna(0, subset=list(FEATURE_NAMES)))
+
+
+def _percentile_gap(at: DataFrame, bucket_seconds: int) -> DataFrame:
+    """(ip, p95_request_gap) in seconds from (ip, ts, n), for IPs with two
+    requests or more."""
+    at = at.withColumn("bucket", F.floor(F.unix_seconds("ts") / F.lit(bucket_seconds)))
+    micros = lambda a, b: F.unix_micros(a) - F.unix_micros(b)
+    inside = Window.partitionBy("ip", "bucket").orderBy("ts")
+    local = at.select("ip", micros(F.col("ts"), F.lag("ts").over(inside)).alias("gap"))
+    buckets = at.groupBy("ip", "bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    across = Window.partitionBy("ip").orderBy("bucket")
+    edges = buckets.select("ip", micros(F.col("first"), F.lag("last").over(across)).alias("gap"))
+    zero = (at.groupBy("ip").agg((F.sum("n") - F.count(F.lit(1))).alias("freq"))
+            .where("freq > 0").select("ip", F.lit(0).cast("bigint").alias("gap"), "freq"))
+    gaps = (local.unionByName(edges).where("gap IS NOT NULL").groupBy("ip", "gap").agg(F.count(F.lit(1)).alias("freq"))
+            .unionByName(zero))
+    slot = F.floor(F.log2(F.col("gap") + 1) * F.lit(BINS_PER_OCTAVE))
+    gaps = gaps.withColumn("slot", slot).checkpoint()  # read twice: for the bins, then inside the chosen ones
+    before = (Window.partitionBy("ip").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    bins = (gaps.groupBy("ip", "slot").agg(F.sum("freq").alias("freq"))
+            .withColumn("before", F.coalesce(F.sum("freq").over(before), F.lit(0)))
+            .withColumn("total", F.sum("freq").over(Window.partitionBy("ip"))))
+    rank = F.lit(P95) * (F.col("total") - 1)
+    low, high = F.floor(rank), F.ceil(rank)
+    holds = lambda r, n: (F.col("before") <= r) & (r < F.col("before") + F.col(n))
+    chosen = bins.where(holds(low, "freq") | holds(high, "freq")).select("ip", "slot", "before", "total")
+    within = (Window.partitionBy("ip", "slot").orderBy("gap").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = (gaps.join(chosen, ["ip", "slot"])
+              .withColumn("before", F.col("before") + F.coalesce(F.sum("freq").over(within), F.lit(0))))
+    value = lambda r: F.max(F.when(holds(r, "freq"), F.col("gap"))) / F.lit(1e6)
+    ends = ranked.groupBy("ip", "total").agg(value(low).alias("a"), value(high).alias("b"))
+    share = rank - low
+    return ends.select("ip", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("p95_request_gap"))

@@ -70,3 +70,17 @@ def test_ip_features_with_hot_ip(spark, hot_log):
     np.testing.assert_allclose(got["p95_request_gap"].sort_index(), want_p95.sort_index(), rtol=1e-12)
     np.testing.assert_allclose(got["status_std"].sort_index(), want_std.sort_index(), rtol=1e-9)
     assert isinstance(got, pd.DataFrame)
+
+
+def test_ip_features_with_sub_second_hot_ip(spark):
+    """Hundreds of thousands of different microsecond gaps of one IP."""
+    from conftest import make_log
+    rng = np.random.default_rng(2)
+    micros = np.cumsum(rng.integers(0, 40_000, 20_000)) + T0 * 1_000_000
+    hot = spark.createDataFrame(pd.DataFrame({"m": micros})).select(
+        F.lit("6.6.6.6").alias("ip"), F.timestamp_micros("m").alias("timestamp"))
+    base = make_log(spark, [{"ip": "7.7.7.7"}] * 3).drop("ip", "timestamp").limit(1)
+    df = add_features(hot.join(base, how="cross").unionByName(make_log(spark, [{"ip": "7.7.7.7"}] * 3)))
+    got = {r.ip: r.p95_request_gap for r in ip_features.ip_feature_matrix(df, bucket_seconds=60).collect()}
+    assert got["6.6.6.6"] == pytest.approx(np.percentile(np.diff(micros) / 1e6, 95), abs=1e-12)
+    assert got["7.7.7.7"] == 30.0
