@@ -43,9 +43,24 @@ def stream_hourly_traffic(parsed: DataFrame, watermark: str = "1 hour") -> DataF
             .select(F.col("w.start").alias("hour_bucket"), "request_count"))
 
 
+PER_SECOND_SCHEMA = "ip string, timestamp timestamp, ts_epoch long, n long, first timestamp, path string"
+
+
+def _per_second(batches):
+    """Failures of an Arrow batch as one row per (ip, second): their number,
+    the last timestamp (event time of the row), and the first timestamp with
+    its smallest path (nulls first)."""
+    for pdf in batches:
+        pdf = pdf.assign(no_path=pdf["path"].isna()).sort_values(
+            ["ip", "ts_epoch", "timestamp", "no_path", "path"], ascending=[True, True, True, False, True], kind="mergesort")
+        second = ["ip", "ts_epoch"]
+        sums = pdf.groupby(second).agg(n=("timestamp", "size"), first=("timestamp", "min"), timestamp=("timestamp", "max"))
+        paths = pdf.drop_duplicates(second).set_index(second)["path"]  # of the first row by the order above
+        yield sums.join(paths).reset_index()[["ip", "timestamp", "ts_epoch", "n", "first", "path"]]
+
+
 def _alert_state_fn(window_seconds: int, threshold: int, window_minutes: int):
     def fn(key, batches, state):
-        ip = key[0]
         if state.hasTimedOut:
             state.remove()
             return
@@ -54,26 +69,27 @@ def _alert_state_fn(window_seconds: int, threshold: int, window_minutes: int):
             per_sec = dict(zip(list(secs), list(counts)))
         else:
             per_sec, alerted = {}, False
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
+        firsts = {}  # of the new seconds: (timestamp, has a path, path), the least of all tasks
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                sec = int(row.ts_epoch)
+                per_sec[sec] = per_sec.get(sec, 0) + int(row.n)
+                has = isinstance(row.path, str)
+                mine = (row.first, has, row.path if has else "")
+                firsts[sec] = min(firsts.get(sec, mine), mine)
+        if not firsts:
             return
-        pdf = pdf.assign(has_path=pdf["path"].notna()).sort_values(
-            ["ts_epoch", "timestamp", "has_path", "path"], kind="mergesort", na_position="first")
-        for sec, n in pdf.groupby("ts_epoch", sort=True).size().items():
-            per_sec[int(sec)] = per_sec.get(int(sec), 0) + int(n)
         out = []
         if not alerted:
             keys = np.array(sorted(per_sec), dtype=np.int64)
-            vals = np.array([per_sec[k] for k in keys], dtype=np.int64)
-            cum = np.cumsum(vals)
-            for sec in pdf["ts_epoch"].drop_duplicates().to_numpy():
-                hi = np.searchsorted(keys, sec, side="right")
-                lo = np.searchsorted(keys, sec - window_seconds, side="left")
-                total = int(cum[hi - 1] - (cum[lo - 1] if lo > 0 else 0))
+            cum = np.concatenate([[0], np.cumsum([per_sec[k] for k in keys])])
+            for sec in sorted(firsts):
+                total = int(cum[np.searchsorted(keys, sec, side="right")]
+                            - cum[np.searchsorted(keys, sec - window_seconds, side="left")])
                 if total >= threshold:
-                    first = pdf[pdf["ts_epoch"] == sec].iloc[0]
-                    out.append({"ip": ip, "window_end": first["timestamp"], "failures_in_window": total,
-                                "example_path": first["path"], "window_minutes": window_minutes})
+                    first, has, path = firsts[sec]
+                    out.append({"ip": key[0], "window_end": first, "failures_in_window": total,
+                                "example_path": path if has else None, "window_minutes": window_minutes})
                     alerted = True
                     break
         newest = max(per_sec)
@@ -94,14 +110,19 @@ def stream_brute_force(parsed: DataFrame, window_minutes: int = 5, threshold: in
     closed ``window_minutes`` interval; one alert per IP until it has been
     quiet for a whole window (event time).
 
-    State per IP is the failure count per second inside the window (at most
-    ``60 * window_minutes`` entries), so a hot IP keeps a bounded state. For
+    Failures are combined per (ip, second) where they are read, before the
+    shuffle: a hot IP sends at most one row per second and Arrow batch, and no
+    micro-batch of raw rows is ever gathered. State per IP is the failure count
+    per second inside the window (at most ``60 * window_minutes`` entries). For
     in-order input the alerts equal the batch ``brute_force``; late rows
-    (within the watermark) are counted when they arrive.
+    (within the watermark) are counted when they arrive. A second is late as a
+    whole, by its last failure.
     """
     w = int(window_minutes) * 60
-    fails = (parsed.where(F.col("status").isin(*AUTH_FAILURE_STATUSES) & F.col("ip").isNotNull())
+    fails = (parsed.where(F.col("status").isin(*AUTH_FAILURE_STATUSES) & F.col("ip").isNotNull()
+                          & F.col("timestamp").isNotNull())
              .select("ip", "timestamp", "path", F.unix_seconds("timestamp").alias("ts_epoch"))
+             .mapInPandas(_per_second, PER_SECOND_SCHEMA)
              .withWatermark("timestamp", watermark))
     return fails.groupBy("ip").applyInPandasWithState(
         _alert_state_fn(w, int(threshold), int(window_minutes)),
