@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.csv_text import CSV_TEXT
 from ..functions.features import add_features, half_even
 from ..operators import (chart_data, clients, detectors, errors, ip_features, isolation_forest, profile,
                          summary, traffic)
@@ -69,7 +70,17 @@ def registered_queries() -> dict[str, Query]:
     q["iqr_outliers"] = lambda s, d: detectors.iqr_outliers(_featured(s, d))
     q["ip_features"] = lambda s, d: round_stats(ip_features.ip_feature_matrix(_featured(s, d)))
     _register_more(q)
-    return q
+    return {name: _in_utc(query) for name, query in q.items()}
+
+
+def _in_utc(query: Query) -> Query:
+    """The query in a UTC session: the caller's, or a new one beside it."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark = spark.newSession()
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+    return run
 
 
 # --- ingest over lines and frames derived from the access_log view ---------
@@ -107,10 +118,29 @@ def aliased_csv_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user").alias("UserName"), F.col("line_id").cast("string").alias("line_id"))
 
 
+def csv_text_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aliased frame written as RFC 4180 text, with quotes, commas and edge
+    spaces in every third agent, and parsed again with the reader's options."""
+    frame = aliased_csv_frame(spark, sf_dir)
+    agent = F.when(F.col("line_id").cast("bigint") % 3 == 0,
+                   F.concat(F.lit(' "'), F.col("UA"), F.lit('", like Gecko '))).otherwise(F.col("UA"))
+    frame = frame.withColumn("UA", agent)
+    text = frame.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), CSV_TEXT).alias("text"))
+    schema = ", ".join(f"`{c}` string" for c in frame.columns)
+    return text.select(F.from_csv("text", schema, CSV_TEXT).alias("row")).select("row.*")
+
+
+def forest_summary(forest: DataFrame) -> DataFrame:
+    """IPs, flagged IPs, and rows whose flag disagrees with ``raw_score``."""
+    return forest.agg(F.count(F.lit(1)).alias("n_ips"), F.count_if("is_anomaly").alias("n_flagged"),
+                      F.count_if(F.col("is_anomaly") != (F.col("raw_score") == -1)).alias("n_disagree"))
+
+
 def _register_more(q: dict[str, Query]) -> None:
     q["parse_raw_lines"] = lambda s, d: iso_temporal(parse_lines(rendered_lines(s, d)).select(*BASE_COLUMNS))
     q["parse_quality"] = lambda s, d: parse_quality(quality_lines(s, d))
     q["csv_alias_ingest"] = lambda s, d: iso_temporal(map_and_cast(aliased_csv_frame(s, d)))
+    q["csv_text_ingest"] = lambda s, d: iso_temporal(map_and_cast(csv_text_frame(s, d)))
     q["column_mapping"] = lambda s, d: profile.column_mapping(aliased_csv_frame(s, d))
     q["error_heatmap"] = lambda s, d: chart_data.error_heatmap(_featured(s, d))
     q["bot_vs_human"] = lambda s, d: chart_data.bot_vs_human(_featured(s, d))
@@ -119,5 +149,6 @@ def _register_more(q: dict[str, Query]) -> None:
         detectors.traffic_anomalies(_featured(s, d), z_threshold=2.0))))
     q["column_profile"] = lambda s, d: profile.column_profile(_featured(s, d))
     # Not SQL-expressible (random trees): checked by row count here and by
-    # property tests in tests/test_isolation_forest.py.
+    # property tests in tests/test_charts_profile_forest.py.
     q["isolation_forest"] = lambda s, d: isolation_forest.isolation_forest(_featured(s, d))
+    q["isolation_forest_summary"] = lambda s, d: forest_summary(isolation_forest.isolation_forest(_featured(s, d)))

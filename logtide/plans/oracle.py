@@ -152,6 +152,15 @@ FROM access_log GROUP BY source ORDER BY source""")
 SELECT ip, user, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, method, path, 'HTTP/1.1' AS protocol,
   status, bytes,
   NULLIF(referrer, '') AS referrer, user_agent, CAST(line_id AS VARCHAR) AS line_id FROM access_log""")
+    s["csv_text_ingest"] = _q("""
+SELECT ip, user, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, method, path, 'HTTP/1.1' AS protocol,
+  status, bytes, NULLIF(referrer, '') AS referrer,
+  CASE WHEN line_id % 3 = 0 THEN ' "' || user_agent || '", like Gecko ' ELSE user_agent END AS user_agent,
+  CAST(line_id AS VARCHAR) AS line_id FROM access_log""")
+    # Scores that don't tie at the rank: the flagged are those below the interpolated quantile.
+    s["isolation_forest_summary"] = _q("""
+SELECT count(DISTINCT ip) AS n_ips, CAST(ceil(0.05 * (count(DISTINCT ip) - 1)) AS BIGINT) AS n_flagged,
+  CAST(0 AS BIGINT) AS n_disagree FROM access_log""")
     s["column_mapping"] = _q("""
 SELECT * FROM (VALUES
   (0, 'ip', 'detected', 'Client_IP', (SELECT min(ip) FROM access_log)),
