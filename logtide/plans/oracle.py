@@ -8,6 +8,8 @@ tie-breaks and half-even rounding explicitly so both engines agree.
 from __future__ import annotations
 
 from ..functions.fixed_values import BOT_SIGNATURES
+from ..functions.fixed_values import (CATEGORY_CLIENT_ERROR, CATEGORY_REDIRECT, CATEGORY_SERVER_ERROR,
+                                      CATEGORY_SUCCESS)
 from ..sources.access_view import ACCESS_VIEW_SELECT
 
 _BOT = "(?i)(" + "|".join(BOT_SIGNATURES) + ")"
@@ -21,8 +23,8 @@ feat AS (
   FROM access_log)
 """
 
-CATEGORY = ("CASE WHEN {c} < 300 THEN 'Success (2xx)' WHEN {c} < 400 THEN 'Redirect (3xx)' "
-            "WHEN {c} < 500 THEN 'Client Error (4xx)' ELSE 'Server Error (5xx)' END")
+CATEGORY = (f"CASE WHEN {{c}} < 300 THEN '{CATEGORY_SUCCESS}' WHEN {{c}} < 400 THEN '{CATEGORY_REDIRECT}' "
+            f"WHEN {{c}} < 500 THEN '{CATEGORY_CLIENT_ERROR}' ELSE '{CATEGORY_SERVER_ERROR}' END")
 
 
 def _q(body: str) -> str:

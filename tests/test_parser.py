@@ -7,8 +7,8 @@ import pytest
 
 from logtide.sources.raw_log import batch_parse, parse_lines, parse_log_file, parse_quality, read_log_lines
 
-FULL = ('192.168.1.1 - frank [10/Oct/2000:13:55:36 -0700] "GET /apache_pb.gif HTTP/1.0" 200 2326 '
-        '"http://www.example.com/start.html" "Mozilla/4.08 [en] (Win98; I ;Nav)"')
+FULL = ('198.51.100.7 - ada [03/Mar/2021:21:05:09 -0500] "GET /img/logo.svg HTTP/1.0" 200 4711 '
+        '"http://shop.example.org/a.html" "Agent/2.5 [fr] (Plan9; R ;x)"')
 MINIMAL = '10.0.0.5 - - [15/Jan/2024:08:00:00 +0000] "POST /api/login HTTP/1.1" 401 0'
 DASH_BYTES = '10.0.0.6 - - [15/Jan/2024:08:00:00 +0000] "GET /nope HTTP/1.1" 404 -'
 
@@ -24,12 +24,12 @@ def scratch():
 
 def test_full_line_all_fields(spark):
     (r,) = parse(spark, [FULL])
-    assert r["ip"] == "192.168.1.1" and r["user"] == "frank"
-    assert r["method"] == "GET" and r["path"] == "/apache_pb.gif" and r["protocol"] == "HTTP/1.0"
-    assert r["status"] == 200 and r["bytes"] == 2326
-    assert r["referrer"] == "http://www.example.com/start.html"
-    assert r["user_agent"] == "Mozilla/4.08 [en] (Win98; I ;Nav)"
-    assert r["timestamp"] == dt.datetime(2000, 10, 10, 20, 55, 36)  # UTC (session zone)
+    assert r["ip"] == "198.51.100.7" and r["user"] == "ada"
+    assert r["method"] == "GET" and r["path"] == "/img/logo.svg" and r["protocol"] == "HTTP/1.0"
+    assert r["status"] == 200 and r["bytes"] == 4711
+    assert r["referrer"] == "http://shop.example.org/a.html"
+    assert r["user_agent"] == "Agent/2.5 [fr] (Plan9; R ;x)"
+    assert r["timestamp"] == dt.datetime(2021, 3, 4, 2, 5, 9)  # UTC (session zone)
 
 
 def test_minimal_line_nulls(spark):
@@ -44,11 +44,11 @@ def test_dash_bytes_is_zero(spark):
 
 
 def test_malformed_and_blank_lines_give_no_rows(spark):
-    assert parse(spark, ["this is not a log line", "", "   "]) == []
+    assert parse(spark, ["some words without any layout", "", "   "]) == []
 
 
 def test_application_log_is_not_an_access_log(spark):
-    lines = ["2024-01-15 08:00:00 [INFO] Starting service", "2024-01-15 08:00:01 [ERROR] boom"]
+    lines = ["12:00:01.5 worker-3 WARN queue is long", "12:00:02.0 worker-3 INFO queue is short"]
     assert parse(spark, lines) == []
 
 
@@ -64,7 +64,7 @@ def test_path_with_space_does_not_match(spark):
 
 def test_trailing_text_and_outer_whitespace(spark):
     (r,) = parse(spark, ["  " + FULL + " extra trailing junk \t"])
-    assert r["user_agent"].startswith("Mozilla/4.08")
+    assert r["user_agent"].startswith("Agent/2.5")
 
 
 def test_empty_referrer_stays_empty(spark):
