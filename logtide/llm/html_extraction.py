@@ -45,14 +45,18 @@ CONTENT_ROLES = frozenset(("article", "main"))
 OTHER_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OTHER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense alert author-box banner breadcrumb breadcrumbs byline "
+    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs "
     "comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown footer footnav "
-    "form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification outbrain "
+    "form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification outbrain "
     "overlay pager pagination paywall popup privacy promo promoted promotion recommended related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar "
     "tooltip topbar warning widget".split())
 CONTENT_WORDS = frozenset("article articlebody article-body entry-content post-content post-body story-body "
-                          "main-content".split())
+                          "main-content content post entry story".split())
+#: Of an ``<article>``'s own names, only these count against it.
+NOT_ARTICLES = frozenset("ad ads advert comment comments promo related reply replies sponsored teaser".split())
+#: Names with these beginnings say what a page has or lacks, not what an element is.
+ABOUT = ("has-", "no-", "with-", "without-", "is-", "js-")
 
 #: The small labelled table: words and link density of a block, of the block
 #: before and of the block after; landmark (1 content, 0 none, -1 other);
@@ -101,14 +105,16 @@ class Block(NamedTuple):
 
 def _marks(tag: str, attributes: str, around: int, articles: int) -> int | None:
     """Landmark that an element makes: 1, -1, or None where it makes none."""
-    words, role = set(), ""
+    names, parts, role = set(), set(), ""
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name in ("class", "id"):
                 for part in value.split():
                     low = part.lower()
-                    words |= {low, *re.split(r"[-_]+", low), *(x.lower() for x in re.findall("[A-Z]?[a-z]+", part))}
+                    if not low.startswith(ABOUT):
+                        names.add(low)
+                        parts |= {low, *re.split(r"[-_]+", low), *(x.lower() for x in re.findall("[A-Z]?[a-z]+", part))}
             elif name == "role":
                 role = value.strip().lower()
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
@@ -120,16 +126,16 @@ def _marks(tag: str, attributes: str, around: int, articles: int) -> int | None:
         return None
     if tag == "main" or role == "main":
         return 1
-    if words & OTHER_WORDS and not words & CONTENT_WORDS or role in OTHER_ROLES:
-        return -1
     if tag == "article" or role == "article":
         # an article inside an article is a comment; inside another landmark a teaser
-        return -1 if articles > 0 or around < 0 else 1
+        return -1 if articles > 0 or around < 0 or parts & NOT_ARTICLES else 1
+    if parts & OTHER_WORDS and not names & CONTENT_WORDS or role in OTHER_ROLES:
+        return -1
     if tag == "header" and around > 0:  # an article's own header holds its title
         return None
     if tag in OTHER_TAGS:
         return -1
-    if words & CONTENT_WORDS and around >= 0:
+    if names & CONTENT_WORDS and around >= 0:
         return 1
     return None
 

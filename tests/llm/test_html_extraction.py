@@ -33,6 +33,13 @@ def test_pages_without_landmarks():
     assert wrapped.split("\n")[:4] == got
 
 
+def test_names_that_only_describe_the_page():
+    page = ('<div class="wrap has-sidebar"><article class="post header-large"><h1>Title</h1><p class="byline">By Ann</p>'
+            '<p>One.</p></article><div class="footer-links"><p>x</p></div><article class="teaser"><p>y</p></article></div>')
+    assert H.main_text(page, TREE) == "Title\nBy Ann\nOne."
+    assert H.main_text('<div id="content"><p>a</p><div class="share-buttons">s</div></div><p>b</p>', TREE) == "a"
+
+
 @pytest.mark.parametrize("html", [
     None, "", " \n", "<", "<p", "</p></p>", "<!-- open", "<script>open", "<article>", "plain & text", "<p>a<p>b" * 3,
     "<a href='x\">" * 50, "&#xZZ; &bogus; &amp", "<article>" + "<div>" * 5000 + "x", "<li>" * 2000, "<b>" * 3000])
