@@ -161,8 +161,10 @@ def _matching(spark: SparkSession, glob: str) -> list[str]:
 def _refuse_hidden(spark: SparkSession, paths: list[str], pattern: str | None) -> None:
     """Spark's readers pass over names that begin with ``_`` or ``.`` without a
     word; a log that would be lost that way is an error instead."""
-    if pattern is None:
+    if pattern is None:  # a file's own name, and what lies in a folder (but for Spark's markers and checksums)
         hidden = [p for p in paths if p.rstrip("/").rsplit("/", 1)[-1][:1] in ("_", ".")]
+        hidden += [x for p in paths for x in _matching(spark, p.rstrip("/") + "/[_.]*")
+                   if not x.endswith(("/_SUCCESS", ".crc"))]
     else:
         *folders, name = pattern.split("/")
         hidden = []

@@ -56,6 +56,8 @@ def test_hidden_names_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="_a.log"):
         parse_log_file(spark, hidden)
     assert batch_parse(spark, folder, "[!_.]*.log").count() == 2
+    with pytest.raises(ValueError, match="_a.log"):
+        parse_log_file(spark, folder)
     write(folder, ".c.txt", lines(1))
     with pytest.raises(ValueError, match="c.txt"):
         batch_parse(spark, folder, "*.txt")
