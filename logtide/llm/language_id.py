@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, staged
+
 SIZES = (4, 3, 2, 1)
 MAX_WORDS = 50_000
 MAX_NGRAMS = 20_000
@@ -96,49 +98,51 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 yield out()
         yield out()
 
-    words = (known.mapInArrow(count, "lang string, word string, n long")
-             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    words = words.persist()
-    try:
-        totals = dict(words.groupBy("lang").agg(F.sum("n")).collect())
-        tables = [_frequent(words.select("lang", F.col("word").alias("item"), "n"), max_words)]
-        padded = F.concat(F.lit(" "), "word", F.lit(" "))
-        for size in SIZES:
-            grams = words.select("lang", "n", F.explode(F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))),
-                lambda i, n=size: F.substring(padded, i, F.lit(n)))).alias("item")).where(F.length("item") == size)
-            tables.append(_frequent(grams.groupBy("lang", "item").agg(F.sum("n").alias("n")), max_ngrams))
-        rows = [t.collect() for t in tables]
-    finally:
-        words.unpersist()
+    words = staged(known.mapInArrow(count, "lang string, word string, n long")
+                   .groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    totals = dict(words.groupBy("lang").agg(F.sum("n")).collect())
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    grams = words.select("lang", "n", F.explode(F.concat(*[_cut(padded, size) for size in SIZES])).alias("item"))
+    grams = checkpointed(grams.groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    rows = [_frequent(words.select("lang", F.col("word").alias("item"), F.lit(0).alias("size"), "n"), max_words).collect(),
+            _frequent(grams.select("lang", "item", F.length("item").alias("size"), "n"), max_ngrams).collect()]
     languages = sorted(totals, key=lambda x: (-totals[x], x))
     place = {x: i for i, x in enumerate(languages)}
     costs: list[np.ndarray] = []
     maps: list[dict[str, int]] = [{}, {}]
     for k, found in enumerate(rows):
-        names = maps[min(k, 1)]
+        names = maps[k]
         for language, item, n, total in found:
             row = names.get(item)
             if row is None:
                 row = names[item] = len(costs)
                 costs.append(np.full(len(languages), PENALTY))
             costs[row][place[language]] = min(PENALTY, -math.log10(n / total))
-    return Model(languages, maps[0], maps[1], np.array(costs).reshape(-1, len(languages)))
+    return Model(languages, maps[0], maps[1], np.array(costs).reshape(len(costs), len(languages)))
+
+
+def _cut(padded: Column, size: int) -> Column:
+    """The n-grams of that size; none if the word is shorter."""
+    starts = F.sequence(F.lit(1), F.length(padded) - size + 1)
+    return F.when(F.length(padded) < size, F.array().cast("array<string>")).otherwise(
+        F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """(lang, item, n, total) of the ``most`` frequent items per language."""
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    # A language's threshold: a first cut by partial ranks would not bound ties, so the
-    # window runs over items that beat the count at that rank.
-    by_count = counts.groupBy("lang", "n").agg(F.count("*").alias("items"))
-    above = F.sum("items").over(Window.partitionBy("lang").orderBy(F.desc("n"))
+    """(lang, item, n, total): per language and size, the ``most`` frequent.
+
+    The count at that rank comes from the table of counts (how many items have
+    each), so the ranking window only sees items at or above it."""
+    group = ["lang", "size"]
+    by_count = counts.groupBy(*group, "n").agg(F.count("*").alias("items"))
+    above = F.sum("items").over(Window.partitionBy(*group).orderBy(F.desc("n"))
                                 .rowsBetween(Window.unboundedPreceding, -1))
-    cut = (by_count.select("lang", F.col("n").alias("m"), F.coalesce(above, F.lit(0)).alias("above"))
-           .where(F.col("above") < most).groupBy("lang").agg(F.min("m").alias("least")))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    return (counts.join(cut, "lang").where("n >= least").withColumn("at", F.row_number().over(order))
-            .where(F.col("at") <= most).join(total, "lang").select("lang", "item", "n", "total"))
+    cut = (by_count.select(*group, "n", "items", F.coalesce(above, F.lit(0)).alias("above"))
+           .groupBy(*group).agg(F.min(F.when(F.col("above") < most, F.col("n"))).alias("least"),
+                                F.sum(F.col("n") * F.col("items")).alias("total")))
+    order = Window.partitionBy(*group).orderBy(F.desc("n"), "item")
+    return (counts.join(cut, group).where("n >= least").withColumn("at", F.row_number().over(order))
+            .where(F.col("at") <= most).select("lang", "item", "n", "total"))
 
 
 def word_cost(model: Model, word: str) -> np.ndarray | None:
