@@ -28,11 +28,23 @@ def status_category(status: Column) -> Column:
             .otherwise(F.lit(CATEGORY_SERVER_ERROR)))
 
 
+def utc_seconds(ts: Column) -> Column:
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
+def utc_date(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(utc_seconds(ts) / 86400).cast("int"))
+
+
+def utc_hour_start(ts: Column) -> Column:
+    return F.timestamp_seconds(F.floor(utc_seconds(ts) / 3600) * 3600)
+
+
 def add_features(df: DataFrame) -> DataFrame:
     """Add hour, day_of_week, date, five status flags and is_bot.
 
     One narrow projection: stays inside the scan's whole-stage codegen span.
-    Time parts are UTC (the session must be). A column whose name differs from
+    Time parts are UTC, whatever the session's time zone. A column whose name differs from
     a derived one by case only (``Date``) is kept, as ``Date_raw``.
     """
     taken, names = {c.lower() for c in df.columns}, []
@@ -44,14 +56,12 @@ def add_features(df: DataFrame) -> DataFrame:
         names.append(name)
     if names != df.columns:
         df = df.toDF(*names)
-    from ..session import require_utc
-    require_utc(df.sparkSession)
     ts = F.col("timestamp")
     status = F.col("status")
     return df.withColumns({
-        "hour": F.hour(ts),
-        "day_of_week": F.date_format(ts, "EEEE"),
-        "date": F.to_date(ts),
+        "hour": F.pmod(F.floor(utc_seconds(ts) / 3600), F.lit(24)).cast("int"),
+        "day_of_week": F.date_format(utc_date(ts), "EEEE"),
+        "date": utc_date(ts),
         "is_success": status.between(200, 299),
         "is_redirect": status.between(300, 399),
         "is_client_error": status.between(400, 499),

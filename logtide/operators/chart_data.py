@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import ensure_features
+from ..functions.features import ensure_features, utc_hour_start
 from ..functions.fixed_values import AUTH_FAILURE_STATUSES, WEEKDAYS
-from ..session import require_utc
 
 
 def error_heatmap(df: DataFrame) -> DataFrame:
@@ -48,9 +47,8 @@ def auth_failure_timeline(df: DataFrame, top_n: int = 5) -> DataFrame:
     IP's hours (at most one entry per hour of the log) are then gathered with
     their total, and a TakeOrderedAndProject keeps ``top_n`` IPs.
     """
-    require_utc(df.sparkSession)  # UTC hour buckets
     fails = df.where(F.col("status").isin(*AUTH_FAILURE_STATUSES) & F.col("ip").isNotNull())
-    counts = (fails.groupBy(F.date_trunc("hour", "timestamp").alias("hour_bucket"), "ip")
+    counts = (fails.groupBy(utc_hour_start(F.col("timestamp")).alias("hour_bucket"), "ip")
               .agg(F.count(F.lit(1)).alias("failures")))
     top = (counts.groupBy("ip").agg(F.sum("failures").alias("n"),
                                     F.collect_list(F.struct("hour_bucket", "failures")).alias("hours"))

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import ensure_features
-from ..session import require_utc
+from ..functions.features import ensure_features, utc_hour_start
 
 
 def hourly_traffic(df: DataFrame) -> DataFrame:
     """(hour_bucket, request_count) per clock hour present in the data, ascending
     (UTC hours, whatever the caller's session time zone)."""
-    require_utc(df.sparkSession)
     return (df.where(F.col("timestamp").isNotNull())
-            .groupBy(F.date_trunc("hour", "timestamp").alias("hour_bucket"))
+            .groupBy(utc_hour_start(F.col("timestamp")).alias("hour_bucket"))
             .agg(F.count(F.lit(1)).alias("request_count"))
             .orderBy("hour_bucket"))
 

@@ -1,5 +1,6 @@
 """No line, file or column is lost without notice."""
 
+import datetime as dt
 import gzip
 import os
 
@@ -83,12 +84,26 @@ def test_folder_patterns(spark, tmp_path):
         batch_parse(spark, folder, "*/*.log")
 
 
-def test_other_time_zones_are_refused_not_changed(spark):
-    from conftest import make_log
-
-    from logtide.functions.features import add_features
+def test_zone_less_csv_times_need_a_utc_session(spark, tmp_path):
+    from logtide.sources.csv_log import read_csv_log
+    path = write(str(tmp_path), "a.csv", "time,status\n2024-01-15 08:00:00,200\n")
     other = spark.newSession()
     other.conf.set("spark.sql.session.timeZone", "America/New_York")
     with pytest.raises(ValueError, match="New_York"):
-        add_features(make_log(other, [{}]))
+        read_csv_log(other, path)
     assert other.conf.get("spark.sql.session.timeZone") == "America/New_York"
+
+
+def test_time_parts_do_not_touch_the_session(spark):
+    from conftest import make_log
+
+    from logtide.functions.features import add_features
+    from logtide.operators.traffic import hourly_traffic
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    log = make_log(other, [{"timestamp": dt.datetime(1969, 12, 31, 23, 59, 59)}, {"timestamp": dt.datetime(2024, 2, 29, 0, 0)}])
+    rows = sorted((r.date.isoformat(), r.hour, r.day_of_week) for r in add_features(log).collect())
+    assert rows == [("1969-12-31", 23, "Wednesday"), ("2024-02-29", 0, "Thursday")]
+    seconds = [r.s for r in hourly_traffic(log).selectExpr("unix_seconds(hour_bucket) AS s").collect()]
+    assert seconds == [-3600, 1709164800]
+    assert other.conf.get("spark.sql.session.timeZone") == "Asia/Kolkata"
