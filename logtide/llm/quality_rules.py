@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh_name
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -179,9 +179,6 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     """The rows of ``docs``, all columns, that no rule rejects."""
     plan = plan_rules(docs, text, rules)
     body = F.coalesce(F.col(text), F.lit(""))
-    names = set(docs.columns)
-    mark = "rejected_by"
-    while mark in names:
-        mark += "_"
+    mark = fresh_name(docs, "rejected_by")
     return (docs.withColumn(mark, bound(words_of(body), lambda words: cascade(body, words, plan)))
             .where(F.col(mark).isNull()).drop(mark))
