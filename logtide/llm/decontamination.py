@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_name
+from .common import checkpointed, fresh_name, staged
 
 WINDOW = 10
 STEPS = 2 * WINDOW
@@ -43,13 +43,14 @@ SAMPLED = 5
 TARGET_RECALL, AGREEMENT = 0.95, 0.75
 TABLES = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREEMENT ** SAMPLED))
 WALKS = 2
-#: Bits of the filter of benchmark keys that every task holds (16 MB, whatever
-#: the benchmark's size; more keys only let more windows through to the join).
-FILTER_BITS = 1 << 27
+#: Bits of the filter of benchmark keys that every task holds: so many a key,
+#: and 2^27 (16 MB) at most, whatever the benchmark's size; fewer bits a key
+#: only let more windows through to the join.
+BITS_A_KEY, MOST_BITS = 1024, 1 << 27
 PROBES = 3
 SEED = 6
 #: A worker forgets its word table beyond this many entries.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 1 << 17
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -122,8 +123,8 @@ def window_keys(words: np.ndarray, count: int) -> Iterator[np.ndarray]:
         yield from (keys[t] for t in own)
 
 
-def _probe(keys: np.ndarray, i: int) -> np.ndarray:
-    return (keys >> np.uint64(12 * i)) & np.uint64(FILTER_BITS - 1)
+def _probe(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(12 * i)) & np.uint64(bits - 1)
 
 
 def passages(words: list[str]) -> list[list[str]]:
@@ -157,14 +158,15 @@ def benchmark_index(benchmark: DataFrame, item: str = "item_id", text: str = "te
 
 
 def key_filter(index: DataFrame) -> np.ndarray:
-    """Bloom filter of the index's keys: at most FILTER_BITS / 64 words leave Spark."""
-    probes = F.array(*[F.shiftrightunsigned("key", 12 * i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(PROBES)])
+    """Bloom filter of the index's keys: at most MOST_BITS / 64 words leave Spark."""
+    size = min(MOST_BITS, 1 << max(6, (BITS_A_KEY * index.count() - 1).bit_length()))
+    probes = F.array(*[F.shiftrightunsigned("key", 12 * i).bitwiseAND(F.lit(size - 1)) for i in range(PROBES)])
     bits = (index.select(F.explode(probes).alias("bit"))
             .select(F.shiftright("bit", 6).alias("word"),
                     F.call_function("shiftleft", F.lit(1).cast("long"),
                                     F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
             .groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas())
-    out = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    out = np.zeros(size // 64, dtype="<i8")
     out[bits["word"].to_numpy(dtype=np.int64)] = bits["mask"].to_numpy(dtype=np.int64)
     return np.frombuffer(out.tobytes(), dtype=np.uint8)
 
@@ -175,7 +177,7 @@ def _hits(words: np.ndarray, count: int, bits: np.ndarray) -> tuple[np.ndarray,
     for keys in window_keys(words, count):
         left = np.arange(count)
         for i in range(PROBES):
-            bit = _probe(keys[left], i)
+            bit = _probe(keys[left], i, 8 * len(bits))
             left = left[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         starts.append(left)
         found.append(keys[left])
@@ -309,5 +311,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     Rows are told apart by two hashes of the text, 96 bits together."""
     one, two = fresh_name(docs, "text_hash_a"), fresh_name(docs, "text_hash_b")
     marked = docs.withColumns({one: F.xxhash64(text), two: F.hash(text)})
-    leaks = find_leaks(marked, benchmark, (one, two), text, item, item_text).select(one, two).distinct()
+    # Written first: with a known size, a small table is broadcast and no text is shuffled.
+    leaks = staged(find_leaks(marked, benchmark, (one, two), text, item, item_text).select(one, two).distinct(), "leaks")
     return marked.join(leaks, [one, two], "left_anti").drop(one, two)
