@@ -49,7 +49,7 @@ WALKS = 2
 BITS_A_KEY, MOST_BITS = 1024, 1 << 27
 PROBES = 3
 SEED = 6
-#: A worker forgets its word table beyond this many entries.
+#: A worker remembers the hashes of so many words, the first it meets.
 CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 1 << 17
 
@@ -86,15 +86,18 @@ class WordHashes:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         from xxhash import xxh64_intdigest
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        known, passing = self.known, []
         for word in set(words):
             if word in known:
                 continue
             bare = normal(word)
             known[word] = (xxh64_intdigest(bare.encode("utf-8", "replace"), SEED) or 1) if bare else 0
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+            if len(known) > CACHE_WORDS:
+                passing.append(word)
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        for word in passing:
+            del known[word]
+        return out
 
 
 def window_keys(words: np.ndarray, count: int) -> Iterator[np.ndarray]:
