@@ -7,9 +7,9 @@ other by the longest n-grams of it that the model knows, one size shorter at
 a time; what a language has not seen costs PENALTY. A text's score per
 language is the mean over its words; the smallest cost wins.
 
-Counts are over all training texts; the model keeps, per language, the
-MAX_WORDS most frequent words and MAX_NGRAMS n-grams of each size (ties by the
-string), so what is collected and broadcast has a fixed bound per language.
+Counts are over all training texts; the model keeps, per language, at most the
+MAX_WORDS most frequent words and MAX_NGRAMS n-grams of each size (items of one
+count together), so what is collected and broadcast has a fixed bound per language.
 
 Defined results
     * null text, or one without a letter: ``und``, score 0; so is every text if
@@ -129,20 +129,18 @@ def _cut(padded: Column, size: int) -> Column:
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """(lang, item, n, total): per language and size, the ``most`` frequent.
-
-    The count at that rank comes from the table of counts (how many items have
-    each), so the ranking window only sees items at or above it."""
+    """(lang, item, n, total): per language and size at most ``most`` items,
+    those from the least count on at which they still fit. Items of one count
+    are kept or left out together, so no ranking of the items is needed: the
+    window runs over how many items have each count."""
     group = ["lang", "size"]
     by_count = counts.groupBy(*group, "n").agg(F.count("*").alias("items"))
-    above = F.sum("items").over(Window.partitionBy(*group).orderBy(F.desc("n"))
-                                .rowsBetween(Window.unboundedPreceding, -1))
-    cut = (by_count.select(*group, "n", "items", F.coalesce(above, F.lit(0)).alias("above"))
-           .groupBy(*group).agg(F.min(F.when(F.col("above") < most, F.col("n"))).alias("least"),
-                                F.sum(F.col("n") * F.col("items")).alias("total")))
-    order = Window.partitionBy(*group).orderBy(F.desc("n"), "item")
-    return (counts.join(cut, group).where("n >= least").withColumn("at", F.row_number().over(order))
-            .where(F.col("at") <= most).select("lang", "item", "n", "total"))
+    so_far = F.sum("items").over(Window.partitionBy(*group).orderBy(F.desc("n"))
+                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = (by_count.withColumn("so_far", so_far).groupBy(*group)
+           .agg(F.min(F.when(F.col("so_far") <= most, F.col("n"))).alias("least"),
+                F.sum(F.col("n") * F.col("items")).alias("total")))
+    return counts.join(cut, group).where("n >= least").select("lang", "item", "n", "total")
 
 
 def word_cost(model: Model, word: str) -> np.ndarray | None:

@@ -79,7 +79,7 @@ def test_defined_results(spark):
 
 def test_model_bounds_keep_the_most_frequent(spark):
     model = language_id.learn(toy(spark, ROWS), max_words=1, max_ngrams=2)
-    assert {"the", "le"} <= set(model.words) and len(model.words) == 3
+    assert set(model.words) == {"the", "le"}  # the six German words tie and don't fit
     assert len(model.grams) <= 3 * 2 * len(language_id.SIZES)
 
 
