@@ -51,17 +51,21 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit numbers as byte planes: those of small numbers are mostly zeros,
-    which the shuffle's compression removes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers as compressed byte planes: the high bytes of small numbers
+    are zeros, and each plane has few values, which entropy coding uses."""
+    from zstandard import ZstdCompressor
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _numbers(planes: bytes, dtype: str = "<u8") -> np.ndarray:
+    from zstandard import ZstdDecompressor
+    raw = np.frombuffer(ZstdDecompressor().decompress(planes), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _sorted_planes(values: np.ndarray) -> bytes:
-    return _planes(np.diff(values, prepend=np.uint64(0)))
+    return _planes(np.diff(values.astype("<u8"), prepend=np.uint64(0)))
 
 
 def _sorted_numbers(planes: bytes) -> np.ndarray:
@@ -119,7 +123,7 @@ def word_blocks(docs: DataFrame, key: str, text: str, block_words: int) -> DataF
             vocabulary, numbers = np.unique(words, return_inverse=True)
             columns = [pa.array([uuid.uuid4().hex]), pa.array([[k.as_py() for k in keys]], pa.list_(kind)),
                        pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()),
-                       pa.array([numbers.astype("<u4").tobytes()], pa.binary()),
+                       pa.array([_planes(numbers.astype("<u4"))], pa.binary()),
                        pa.array([_sorted_planes(vocabulary)], pa.binary())]
             keys.clear()
             parts.clear()
@@ -145,7 +149,7 @@ def word_blocks(docs: DataFrame, key: str, text: str, block_words: int) -> DataF
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
-    words = _sorted_numbers(row.vocabulary)[np.frombuffer(row.numbers, "<u4")]
+    words = _sorted_numbers(row.vocabulary)[_numbers(row.numbers, "<u4")]
     return words, np.asarray(row.lengths, dtype=np.int64)
 
 
@@ -165,7 +169,7 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
                     bucket = np.minimum(grams // width, np.uint64(buckets - 1)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                     ends = [*edges[1:].tolist(), len(grams)]
-                    yield pd.DataFrame([(n, int(bucket[a]), row.block, _sorted_planes(grams[a:b]), _planes(counts[a:b]))
+                    yield pd.DataFrame([(n, int(bucket[a]), row.block, _sorted_planes(grams[a:b]), _planes(counts[a:b].astype("<u8")))
                                         for a, b in zip(edges.tolist(), ends, strict=True)],
                                        columns=["n", "bucket", "block", "grams", "counts"])
 
@@ -175,7 +179,7 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
         sums = np.bincount(place, weights=np.concatenate([_numbers(c) for c in group["counts"]]).astype(float))
         totals, at = [], 0
         for p in parts:
-            totals.append(_planes(sums[place[at:at + len(p)]].astype(np.uint64)))
+            totals.append(_planes(sums[place[at:at + len(p)]].astype("<u8")))
             at += len(p)
         return group[["block", "n", "bucket"]].assign(totals=totals)
 
