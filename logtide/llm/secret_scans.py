@@ -4,7 +4,8 @@ A candidate is a run of secret-like characters shortly after a sensitive
 word. Its novelty is measured with zstandard: the compressor is primed with a
 raw dictionary made of common identifiers, the document's own identifiers
 near by and the surrounding text, and the candidate's marginal compressed bytes (less those
-of an empty frame) are compared with its length. Words, paths and identifiers
+of an empty frame) are compared with what a random string of its length and
+alphabet costs. Words, paths and identifiers
 that the dictionary explains shrink; a random key doesn't. A candidate that
 stays above NOVELTY and mixes letters with digits is reported as ``novel``.
 
@@ -21,8 +22,11 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -66,9 +70,13 @@ REACH = 24
 SHORTEST = 16
 #: Characters of text on either side that prime the compressor.
 SURROUNDINGS = 512
-#: Least marginal bytes per character. Short random strings stay near 1, as
-#: zstandard finds no match in the dictionary; identifiers it explains fall below.
+#: Least share of the bytes that a random string of the same length and alphabet
+#: takes (its literals are entropy-coded too once it is long); random strings stay
+#: near 1, as zstandard finds no match in the dictionary; identifiers fall below.
 NOVELTY = 0.85
+#: Sets of characters that make an alphabet; symbols count as they occur.
+HEX_DIGITS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF")
+CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 #: Least number of places where a letter meets a digit.
 LETTER_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 CHANGES = 2
@@ -97,6 +105,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def alphabet_of(candidate: str) -> str:
+    """The smallest set of digits or hex digits that holds the candidate, else the classes it uses."""
+    used = set(candidate)
+    for digits in HEX_DIGITS:
+        if used <= set(digits):
+            return digits
+    known = "".join(c for c in CLASSES if not used.isdisjoint(c))
+    return known + "".join(sorted(used - set(known)))
+
+
+@lru_cache(maxsize=4096)
+def random_bytes(alphabet: str, length: int) -> int:
+    """Compressed bytes, less an empty frame's, of a random string."""
+    import zstandard
+    body = "".join(random.Random(length).choices(alphabet, k=length)).encode()
+    compressor = zstandard.ZstdCompressor(level=19, write_content_size=False)
+    return len(compressor.compress(body)) - len(compressor.compress(b""))
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given what surrounds it."""
 
@@ -113,6 +140,10 @@ class Novelty:
         body = candidate.encode()
         return max(0, len(compressor.compress(body)) - self.empty) / len(body)
 
+    def share(self, candidate: str, around: str) -> float:
+        """Marginal bytes as a share of those of a random string."""
+        return self.per_character(candidate, around) * len(candidate) / random_bytes(alphabet_of(candidate), len(candidate))
+
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], measure: Novelty) -> list[tuple[str, int, int]]:
     spans, end = [], 0
@@ -132,7 +163,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], measure: Novelty)
         if len(LETTER_DIGIT.findall(body)) < CHANGES:
             continue
         around = text[max(0, start - SURROUNDINGS):start] + " " + text[stop:stop + SURROUNDINGS]
-        if measure.per_character(body, around) >= NOVELTY:
+        if measure.share(body, around) >= NOVELTY:
             spans.append(("novel", start, stop))
     return spans
 
