@@ -3,7 +3,7 @@
 A candidate is a run of secret-like characters shortly after a sensitive
 word. Its novelty is measured with zstandard: the compressor is primed with a
 raw dictionary made of common identifiers, the document's own identifiers
-near by and the surrounding text, and the candidate's marginal compressed bytes (less those
+near by and the surrounding text without the candidate's own copies, and the candidate's marginal compressed bytes (less those
 of an empty frame) are compared with what a random string of its length and
 alphabet costs. Words, paths and identifiers
 that the dictionary explains shrink; a random key doesn't. A candidate that
@@ -83,6 +83,8 @@ CHANGES = 2
 
 CONTEXT = re.compile("(?:" + "|".join(_either(w) for w in sorted(SENSITIVE, key=len, reverse=True)) + ")")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~-]{{{SHORTEST},}}")
+#: What joins a key to a name or a path inside one run.
+PARTS = re.compile("[=/.~+-]+")
 
 
 #: Each ASSIGN match holds one of the first, each CONTEXT match one of all of
@@ -145,6 +147,17 @@ class Novelty:
         return self.per_character(candidate, around) * len(candidate) / random_bytes(alphabet_of(candidate), len(candidate))
 
 
+def surroundings(text: str, start: int, stop: int) -> str:
+    """SURROUNDINGS characters on either side, other copies of the candidate
+    and of its long parts blanked: a key that stands twice explains nothing."""
+    body, margin = text[start:stop], stop - start
+    before, after = text[max(0, start - SURROUNDINGS - margin):start], text[stop:stop + SURROUNDINGS + margin]
+    for part in sorted({body, *(x for x in PARTS.split(body) if len(x) >= SHORTEST)}, key=len, reverse=True):
+        blank = " " * len(part)
+        before, after = before.replace(part, blank), after.replace(part, blank)
+    return before[-SURROUNDINGS:] + " " + after[:SURROUNDINGS]
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], measure: Novelty) -> list[tuple[str, int, int]]:
     spans, end = [], 0
     if not _holds(text.lower(), CONTEXT_STEMS):
@@ -162,8 +175,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], measure: Novelty)
             continue
         if len(LETTER_DIGIT.findall(body)) < CHANGES:
             continue
-        around = text[max(0, start - SURROUNDINGS):start] + " " + text[stop:stop + SURROUNDINGS]
-        if measure.share(body, around) >= NOVELTY:
+        if measure.share(body, surroundings(text, start, stop)) >= NOVELTY:
             spans.append(("novel", start, stop))
     return spans
 

@@ -39,3 +39,22 @@ def test_jwts():
     for size in (32, 64, 256, 512):
         keys = [jwt(rng, size) for _ in range(20)]
         assert sum(found(f"{PROSE} Authorization: Bearer {k} {PROSE}") == [k] for k in keys) >= 19
+
+
+def test_keys_that_stand_twice():
+    rng = random.Random(9)
+    for n in (20, 40, 200, 600):
+        key = drawn(rng, string.ascii_letters + string.digits, n)
+        line = f"auth: {key}, retries 3\n"
+        assert found(line * 2) == [key] * 2 and found(line * 5) == [key] * 5
+        assert found(f"dev signature {key} and {PROSE} prod signature {key}") == [key] * 2
+        assert found(f"bearer {key}\necho {key}") == [key]
+        assert found(f"bearer {key}\nauth: /v/{key}") == [key, f"/v/{key}"]
+        for gap in range(max(1, S.SURROUNDINGS - n), S.SURROUNDINGS, n // 4):  # copies across the edge
+            assert found(f"bearer {key} {('lorem ' * 200)[:gap]} {key}") == [key]
+
+
+def test_repeated_keys_are_masked(spark, docs_of):
+    key = "Zk3jd8Qm2LxP9vT7aWq1"
+    rows = S.redact(docs_of([(1, f"auth: {key}\n" * 3)])).collect()
+    assert rows[0].text == "auth: [SECRET]\n" * 3
