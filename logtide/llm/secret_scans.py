@@ -1,13 +1,17 @@
 """Secret scans: base patterns, and novelty of other candidates.
 
 A candidate is a run of secret-like characters shortly after a sensitive
-word. Its novelty is measured with zstandard: the compressor is primed with a
+word, or after the identifier that holds it; every such run is measured, first its
+parts between equals signs, then the whole unless a part is novel. Its novelty is measured with zstandard: the compressor is primed with a
 raw dictionary made of common identifiers, the document's own identifiers
 near by and the surrounding text without the candidate's own copies, and the candidate's marginal compressed bytes (less those
 of an empty frame) are compared with what a random string of its length and
 alphabet costs. Words, paths and identifiers
 that the dictionary explains shrink; a random key doesn't. A candidate that
-stays above NOVELTY and mixes letters with digits is reported as ``novel``.
+stays above NOVELTY is reported as ``novel`` if it mixes letters with digits,
+or else if it costs IN_TEXT when compressed as the end of a text: there even
+short literals are entropy-coded by the letters of prose, so that words that no
+dictionary holds (names, compounds) stay cheap and random letters don't.
 
 Defined results
     * null text: as an empty one, without spans.
@@ -65,7 +69,24 @@ IDENTIFIERS = (
     "class const let var self this print required optional your_token_here changeme placeholder xxxxxxxx 0123456789 "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ id_rsa ssh-rsa BEGIN END PRIVATE KEY")
 
-#: A candidate begins at most this many characters after the sensitive word.
+#: Common words and path parts, for the letter frequencies of prose.
+WORDS = (
+    "the and for with from that this have are was were not you your all can has been will more when which their there "
+    "one about would other into time only some could them these than then its over also after first new because any "
+    "our work how many most well even way should between through where long before must such make each those people "
+    "state right still world life being here both under never same another while last might great year since against "
+    "place during without again around however home small found thought went every came made number known used system "
+    "program question government development international information organization administration communication "
+    "application management computer university department education national community research technology business "
+    "service process project product production security network website article content category search contact "
+    "privacy policy terms conditions address email phone request response message error failed invalid missing expected "
+    "update create delete remove select insert change check verify validate authenticate authorize register login "
+    "logout reset expire refresh role group profile customer order payment invoice price shipping city country street "
+    "north south east west germany france spain english deutsch gesellschaft verwaltung entwicklung universite "
+    "gobierno nacion www.example.com/2019/03/12/how-to-use-it.html https://en.wikipedia.org/wiki/List_of_names "
+    "/2018/11/07/ /2020/05/26/ 2017-08-30 /wp-content/uploads/2016/09/image-1.jpg /index.php /tags/ /blog/ /news/")
+
+#: A candidate begins at most this many characters after the identifier with the sensitive word.
 REACH = 24
 SHORTEST = 16
 #: Characters of text on either side that prime the compressor.
@@ -77,11 +98,18 @@ NOVELTY = 0.85
 #: Sets of characters that make an alphabet; symbols count as they occur.
 HEX_DIGITS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF")
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
-#: Least number of places where a letter meets a digit.
+#: Least bytes per character at the end of a text (less where a random string
+#: of the length and alphabet takes less); only measured under CHANGES.
+IN_TEXT = 0.72
+#: Ends of the text, over which the bytes are averaged, as single ones are rounded.
+ENDS = (" ", "\n", ": ", '"')
+#: Number of places where a letter meets a digit that mark a mix of both.
 LETTER_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 CHANGES = 2
 
 CONTEXT = re.compile("(?:" + "|".join(_either(w) for w in sorted(SENSITIVE, key=len, reverse=True)) + ")")
+#: The rest of the identifier that holds the sensitive word.
+IDENTIFIER_END = re.compile("[A-Za-z0-9_-]*")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~-]{{{SHORTEST},}}")
 #: What joins a key to a name or a path inside one run.
 PARTS = re.compile("[=/.~+-]+")
@@ -132,7 +160,10 @@ class Novelty:
     def __init__(self):
         import zstandard
         self.zstd = zstandard
-        self.empty = len(zstandard.ZstdCompressor(level=19).compress(b""))
+        self.plain = zstandard.ZstdCompressor(level=19)
+        self.empty = len(self.plain.compress(b""))
+        texts = [f"{WORDS} {IDENTIFIERS}{end}".encode() for end in ENDS]
+        self.texts = [(x, len(self.plain.compress(x))) for x in texts]
 
     def per_character(self, candidate: str, around: str) -> float:
         known = f"{IDENTIFIERS} {around}".encode("utf-8", "replace")
@@ -147,6 +178,21 @@ class Novelty:
         return self.per_character(candidate, around) * len(candidate) / random_bytes(alphabet_of(candidate), len(candidate))
 
 
+    def in_text(self, candidate: str) -> float:
+        """Bytes per character that the candidate adds at the end of a text, the mean over its ENDS."""
+        body = candidate.encode()
+        added = [len(self.plain.compress(text + body)) - size for text, size in self.texts]
+        return sum(added) / len(added) / len(body)
+
+    def is_novel(self, candidate: str, around: str) -> bool:
+        if self.share(candidate, around) < NOVELTY:
+            return False
+        if len(LETTER_DIGIT.findall(candidate)) >= CHANGES:
+            return True
+        least = random_bytes(alphabet_of(candidate), len(candidate)) / len(candidate)
+        return self.in_text(candidate) >= min(IN_TEXT, NOVELTY * least)
+
+
 def surroundings(text: str, start: int, stop: int) -> str:
     """SURROUNDINGS characters on either side, other copies of the candidate
     and of its long parts blanked: a key that stands twice explains nothing."""
@@ -159,27 +205,37 @@ def surroundings(text: str, start: int, stop: int) -> str:
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], measure: Novelty) -> list[tuple[str, int, int]]:
-    spans, end = [], 0
+    spans, end, named = [], 0, 0
     if not _holds(text.lower(), CONTEXT_STEMS):
         return spans
     for context in CONTEXT.finditer(text):
-        m = CANDIDATE.search(text, max(context.end(), end), context.end() + REACH + SHORTEST)
-        if not m:
-            continue
-        m = CANDIDATE.match(text, m.start())  # to the end of its run
-        body = m.group().strip("=.-")
-        start = m.start() + (len(m.group()) - len(m.group().lstrip("=.-")))
-        stop = start + len(body)
-        end = m.end()
-        if len(body) < SHORTEST or any(a < stop and start < b for _, a, b in taken):
-            continue
-        if len(LETTER_DIGIT.findall(body)) < CHANGES:
-            continue
-        if measure.share(body, surroundings(text, start, stop)) >= NOVELTY:
-            spans.append(("novel", start, stop))
+        if context.end() > named:
+            named = IDENTIFIER_END.match(text, context.end()).end()
+        begin = max(context.end(), end)
+        while m := CANDIDATE.search(text, begin, named + REACH + SHORTEST):
+            m = CANDIDATE.match(text, m.start())  # to the end of its run
+            begin = end = m.end()
+            found = []
+            for start, stop in parts_of(text, m.start(), m.end()):
+                if any(a < stop and start < b for _, a, b in [*taken, *found]):
+                    continue
+                if measure.is_novel(text[start:stop], surroundings(text, start, stop)):
+                    found.append(("novel", start, stop))
+            spans += found
     return spans
 
 
+def parts_of(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """The parts of a run between equals signs, then the run as a whole; all
+    without outer signs and at least SHORTEST long."""
+    pieces = [(start + m.start(), start + m.end()) for m in re.finditer("[^=]+", text[start:stop])]
+    bare = []
+    for a, b in [*pieces, (start, stop)]:
+        body = text[a:b]
+        bare.append((a + len(body) - len(body.lstrip("=.-")), b - len(body) + len(body.rstrip("=.-"))))
+    return [x for x in dict.fromkeys(bare) if x[1] - x[0] >= SHORTEST]
+
+
 def listed(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))

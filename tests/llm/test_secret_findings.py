@@ -25,7 +25,7 @@ def jwt(rng, size):
     return ".".join([part(b'{"alg":"HS256","typ":"JWT"}'), part(claims.encode()), part(rng.randbytes(size))])
 
 
-@pytest.mark.parametrize("n", [24, 40, 64, 128, 259, 400, 512, 1000, 2000])
+@pytest.mark.parametrize("n", [16, 24, 40, 64, 128, 259, 400, 512, 1000, 2000])
 def test_random_keys_of_any_length_and_alphabet(n):
     rng = random.Random(n)
     for alphabet in (BASE64, "0123456789ABCDEF"):
@@ -58,3 +58,31 @@ def test_repeated_keys_are_masked(spark, docs_of):
     key = "Zk3jd8Qm2LxP9vT7aWq1"
     rows = S.redact(docs_of([(1, f"auth: {key}\n" * 3)])).collect()
     assert rows[0].text == "auth: [SECRET]\n" * 3
+
+
+def test_letters_only_and_digits_at_one_end():
+    assert found("bearer qWzXbHkLmPoRtYvNcJdS") == ["qWzXbHkLmPoRtYvNcJdS"]
+    assert found("bearer qWzXbHkLmPoRtYvNcJdS7") == ["qWzXbHkLmPoRtYvNcJdS7"]
+    rng = random.Random(4)
+    for n in (20, 32, 64, 300):
+        keys = ["".join(rng.choices(string.ascii_letters, k=n)) for _ in range(40)]
+        hits = sum(found(f"{PROSE} bearer {k} {PROSE}") == [k] for k in keys)
+        assert hits >= 36, (n, hits)
+
+
+def test_words_and_paths_are_no_keys():
+    for name in ("internationalization", "Donaudampfschifffahrt", "Jean-Baptiste-Emmanuel", "jonathan-kowalski",
+                 "getUserSessionTokenFromCache", "straightforwardness", "Wahrscheinlichkeitsrechnung",
+                 "MessageAuthenticationProvider", "/usr/local/share/zoneinfo", "password_reset_for_admins",
+                 "www.smithsonianmag.com/history", "/2019/03/12/how-to-bake-sourdough-bread"):
+        assert found(f"author {name} {PROSE}") == found(f"{PROSE} auth: {name}") == [], name
+
+
+def test_every_run_within_reach_is_measured():
+    key = "Zk3jd8Qm2LxP9vT7aWq1"
+    assert found(f"password_reset_for_admins = {key}") == [key]
+    assert found(f"password_reset_for_admins={key}") == [key]
+    assert found(f"password_reset_for_all_admins_and_guests_of_house = {key}") == [key]
+    assert found(f"auth: configuration_default {key}") == [key]
+    assert found(f"auth: {key} Yq7nB2kfR9sD4wXt0LmZ") == [key, "Yq7nB2kfR9sD4wXt0LmZ"]
+    assert found("auth" * 20_000 + f" {key}") == [key]
