@@ -60,17 +60,17 @@ ABOUT = ("has-", "no-", "with-", "without-", "is-", "js-")
 
 #: The small labelled table: words and link density of a block, of the block
 #: before and of the block after; landmark (1 content, 0 none, -1 other);
-#: whether the page has a content landmark; heading; label (1 article).
-#: Where a landmark settles it, size and links don't matter: the same blocks
-#: appear under each, labelled by the landmark.
+#: whether the page has a content landmark (0.5 if by class names alone);
+#: heading; label (1 article). The same blocks appear under each landmark. Inside
+#: content, links beside links are no text; outside a landmark that only a class
+#: name makes, size, links and neighbours decide as on pages without one.
 _ANY = tuple((n, d, b, db, a, da) for n, d in ((1, 0.0), (3, 1.0), (12, 0.0), (30, 0.5), (90, 0.0))
              for b, db, a, da in ((0, 0.0, 2, 1.0), (2, 1.0, 50, 0.0), (50, 0.0, 8, 0.0), (20, 0.0, 20, 0.0)))
-LABELLED = (
-    *((*block, 1, 1, 0, 1) for block in _ANY),
-    *((*block, -1, 1, 0, 0) for block in _ANY),
-    *((*block, -1, 0, 0, 0) for block in _ANY),
-    *((*block, 0, 1, 0, 0) for block in _ANY),
-    # pages without a content landmark: size, links and neighbours decide
+_LINKS = ((4, 1.0, 3, 1.0, 5, 1.0), (2, 1.0, 6, 1.0, 2, 1.0), (9, 1.0, 8, 1.0, 7, 1.0), (3, 1.0, 3, 1.0, 40, 0.0),
+          (6, 1.0, 2, 0.0, 5, 1.0), (1, 1.0, 50, 0.0, 2, 1.0), (5, 1.0, 4, 1.0, 0, 0.0), (12, 0.9, 10, 1.0, 20, 0.0),
+          (3, 1.0, 45, 0.0, 3, 1.0), (5, 1.0, 12, 0.0, 4, 1.0), (4, 1.0, 80, 0.0, 6, 1.0), (8, 1.0, 20, 0.0, 2, 1.0),
+          (3, 1.0, 3, 1.0, 2, 0.0), (4, 1.0, 6, 1.0, 12, 0.0))
+_OPEN = (
     (2, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (6, 0.8, 40, 0.0, 5, 1.0, 0, 0, 0, 0), (25, 0.7, 3, 1.0, 22, 0.6, 0, 0, 0, 0),
     (3, 0.5, 2, 1.0, 50, 0.0, 0, 0, 0, 0), (40, 0.5, 30, 0.5, 12, 1.0, 0, 0, 0, 0), (1, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
     (90, 0.8, 60, 0.0, 70, 0.0, 0, 0, 0, 0), (12, 0.9, 30, 0.0, 30, 0.0, 0, 0, 0, 0), (4, 0.6, 20, 0.0, 3, 1.0, 0, 0, 0, 0),
@@ -85,6 +85,17 @@ LABELLED = (
     (22, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (2, 0.0, 18, 0.0, 60, 0.0, 0, 0, 0, 1), (1, 0.0, 30, 0.0, 20, 0.0, 0, 0, 0, 1),
     (35, 0.2, 2, 0.0, 18, 0.0, 0, 0, 0, 1), (50, 0.0, 50, 0.0, 4, 1.0, 0, 0, 0, 1), (11, 0.0, 45, 0.0, 6, 0.0, 0, 0, 0, 1),
     (6, 0.0, 7, 0.0, 40, 0.0, 0, 0, 1, 1), (20, 0.1, 18, 0.0, 22, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (2, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1),
+)
+LABELLED = (
+    *((*block, 1, 1, 0, int(not (block[1] > 0.75 and max(block[3], block[5]) > 0.75))) for block in _ANY),
+    *((*block, 1, 1, 0, 0) for block in _LINKS),
+    *((*block, 1, 0.5, 0, int(not (block[1] > 0.75 and max(block[3], block[5]) > 0.75))) for block in _ANY),
+    *((*block, -1, 1, 0, 0) for block in _ANY),
+    *((*block, -1, 0, 0, 0) for block in _ANY),
+    *((*block, 0, 1, 0, 0) for block in _ANY),
+    *_OPEN,
+    *((*row[:7], 0.5, *row[8:]) for row in _OPEN),
 )
 #: Documented bounds of the training.
 MOST_LABELLED = 200
@@ -104,7 +115,7 @@ class Block(NamedTuple):
 
 
 def _marks(tag: str, attributes: str, around: int, articles: int) -> int | None:
-    """Landmark that an element makes: 1, -1, or None where it makes none."""
+    """Landmark that an element makes: 2, 1 (by class name alone), -1, or None where it makes none."""
     names, parts, role = set(), set(), ""
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -121,14 +132,14 @@ def _marks(tag: str, attributes: str, around: int, articles: int) -> int | None:
                     name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return -1
             elif name == "itemprop" and value.lower() == "articlebody":
-                return 1
+                return 2
     if tag in ("html", "body"):  # page-wide class names say nothing about their blocks
         return None
     if tag == "main" or role == "main":
-        return 1
+        return 2
     if tag == "article" or role == "article":
         # an article inside an article is a comment; inside another landmark a teaser
-        return -1 if articles > 0 or around < 0 or parts & NOT_ARTICLES else 1
+        return -1 if articles > 0 or around < 0 or parts & NOT_ARTICLES else 2
     if parts & OTHER_WORDS and not names & CONTENT_WORDS or role in OTHER_ROLES:
         return -1
     if tag == "header" and around > 0:  # an article's own header holds its title
@@ -136,7 +147,7 @@ def _marks(tag: str, attributes: str, around: int, articles: int) -> int | None:
     if tag in OTHER_TAGS:
         return -1
     if names & CONTENT_WORDS and around >= 0:
-        return 1
+        return max(1, around)
     return None
 
 
@@ -229,10 +240,10 @@ FEATURES = ("words", "density", "words before", "density before", "words after",
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    has = int(any(b.landmark > 0 for b in blocks))
+    has = min(1.0, max((b.landmark for b in blocks if b.landmark > 0), default=0) / 2)
     nothing = Block("", 0, 0.0, 0, 0)
     padded = [nothing, *blocks, nothing]
-    return [(b.words, b.density, p.words, p.density, n.words, n.density, b.landmark, has, b.heading)
+    return [(b.words, b.density, p.words, p.density, n.words, n.density, min(b.landmark, 1), has, b.heading)
             for p, b, n in zip(padded, blocks, padded[2:], strict=False)]
 
 
