@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, lm_scoring, oracle, packing, quality_rules, secret_scans, sharding, simhash, url_filters
-from .common import table
+from pyspark.sql import functions as F
+
+from . import (bpe_codec, decontamination, html_extraction, language_id, lm_scoring, merkle_manifest, oracle, packing,
+               phrase_mining, quality_rules, secret_scans, sharding, simhash, url_filters)
+from .common import ascii_lower, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
 SHARDS = 8
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +61,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document (by the checksum of its id) is held against the
+    manifest with its text lower-cased, the others as they are."""
+    docs = table(spark, sf_dir, "documents")
+    changed = [ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in MANIFEST]
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle_manifest.leaf_digest(changed))
+    return merkle_manifest.prove(docs, MANIFEST, "lang", "doc_id", claimed)
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup, op6_decontamination, op7_lm_scoring, op8_quality_rules, op9_sharding, op10_packing)
+    own = (op1_url_filters, op2_language_id, op3_html_extraction, op4_secret_scans, op5_simhash_near_dedup,
+           op6_decontamination, op7_lm_scoring, op8_quality_rules, op9_sharding, op10_packing, op11_phrase_mining,
+           op12_merkle_manifest, op13_bpe_codec)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": oracle.OP1, "op7_lm_scoring": oracle.OP7, "op8_quality_rules": oracle.OP8}
+    return {"op1_url_filters": oracle.OP1, "op7_lm_scoring": oracle.OP7, "op8_quality_rules": oracle.OP8,
+            "op11_phrase_mining": oracle.OP11, "op12_merkle_manifest": oracle.OP12}
