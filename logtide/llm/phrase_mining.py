@@ -45,7 +45,7 @@ TOP = 2000
 #: A longer phrase that has this share of a phrase's occurrences, in percent, covers it.
 COVER = 50
 #: Bytes of text in a shard, but for a longer piece; how many of them a task holds at once over all groups.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 HELD_SHARDS = 3
 #: Rows of an Arrow batch that leaves a task.
 ROWS = 1 << 18
@@ -225,6 +225,7 @@ class ShardIndex:
         owner = np.repeat(np.arange(len(count)), count)
         at = np.arange(total) + np.repeat(near - base, count)
         key = owner * self.sigma + transform.symbols[at]
+        del owner
         order = np.argsort(key)
         key = key[order]
         runs = np.flatnonzero(np.diff(key, prepend=-1))
@@ -232,7 +233,7 @@ class ShardIndex:
             return (np.zeros(0, dtype=np.int64),) * 5
         phrase, word = np.divmod(key[runs], self.sigma)
         size = np.diff(runs, append=total)
-        first = np.minimum.reduceat(at[order], runs)
+        first = at[np.minimum.reduceat(order, runs)]  # positions ascend within a phrase
         whole = word > 0  # no phrase goes over a break
         found = (phrase, word, transform.step[first], far[phrase] + runs - base[phrase], size)
         return tuple(x[whole] for x in found)
