@@ -32,16 +32,22 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import half_even
 from ..functions.quantile import exact_quantile
 from ..session import ensure_checkpoint_dir
+from ..sinks.writers import write_parquet
 from .ip_features import FEATURE_NAMES, ip_feature_matrix
 
 EULER_GAMMA = 0.5772156649
+NODE_VALUES = ("feature", "threshold", "left_child", "right_child", "leaf_depth")
+MODEL_PARAMS = ("psi", "n", "max_depth", "offset", "contamination", "seed")
+NODE_TABLE = "tree int, node int, feature int, threshold double, left_child int, right_child int, leaf_depth double"
+PARAM_TABLE = ("psi int, n long, max_depth int, offset double, contamination double, seed long, n_estimators int, "
+               "features array<string>")
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, "
                "right_child int, leaf_depth double, sample_size int")
 
@@ -182,6 +188,32 @@ def _scorer(bc, features: tuple[str, ...]):
     return score
 
 
+def _no_rows(feats: DataFrame) -> DataFrame:
+    return feats.sparkSession.createDataFrame([], T.StructType(feats.schema.fields + [
+        T.StructField("raw_score", T.IntegerType()), T.StructField("decision_score", T.DoubleType()),
+        T.StructField("is_anomaly", T.BooleanType())]))
+
+
+def _scored(feats: DataFrame, model: dict) -> DataFrame:
+    bc = feats.sparkSession.sparkContext.broadcast(model)
+    scored_schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
+    return feats.mapInPandas(_scorer(bc, FEATURE_NAMES), scored_schema)
+
+
+def _offset(scored: DataFrame, contamination: float, n: int) -> float:
+    return exact_quantile(scored.select((-F.col("anomaly_score")).alias("neg_score")), "neg_score", contamination, n=n)
+
+
+def _decided(scored: DataFrame, offset: float) -> DataFrame:
+    decision = -F.col("anomaly_score") - F.lit(offset)
+    return (scored
+            .withColumn("raw_score", F.when(decision < 0, F.lit(-1)).otherwise(F.lit(1)))
+            .withColumn("decision_score", half_even(decision, 4))
+            .withColumn("is_anomaly", F.col("raw_score") == -1)
+            .drop("anomaly_score")
+            .orderBy(F.desc("is_anomaly"), F.asc("decision_score"), F.asc("ip")))
+
+
 def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: int = 200,
                      max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Per-IP features plus raw_score (-1 outlier / 1 inlier), decision_score
@@ -189,28 +221,77 @@ def isolation_forest(df: DataFrame, contamination: float = 0.05, n_estimators: i
 
     Fewer than 10 log rows give an empty result with the same columns.
     """
-    spark = df.sparkSession
     feats = ip_feature_matrix(df)
-    out_schema = T.StructType(feats.schema.fields + [
-        T.StructField("raw_score", T.IntegerType()), T.StructField("decision_score", T.DoubleType()),
-        T.StructField("is_anomaly", T.BooleanType())])
     if len(df.select("ip").take(10)) < 10:
-        return spark.createDataFrame([], out_schema)
-    ensure_checkpoint_dir(spark)
+        return _no_rows(feats)
+    ensure_checkpoint_dir(df.sparkSession)
     feats = feats.checkpoint(eager=True)
     if feats.isEmpty():                      # e.g. every row has a null IP
-        return spark.createDataFrame([], out_schema)
+        return _no_rows(feats)
     model = fit_forest(feats, n_estimators, max_samples, seed)
-    bc = spark.sparkContext.broadcast(model)
-    scored_schema = T.StructType(feats.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = feats.mapInPandas(_scorer(bc, FEATURE_NAMES), scored_schema)
-    scored = scored.checkpoint(eager=True)   # the offset search reads the scores several times
-    offset = exact_quantile(scored.select((-F.col("anomaly_score")).alias("neg_score")),
-                            "neg_score", contamination, n=model["n"])  # every IP gets a score
-    decision = -F.col("anomaly_score") - F.lit(offset)
-    return (scored
-            .withColumn("raw_score", F.when(decision < 0, F.lit(-1)).otherwise(F.lit(1)))
-            .withColumn("decision_score", half_even(decision, 4))
-            .withColumn("is_anomaly", F.col("raw_score") == -1)
-            .drop("anomaly_score")
-            .orderBy(F.desc("is_anomaly"), F.asc("decision_score"), F.asc("ip")))
+    scored = _scored(feats, model).checkpoint(eager=True)  # the offset search reads the scores several times
+    return _decided(scored, _offset(scored, contamination, model["n"]))  # every IP gets a score
+
+
+# --- a fitted model that scores other logs ----------------------------------
+
+def fit_model(df: DataFrame, contamination: float = 0.05, n_estimators: int = 200, max_samples: int = 256,
+              seed: int = 42) -> dict:
+    """Forest and offset of a log: what ``isolation_forest`` fits on it.
+
+    Scoring the same log with ``score_log`` gives the same table. Raises
+    ValueError where ``isolation_forest`` would be empty for want of rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    if len(df.select("ip").take(10)) < 10:
+        raise ValueError("fewer than 10 rows to fit the forest on")
+    feats = ip_feature_matrix(df).checkpoint(eager=True)
+    model = fit_forest(feats, n_estimators, max_samples, seed)
+    scored = _scored(feats, model).checkpoint(eager=True)
+    return model | {"offset": _offset(scored, contamination, model["n"]), "contamination": contamination, "seed": seed}
+
+
+def score_log(df: DataFrame, model: dict) -> DataFrame:
+    """``isolation_forest``'s columns for the IPs of another log, by a fitted
+    model: outliers lie beyond the offset of the log that it was fitted on."""
+    return _decided(_scored(ip_feature_matrix(df), model), model["offset"])
+
+
+def model_tables(spark: SparkSession, model: dict) -> tuple[DataFrame, DataFrame]:
+    """The model as rows: its nodes (tree, node, feature, threshold,
+    left_child, right_child, leaf_depth) and one row of parameters."""
+    used = np.zeros(model["feature"].shape, dtype=bool)
+    used[:, 0] = True
+    for tree, node in zip(*np.nonzero(model["feature"] >= 0)):  # the forest's size is fixed by its parameters
+        used[tree, model["left_child"][tree, node]] = used[tree, model["right_child"][tree, node]] = True
+    tree, node = np.nonzero(used)
+    nodes = pd.DataFrame({"tree": tree, "node": node, **{k: model[k][tree, node] for k in NODE_VALUES}})
+    params = {k: model[k] for k in MODEL_PARAMS}
+    return (spark.createDataFrame(nodes, NODE_TABLE),
+            spark.createDataFrame([(*params.values(), len(used), list(FEATURE_NAMES))], PARAM_TABLE))
+
+
+def save_model(spark: SparkSession, model: dict, path: str) -> None:
+    """Write the model as two Parquet tables under ``path``."""
+    nodes, params = model_tables(spark, model)
+    write_parquet(nodes, f"{path.rstrip('/')}/nodes")
+    write_parquet(params, f"{path.rstrip('/')}/params")  # last: a model without parameters is not finished
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """A model that ``save_model`` wrote."""
+    return model_from(spark.read.parquet(f"{path.rstrip('/')}/nodes"), spark.read.parquet(f"{path.rstrip('/')}/params"))
+
+
+def model_from(nodes: DataFrame, params: DataFrame) -> dict:
+    """The model of ``model_tables``; its nodes number 2 * psi - 1 a tree at most."""
+    row = params.first().asDict()
+    if tuple(row["features"]) != FEATURE_NAMES:
+        raise ValueError(f"the model was fitted on {row['features']}, the features here are {list(FEATURE_NAMES)}")
+    found = nodes.toPandas()
+    shape = (row["n_estimators"], int(found["node"].max()) + 1)
+    model = {k: np.zeros(shape, dtype=float if k in ("threshold", "leaf_depth") else np.int32) for k in NODE_VALUES}
+    model["feature"][:] = -1
+    for k in NODE_VALUES:
+        model[k][found["tree"], found["node"]] = found[k]
+    return model | {k: row[k] for k in MODEL_PARAMS}

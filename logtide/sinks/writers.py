@@ -48,10 +48,30 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _csv_safe(df).write.mode(mode).options(**CSV_TEXT).option("header", "true").csv(path)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that a job wrote for its own use, in whatever store it is."""
+def _in_store(spark: SparkSession, path: str):
+    """(file system, path) in whatever store the path names."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _in_store(spark, path)
+    return fs.exists(folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote for its own use."""
+    fs, folder = _in_store(spark, path)
+    fs.delete(folder, True)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Put a finished result in its place, instead of an earlier one."""
+    fs, folder = _in_store(spark, path)
+    target = _in_store(spark, to)[1]
+    fs.delete(target, True)
+    if not fs.rename(folder, target):
+        raise OSError(f"'{path}' could not be moved to '{to}'")
 
 
 def result_path(prefix: str, suffix: str) -> str:

@@ -17,6 +17,7 @@ from ..functions.fixed_values import (CSV_BYTES_AS_ZERO, CSV_COLUMN_ALIASES, CSV
                                       CSV_NULL_TOKENS, CSV_REQUIRED_COLUMNS)
 from ..session import require_utc
 from .access_view import BASE_COLUMNS
+from .csv_records import read_split_csv
 from .raw_log import to_long_or_zero
 
 # Timestamp layouts tried, in order, after the ISO-8601 cast (a [decision]:
@@ -113,13 +114,19 @@ def map_and_cast(raw: DataFrame, timestamp_formats: tuple[str, ...] = DEFAULT_TI
 
 
 def read_csv_log(spark: SparkSession, path: str | list[str],
-                 timestamp_formats: tuple[str, ...] = DEFAULT_TIMESTAMP_FORMATS, multi_line: bool = True) -> DataFrame:
+                 timestamp_formats: tuple[str, ...] = DEFAULT_TIMESTAMP_FORMATS,
+                 multi_line: bool | str = True) -> DataFrame:
     """CSV file(s) with a header row, all cells read as strings, then mapped.
 
     ``multi_line`` allows line breaks inside quoted cells; Spark then reads
-    each file in one task. Without such cells, ``multi_line=False`` lets large
-    files be split.
+    each file in one task. ``multi_line="split"`` gives the same table for RFC
+    4180 text and reads large files in many tasks (see ``csv_records``).
+    Without such cells, ``multi_line=False`` lets Spark itself split files.
     """
+    if multi_line == "split":
+        return map_and_cast(read_split_csv(spark, path), timestamp_formats)
+    if not isinstance(multi_line, bool):
+        raise ValueError(f"multi_line is True, False or 'split', not {multi_line!r}")
     raw = (spark.read.options(**CSV_TEXT).option("header", "true").option("inferSchema", "false")
            .option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE").csv(path))
     return map_and_cast(raw, timestamp_formats)

@@ -14,11 +14,12 @@ import logging
 from fnmatch import fnmatchcase
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import ACCESS_LINE_PATTERN, ACCESS_TIME_FORMATS
 from .access_view import BASE_COLUMNS
+from .file_status import file_status
 
 # Characters Python's ``str.strip()`` removes (derived by rule, not listed).
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -116,20 +117,58 @@ def typed_columns(groups: Column) -> list[Column]:
     ]
 
 
-def parse_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+class ParseMetrics:
+    """Parse-quality counts of one log, taken by the action that parses it.
+
+    Give it to ``parse_lines``; ``get`` waits for the first action on the
+    result and returns ``parse_quality``'s figures without a scan of their
+    own. For a stream use its name: every micro-batch reports under it.
+    """
+
+    LINES = ("total_lines", "parsed_lines", "failed_lines", "blank_lines")
+
+    def __init__(self, name: str = "parse_quality", streaming: bool = False):
+        self.name, self.streaming = name, streaming
+        names = (f"{name}_lines", f"{name}_rows")
+        self.lines, self.rows = names if streaming else map(Observation, names)
+
+    def of_lines(self, marked: DataFrame) -> DataFrame:
+        counts = (F.count(F.lit(1)), F.count_if(F.col("matched")), F.count_if(~F.col("matched") & ~F.col("is_blank")),
+                  F.count_if(F.col("is_blank")))
+        return marked.observe(self.lines, *[c.alias(n) for n, c in zip(self.LINES, counts, strict=True)])
+
+    def of_rows(self, typed: DataFrame) -> DataFrame:
+        return typed.observe(self.rows, F.count(F.lit(1)).alias("rows"))
+
+    @staticmethod
+    def figures(lines: dict, rows: dict) -> dict:
+        total = lines["total_lines"]
+        return {**{n: lines[n] for n in ParseMetrics.LINES}, "bad_timestamps": lines["parsed_lines"] - rows["rows"],
+                "parse_pct": lines["parsed_lines"] / total * 100.0 if total else None}
+
+    def get(self) -> dict:
+        return self.figures(self.lines.get, self.rows.get)
+
+
+def parse_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...] = (),
+                metrics: ParseMetrics | None = None) -> DataFrame:
     """Parse a DataFrame of log lines into the typed access-log table.
 
     Blank and non-matching lines give no row; rows whose timestamp cannot
-    be parsed are dropped. ``keep`` names input columns to carry along.
+    be parsed are dropped. ``keep`` names input columns to carry along;
+    ``metrics`` counts all of these on the way.
     """
     marked = split_lines(lines, value_col)
+    if metrics:
+        marked = metrics.of_lines(marked)
     # Rows leave through a generator (one struct for a matching line, none
     # otherwise): a filter on ``matched`` would be pushed below the
     # projections and evaluate the regex a second time.
     row = F.struct(*typed_columns(F.col("groups")))
     typed = marked.select(*[F.col(k) for k in keep],
                           F.inline(F.when(F.col("matched"), F.array(row))))
-    return typed.where(F.col("timestamp").isNotNull())
+    typed = typed.where(F.col("timestamp").isNotNull())
+    return metrics.of_rows(typed) if metrics else typed
 
 
 def parse_quality(lines: DataFrame, source_col: str = "source", value_col: str = "value") -> DataFrame:
@@ -180,31 +219,34 @@ def _refuse_hidden(spark: SparkSession, paths: list[str], pattern: str | None) -
                          "Rename them, or give a pattern that leaves them out (such as '[!_.]*.log').")
 
 
-def read_log_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None,
-                   repartition: int | None = None) -> DataFrame:
-    """Raw lines (``value``) with their file (``source``); gzip by extension.
-
-    ``pattern`` names files inside the folder ``path``; it may hold folders
-    (``2024-*/*.log``) but not ``**``. A file that cannot be read to its end
-    fails the query; a name that Spark would pass over is refused.
-    """
+def _load(reader: DataFrameReader, spark: SparkSession, path: str | list[str], pattern: str | None) -> DataFrame:
+    """The files that ``path`` and ``pattern`` name, by any reader."""
     paths = [path] if isinstance(path, str) else list(path)
     if pattern and "**" in pattern.split("/"):
         raise ValueError(f"'**' is not supported in a pattern ('{pattern}'): name the folders, as in '*/*.log'")
     _refuse_hidden(spark, paths, pattern)
-    reader = spark.read.format("text")
     if pattern and "/" in pattern:
         folder, pattern = pattern.rsplit("/", 1)
         paths = [f"{p.rstrip('/')}/{folder}" for p in paths]
     if pattern:
         reader = reader.option("pathGlobFilter", pattern.replace("[!", "[^"))
     try:
-        df = reader.load(paths)
+        return reader.load(paths)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(f"no such log: {', '.join(paths)}") from exc
         raise
-    df = df.select("value", F.col("_metadata.file_path").alias("source"))
+
+
+def read_log_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None,
+                   repartition: int | None = None) -> DataFrame:
+    """Raw lines (``value``) with their file (``source``); gzip by extension.
+
+    ``pattern`` names files inside the folder ``path``; it may hold folders
+    (``2024-*/*.log``) but not ``**``. A file that cannot be read to its end
+    fails the query; a name that Spark would pass over is refused.
+    """
+    df = _load(spark.read.format("text"), spark, path, pattern).select("value", F.col("_metadata.file_path").alias("source"))
     if repartition:
         df = df.repartition(repartition)
     return df
@@ -232,29 +274,29 @@ def unreadable_files(spark: SparkSession, files: list[str]) -> list[tuple[str, s
     return unreadable_files(spark, files[:half]) + unreadable_files(spark, files[half:])
 
 
-def _typed(raw: DataFrame, check: bool, nothing: str, repartition: int | None) -> DataFrame:
+def _typed(raw: DataFrame, check: bool, nothing: str, repartition: int | None, metrics: ParseMetrics | None = None) -> DataFrame:
     """The typed table. ``check`` raises if no line matches: a ``limit 1``
     probe on the unshuffled read. A log whose lines match but whose times are
     all bad is an empty table."""
     if check and split_lines(raw).where("matched").isEmpty():
         raise ValueError(nothing)
     lines = raw.repartition(repartition) if repartition else raw
-    return parse_lines(lines).select(*BASE_COLUMNS)
+    return parse_lines(lines, metrics=metrics).select(*BASE_COLUMNS)
 
 
 def parse_log_file(spark: SparkSession, path: str, check: bool = True,
-                   repartition: int | None = None) -> DataFrame:
+                   repartition: int | None = None, metrics: ParseMetrics | None = None) -> DataFrame:
     """Typed table of one log file (plain or ``.gz``).
 
     Raises FileNotFoundError for a missing path and, when ``check``, a
     ValueError if no line matches.
     """
     return _typed(read_log_lines(spark, path), check,
-                  f"No valid Apache log lines found in '{path}': no line has the Combined layout", repartition)
+                  f"No valid Apache log lines found in '{path}': no line has the Combined layout", repartition, metrics)
 
 
 def batch_parse(spark: SparkSession, log_dir: str, pattern: str = "*.log",
-                check: bool = True, repartition: int | None = None) -> DataFrame:
+                check: bool = True, repartition: int | None = None, metrics: ParseMetrics | None = None) -> DataFrame:
     """All files of ``log_dir`` matching ``pattern`` in one scan.
 
     A file without valid lines adds no rows; an unreadable file fails the
@@ -266,24 +308,46 @@ def batch_parse(spark: SparkSession, log_dir: str, pattern: str = "*.log",
     raw = read_log_lines(spark, log_dir, pattern)
     if raw.isEmpty() and not raw.inputFiles():
         raise FileNotFoundError(f"'{log_dir}' has no file like '{pattern}'")
-    return _typed(raw, check, f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'", repartition)
+    return _typed(raw, check, f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'", repartition, metrics)
 
 
-def batch_parse_readable(spark: SparkSession, log_dir: str, pattern: str = "*.log", check: bool = True,
-                         repartition: int | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """``batch_parse`` of the readable files, and (file, reason) of the others.
+def log_file_status(spark: SparkSession, log_dir: str, pattern: str | None = "*.log") -> DataFrame:
+    """(file, length, kind, reason) of every file; see ``file_status``."""
+    return file_status(spark, lambda reader: _load(reader, spark, log_dir, pattern))
 
-    An unreadable file is left out whole, none of its lines are used. The
-    files are read once more than in ``batch_parse`` to find them.
+
+def readable_lines(spark: SparkSession, log_dir: str, pattern: str | None = "*.log") -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The lines of the readable files, and (file, reason) of the others.
+
+    Two scans: one judges the files, the next reads them. Only faulty files,
+    and those that ``file_status`` leaves open (other codecs, very large gzip
+    files), come to the driver by name. Faulty ones are pruned from the second
+    scan's file list, so a file that fails it all the same fails the query.
     """
-    files = sorted(read_log_lines(spark, log_dir, pattern).inputFiles())
-    if not files:
-        raise FileNotFoundError(f"'{log_dir}' has no file like '{pattern}'")
-    skipped = unreadable_files(spark, files)
+    status = log_file_status(spark, log_dir, pattern)
+    found = status.where("reason IS NOT NULL OR kind = 'other'").collect()
+    open_ones = sorted(r.file for r in found if r.reason is None)
+    skipped = sorted([(r.file, r.reason) for r in found if r.reason is not None] + unreadable_files(spark, open_ones))
     for name, reason in skipped:
         logging.getLogger(__name__).warning("left out %s: %s", name, reason)
-    left = sorted(set(files) - {name for name, _ in skipped})
-    if not left:
-        raise ValueError(f"none of the files '{pattern}' of '{log_dir}' can be read: {skipped[:5]}")
-    return _typed(read_log_lines(spark, left), check,
-                  f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'", repartition), skipped
+    raw = read_log_lines(spark, log_dir, pattern)
+    if skipped:
+        raw = raw.where(~F.col("source").isin([name for name, _ in skipped]))
+    return raw, skipped
+
+
+def batch_parse_readable(spark: SparkSession, log_dir: str, pattern: str = "*.log", check: bool = True, repartition: int | None = None,
+                         metrics: ParseMetrics | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``batch_parse`` of the readable files, and (file, reason) of the others.
+
+    A faulty file is left out whole, none of its lines are used.
+    """
+    raw, skipped = readable_lines(spark, log_dir, pattern)
+    if raw.isEmpty():
+        files = raw.inputFiles()
+        if not files:
+            raise FileNotFoundError(f"'{log_dir}' has no file like '{pattern}'")
+        if len(files) == len(skipped):
+            raise ValueError(f"none of the files '{pattern}' of '{log_dir}' can be read: {skipped[:5]}")
+    nothing = f"No valid Apache log lines found in the files '{pattern}' of '{log_dir}'"
+    return _typed(raw, check, nothing, repartition, metrics), skipped

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.fixed_values import AUTH_FAILURE_STATUSES
 from ..sources.access_view import BASE_COLUMNS
-from ..sources.raw_log import parse_lines
+from ..sources.raw_log import ParseMetrics, parse_lines
 
 ALERT_SCHEMA = ("ip string, window_end timestamp, failures_in_window long, "
                 "example_path string, window_minutes int")
@@ -22,14 +22,31 @@ STATE_SCHEMA = "secs array<long>, counts array<long>, alerted boolean"
 
 
 def stream_access_log(spark: SparkSession, log_dir: str, pattern: str | None = None,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming typed access-log table over new files landing in ``log_dir``."""
+                      max_files_per_trigger: int | None = None, metrics: ParseMetrics | None = None) -> DataFrame:
+    """Streaming typed access-log table over new files landing in ``log_dir``.
+
+    ``ParseMetrics(name, streaming=True)`` reports each micro-batch's parse
+    quality; see ``batch_quality``."""
     reader = spark.readStream.format("text")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return parse_lines(reader.load(log_dir)).select(*BASE_COLUMNS)
+    return parse_lines(reader.load(log_dir), metrics=metrics).select(*BASE_COLUMNS)
+
+
+def batch_quality(query, name: str = "parse_quality") -> list[dict]:
+    """Of each micro-batch that the query still remembers: its number, the
+    parse-quality figures of the metrics ``name``, and the rows that stateful
+    operators dropped because they came behind the watermark."""
+    found = []
+    for progress in query.recentProgress:
+        seen = progress.observedMetrics
+        lines, rows = seen.get(f"{name}_lines"), seen.get(f"{name}_rows")
+        late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        figures = ParseMetrics.figures(lines.asDict(), rows.asDict()) if lines and rows else {}
+        found.append({"batch": progress.batchId, **figures, "dropped_late": late})
+    return found
 
 
 def stream_hourly_traffic(parsed: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -107,3 +107,51 @@ def test_time_parts_do_not_touch_the_session(spark):
     seconds = [r.s for r in hourly_traffic(log).selectExpr("unix_seconds(hour_bucket) AS s").collect()]
     assert seconds == [-3600, 1709164800]
     assert other.conf.get("spark.sql.session.timeZone") == "Asia/Kolkata"
+
+
+def test_file_status_is_one_row_a_file(spark, faulty):
+    from logtide.sources.raw_log import log_file_status
+    write(faulty, "two.log.gz", lines(3))
+    with open(os.path.join(faulty, "two.log.gz"), "ab") as f:  # a second member
+        f.write(gzip.compress(lines(2).encode()))
+    whole = open(os.path.join(faulty, "two.log.gz"), "rb").read()
+    for name, body in (("crc.log.gz", whole[:-8] + b"\0" * 4 + whole[-4:]), ("rest.log.gz", whole + b"rest"), ("empty.log.gz", b""),
+                       ("plain.log", b"\xef\xbb\xbfx\n\xff\xfe\r\ny"), ("none.log", b"")):
+        with open(os.path.join(faulty, name), "wb") as f:
+            f.write(body)
+    rows = {os.path.basename(r.file): r for r in log_file_status(spark, faulty, "*").collect()}
+    assert {n for n, r in rows.items() if r.reason} == {"cut.log.gz", "plain.log.gz", "crc.log.gz", "rest.log.gz"}
+    assert rows["plain.log"].kind == "plain" and rows["good.log.gz"].kind == "gzip" and len(rows) == 7  # empty files hold nothing to judge
+    assert rows["plain.log"].length == 10
+
+
+def test_many_files_with_faulty_ones_among_them(spark, tmp_path):
+    folder = str(tmp_path)
+    for i in range(600):
+        with open(write(folder, f"{i}.log.gz", lines(2)), "r+b") as f:
+            if i % 100 == 7:
+                f.truncate(30)
+    table, skipped = batch_parse_readable(spark, folder, "*.gz")
+    assert table.count() == 2 * 594
+    assert sorted(os.path.basename(name) for name, _ in skipped) == sorted(f"{i}.log.gz" for i in range(7, 600, 100))
+
+
+def test_readable_lines_of_other_codecs_and_nothing_left(spark, tmp_path):
+    import bz2
+    folder = str(tmp_path)
+    for name, body in (("a.log.bz2", bz2.compress(lines(4).encode())), ("b.log.bz2", bz2.compress(lines(900).encode())[:60])):
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(body)
+    table, skipped = batch_parse_readable(spark, folder, "*.bz2")
+    assert table.count() == 4 and [os.path.basename(n) for n, _ in skipped] == ["b.log.bz2"]
+    with pytest.raises(ValueError, match="none of the files"):
+        batch_parse_readable(spark, folder, "b*")
+    with pytest.raises(FileNotFoundError):
+        batch_parse_readable(spark, folder, "*.zip")
+
+
+def test_gzip_fault(spark, tmp_path):
+    from logtide.sources.file_status import gzip_fault
+    body = gzip.compress(os.urandom(3 << 20))
+    assert gzip_fault(body) is None and gzip_fault(body[:1 << 20]) and gzip_fault(b"") is None
+    assert gzip_fault(gzip.compress(b"\0" * (50 << 20))) is None
