@@ -21,6 +21,7 @@ from ..operators import (chart_data, clients, detectors, errors, ip_features, is
 from ..sources.access_view import BASE_COLUMNS, access_log, render_lines
 from ..sources.csv_log import map_and_cast
 from ..sources.raw_log import parse_lines, parse_quality
+from .round_trips import file_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,3 +153,4 @@ def _register_more(q: dict[str, Query]) -> None:
     # property tests in tests/test_charts_profile_forest.py.
     q["isolation_forest"] = lambda s, d: isolation_forest.isolation_forest(_featured(s, d))
     q["isolation_forest_summary"] = lambda s, d: forest_summary(isolation_forest.isolation_forest(_featured(s, d)))
+    q |= file_queries(rendered_lines, quality_lines, aliased_csv_frame, _featured, iso_temporal)

