@@ -1,0 +1,98 @@
+"""Brute-force alerts by keyed state: restarts, late rows, forgetting."""
+
+import datetime as dt
+import os
+
+import pytest
+from conftest import BASE_TS, make_log
+
+from logtide.functions.features import add_features
+from logtide.operators import detectors
+from logtide.sources.access_view import render_lines
+from logtide.streaming.alerts import PROVIDER, ROCKSDB, combined, first_alert, stream_alerts
+from logtide.streaming.live import start_stream, stream_access_log
+
+
+@pytest.fixture()
+def rocks(spark):
+    old = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    yield spark
+    spark.conf.set(PROVIDER, old)
+
+
+class Feed:
+    """A folder of logs, and a stream over it that is started anew for each file."""
+
+    def __init__(self, spark, folder, **options):
+        self.spark, self.folder, self.options, self.n = spark, folder, options, 0
+        os.makedirs(folder / "in")
+
+    def add(self, rows):
+        lines = [r.value for r in render_lines(make_log(self.spark, rows)).collect()]
+        with open(self.folder / "in" / f"{self.n}.log", "w") as f:
+            f.write("\n".join(lines) + "\n")
+        self.n += 1
+
+    def run(self):
+        parsed = stream_access_log(self.spark, str(self.folder / "in"), max_files_per_trigger=1)
+        query = start_stream(stream_alerts(parsed, **self.options), f"alerts-{self.folder.name}-{self.n}", str(self.folder / "out"),
+                             checkpoint_location=str(self.folder / "progress"), trigger={"availableNow": True})
+        query.awaitTermination(300)
+        out = self.spark.read.schema("ip string, window_end timestamp, failures_in_window long, example_path string, "
+                                     "window_minutes int").parquet(str(self.folder / "out"))
+        return sorted((r.ip, r.window_end, r.failures_in_window, r.example_path) for r in out.collect())
+
+
+def fail(ip, seconds, path="/login", status=401):
+    return {"ip": ip, "status": status, "path": path, "timestamp": BASE_TS + dt.timedelta(seconds=seconds)}
+
+
+def batch(spark, rows, **options):
+    found = detectors.brute_force(add_features(make_log(spark, rows)), **options).collect()
+    return sorted((r.ip, r.window_end, r.failures_in_window, r.example_path) for r in found)
+
+
+def test_restarted_after_every_file_it_alerts_as_the_batch_job(rocks, tmp_path):
+    feed = Feed(rocks, tmp_path, window_minutes=5, threshold=20)
+    rows = [fail("9.9.9.9", 5 * i, f"/p{i}") for i in range(60)] + [fail("1.1.1.1", 100 * i) for i in range(30)]
+    rows += [fail("2.2.2.2", 70 + i // 4, None) for i in range(40)] + [fail("3.3.3.3", i, status=200) for i in range(100)]
+    rows.sort(key=lambda r: r["timestamp"])
+    for i in range(0, len(rows), 80):
+        feed.add(rows[i:i + 80])
+        got = feed.run()
+    assert got == batch(rocks, rows, window_minutes=5, threshold=20) and len(got) == 2
+
+
+def test_late_rows_count_and_quiet_ips_are_forgotten(rocks, tmp_path):
+    feed = Feed(rocks, tmp_path, window_minutes=5, threshold=6)
+    feed.add([fail("a", 100 + 10 * i) for i in range(3)])
+    feed.add([fail("a", 200), fail("a", 210)])
+    feed.add([fail("a", 105)])  # late, but within the watermark: its own second holds too few
+    assert feed.run() == []
+    feed.add([fail("a", 220)])
+    (alert,) = feed.run()
+    assert alert[1:3] == (BASE_TS + dt.timedelta(seconds=220), 7)
+    feed.add([fail("a", 230 + i) for i in range(20)])
+    assert len(feed.run()) == 1  # still the same attack
+    feed.add([fail("z", 20_000)])  # the watermark passes a's quiet time
+    feed.add([fail("z", 20_001)])
+    feed.add([fail("a", 21_000 + i) for i in range(6)])
+    got = feed.run()
+    assert [x[0] for x in got] == ["a", "a"] and got[1][1:3] == (BASE_TS + dt.timedelta(seconds=21_005), 6)
+
+
+def test_first_alert_and_combined():
+    import pandas as pd
+    counts = {10: 2, 20: 3, 70: 4}
+    assert first_alert(counts, [10, 20, 70], 60, 5) == (20, 5)
+    assert first_alert(counts, [70], 60, 9) == (70, 9) and first_alert(counts, [70], 49, 8) is None
+    frame = pd.DataFrame({"ts_epoch": [1, 1, 2], "n": [2, 3, 1], "first": pd.to_datetime([5, 4, 9], unit="s"), "path": ["b", None, "c"]})
+    found = combined([frame, frame])
+    assert found[1][0] == 10 and found[1][2] is False and found[2][3] == "c"
+
+
+def test_needs_the_state_store(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    with pytest.raises(ValueError, match="RocksDB"):
+        stream_alerts(stream_access_log(spark, str(tmp_path / "in")))
