@@ -10,8 +10,9 @@ Defined results
     * null html: as an empty page, whose text is empty.
     * character references are decoded; white space inside a block becomes
       one space; blocks are joined by one line feed; ``<br>`` is white space.
-    * an unclosed comment, script or style runs to the page's end; other
-      broken markup is read as far as it goes.
+    * an unclosed comment, script or style runs to the page's end; a tag that
+      doesn't end is text from its ``<`` on. Broken markup takes linear time.
+    * very long pages are read whole.
     * repeated rows are read alike; empty tables give no rows; columns that
       are not asked for do not matter.
 """
@@ -19,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -101,11 +103,47 @@ LABELLED = (
 MOST_LABELLED = 200
 DEPTH = 8
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|[^<]+|<""",
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|[^<]+|<""",
                    re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+ANGLE = re.compile("<()()")  # with TOKEN's groups
+NAME_END = re.compile(r"[\s/>]")
+
+
+class TagEnds:
+    """Which tags of a page end, found once from the page's end backwards, so
+    that broken markup costs no search of the rest of the page at every ``<``.
+
+    From any place outside quotes the next quote or ``>`` decides: at ``>`` the
+    tag ends; at a quote it goes on behind the next quote of that kind, if any.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.name_end = html, -1
+        self.places = [m.start() for m in re.finditer("[\"'>]", html)]
+        self.ends = bytearray(len(self.places) + 1)
+        after = {}  # the quote of each kind that was passed last
+        for i in range(len(self.places) - 1, -1, -1):
+            c = html[self.places[i]]
+            self.ends[i] = 1 if c == ">" else self.ends[after[c] + 1] if c in after else 0
+            after[c] = i
+        self.last = next((self.places[i] for i in range(len(self.places) - 1, -1, -1) if html[self.places[i]] == ">"), -1)
+
+    def none_at(self, at: int) -> bool:
+        """Whether no tag, declaration or comment that begins at ``<`` here ends."""
+        if at > self.last and not self.html.startswith("<!--", at):
+            return True
+        start = at + 1 + self.html.startswith("</", at)
+        if not self.html[start:start + 1].isalpha():
+            return False
+        if start > self.name_end:  # names that begin in one run of characters end together
+            found = NAME_END.search(self.html, start)
+            self.name_end = found.start() if found else len(self.html)
+        return not self.ends[bisect_left(self.places, self.name_end)]
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -183,11 +221,17 @@ def blocks_of(html: str) -> list[Block]:
                 return
 
     at, size = 0, len(html)
+    ends = None  # looked up from the first broken tag on
     while at < size:
-        m = TOKEN.match(html, at)
+        if ends and html[at] == "<" and ends.none_at(at):
+            m = ANGLE.match(html, at)
+        else:
+            m = TOKEN.match(html, at)
+            if not ends and m.end() == at + 1 and html[at] == "<":
+                ends = TagEnds(html)
         at = m.end()
         tag = m.group(2)
-        if tag is None:
+        if not tag:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
                 piece = unescape(piece) if "&" in piece else piece
