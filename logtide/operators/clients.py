@@ -20,6 +20,11 @@ def top_ips(df: DataFrame, n: int = 15) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("total_requests"),
                   F.count_if(F.col("is_error")).alias("error_requests"),
                   F.count_if(F.col("is_bot")).alias("bot_requests")))
+    return busiest(stats, n)
+
+
+def busiest(stats: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of per-IP counts, with the error rate."""
     return (stats
             .withColumn("error_rate", half_even(F.col("error_requests") / F.col("total_requests"), 4))
             .orderBy(F.desc("total_requests"), F.asc("ip"))

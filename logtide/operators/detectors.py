@@ -101,8 +101,11 @@ def iqr_outliers(df: DataFrame, column: str = "total_requests") -> DataFrame:
     subquery over the per-IP counts (evaluated once; the counts exchange is
     reused), so there is no join at all.
     """
-    counts = (df.where(F.col("ip").isNotNull()).groupBy("ip")
-              .agg(F.count(F.lit(1)).alias(column)))
+    return beyond_fence(df.where(F.col("ip").isNotNull()).groupBy("ip").agg(F.count(F.lit(1)).alias(column)), column)
+
+
+def beyond_fence(counts: DataFrame, column: str) -> DataFrame:
+    """The rows (ip, ``column``) above the fence of all of them."""
     q1 = F.percentile(F.col(column), F.lit(0.25))
     q3 = F.percentile(F.col(column), F.lit(0.75))
     fence = counts.select(q3 + F.lit(1.5) * (q3 - q1)).scalar()

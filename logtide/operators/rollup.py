@@ -1,10 +1,14 @@
-"""Headline figures of any span of days from a table of daily parts.
+"""Headline figures, top IPs and fences of any span of days from daily parts.
 
 One row per (date, status) holds exact counts and sums and a mergeable
 HyperLogLog sketch of the IPs. Days can be added as they end, and any span is
 summed up without reading the log again. All figures are exact but the number
 of IPs, whose relative standard error is about 0.83 / sqrt(2 ** lg_k): 0.65%
 at 14. ``summary.summary_stats`` stays the exact way.
+
+A second table of exact counts per (date, ip) answers the per-IP questions:
+its rows are summed per IP over the span, so quartiles and ranks are those of
+the log itself.
 """
 
 from __future__ import annotations
@@ -13,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import ensure_features
+from ..sinks.writers import write_parquet
+from .clients import busiest
+from .detectors import beyond_fence
 from .summary import BYTES_PER_GIB, MICROS_PER_DAY
 
 LG_K = 14
@@ -53,3 +60,31 @@ def summarize_rollup(rollup: DataFrame, by: dict[str, Column] | None = None) ->
         share("errors", "with_error").alias("error_rate"), share("bots", "with_bot").alias("bot_traffic_pct"),
         F.col("top.code").alias("top_status"), (F.col("bytes").cast("double") / F.lit(BYTES_PER_GIB)).alias("total_bytes_gb"),
         F.coalesce("server_errors", F.lit(0).cast("bigint")).alias("server_errors"))
+
+
+def daily_ip_rollup(df: DataFrame) -> DataFrame:
+    """One row per (date, ip) with ``top_ips``' counts; null IPs and dates are left out."""
+    df = ensure_features(df)
+    return (df.where(F.col("ip").isNotNull() & F.col("date").isNotNull()).groupBy("date", "ip")
+            .agg(F.count(F.lit(1)).alias("total_requests"), F.count_if("is_error").alias("error_requests"),
+                 F.count_if("is_bot").alias("bot_requests")))
+
+
+def store_days(rollup: DataFrame, path: str) -> None:
+    """Write a rollup's days into the table at ``path``: days that it holds
+    replace stored ones, so a day can be done again, and other days stay."""
+    write_parquet(rollup, path, partition_by="date", days_only=True)
+
+
+def _per_ip(rollup: DataFrame) -> DataFrame:
+    return rollup.groupBy("ip").agg(*[F.sum(c).alias(c) for c in ("total_requests", "error_requests", "bot_requests")])
+
+
+def rollup_top_ips(rollup: DataFrame, n: int = 15) -> DataFrame:
+    """``clients.top_ips`` of the rollup's days."""
+    return busiest(_per_ip(rollup), n)
+
+
+def rollup_iqr_outliers(rollup: DataFrame) -> DataFrame:
+    """``detectors.iqr_outliers`` of the rollup's days."""
+    return beyond_fence(_per_ip(rollup).select("ip", "total_requests"), "total_requests")

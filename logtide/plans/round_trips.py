@@ -131,6 +131,15 @@ def weekly_rollup(spark: SparkSession, featured: DataFrame) -> DataFrame:
             .drop("unique_ips", "exact"))
 
 
+def stored_ip_days(spark: SparkSession, featured: DataFrame) -> DataFrame:
+    """The daily per-IP rollup, stored in two steps of which the second repeats days."""
+    folder, daily = scratch(spark, "ip-days"), rollup.daily_ip_rollup(featured)
+    odd = F.dayofmonth("date") % 2 == 1
+    rollup.store_days(daily.where(odd | (F.dayofmonth("date") < 10)), folder)
+    rollup.store_days(daily.where(~odd), folder)
+    return read_parquet_log(spark, folder)
+
+
 def file_queries(rendered, quality, frame, featured, iso_temporal) -> dict:
     """Query name -> (spark, sf_dir) -> DataFrame; the arguments make the inputs."""
     base = lambda df: iso_temporal(df.select(*BASE_COLUMNS))
@@ -145,5 +154,7 @@ def file_queries(rendered, quality, frame, featured, iso_temporal) -> dict:
         "stream_hourly_traffic": lambda s, d: iso_temporal(stream_hourly(s, rendered(s, d))),
         "stream_brute_force": lambda s, d: iso_temporal(stream_alerts(s, rendered(s, d))),
         "forest_model_scores": lambda s, d: forest_model(s, featured(s, d)),
+        "rollup_top_ips": lambda s, d: rollup.rollup_top_ips(stored_ip_days(s, featured(s, d))),
+        "rollup_iqr_outliers": lambda s, d: rollup.rollup_iqr_outliers(stored_ip_days(s, featured(s, d))),
         "weekly_rollup": lambda s, d: weekly_rollup(s, featured(s, d)),
     }

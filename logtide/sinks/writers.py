@@ -14,8 +14,9 @@ from ..functions.csv_text import CSV_TEXT
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | list[str] | None = None,
-                  mode: str = "overwrite") -> None:
+                  mode: str = "overwrite", days_only: bool = False) -> None:
     """Snappy Parquet; ``partition_by='date'`` enables partition pruning on reload.
+    ``days_only`` replaces the partitions that ``df`` has rows for and keeps the others.
 
     A partitioned write is first rebalanced on the partition columns: rows of
     a value meet in few tasks (AQE splits large values and joins small ones by
@@ -24,7 +25,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | list[str] | None
     if partition_by:
         names = [partition_by] if isinstance(partition_by, str) else partition_by
         df = df.hint("rebalance", *names)
-    w = df.write.mode(mode).option("compression", "snappy")
+    w = df.write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "dynamic" if days_only else "static")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.parquet(path)

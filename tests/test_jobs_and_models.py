@@ -19,7 +19,7 @@ from logtide.sources.raw_log import ParseMetrics, parse_lines, parse_quality
 from logtide.streaming.live import batch_quality, stream_access_log, stream_hourly_traffic
 
 
-def some_log(spark, ips=40, days=2):
+def some_log(spark, ips=24, days=2):
     rows = []
     for i in range(ips):
         for k in range(3 + 5 * (i % 7) + (200 if i == 3 else 0)):
@@ -105,7 +105,7 @@ def test_a_stopped_job_goes_on_where_it_was(spark, tmp_path, monkeypatch):
     before = {s: files_of(p) for s, p in written.items()}
     assert run_report(spark, log, out, CHOSEN, {"threshold": 4}, **options) == written
     assert {s for s, p in written.items() if files_of(p) != before[s]} == {"_bruteforce"}
-    write_lines(tmp_path, "a.log", rendered(some_log(spark, ips=20)))
+    write_lines(tmp_path, "a.log", rendered(some_log(spark, ips=12)))
     run_report(spark, log, out, CHOSEN, {"threshold": 4}, **options)
     assert {s for s, p in written.items() if files_of(p) == before[s]} == set()
     fresh = run_report(spark, log, str(tmp_path / "fresh"), CHOSEN, {"threshold": 4}, fmt="parquet")
@@ -152,9 +152,9 @@ def test_a_stored_model_scores_as_the_job_that_fitted_it(spark, tmp_path):
     expected = list(map(tuple, forest.isolation_forest(log, contamination=0.1, n_estimators=30).collect()))
     assert list(map(tuple, forest.score_log(log, loaded).collect())) == expected
     assert list(map(tuple, forest.score_log(log, model).collect())) == expected and any(r[-1] for r in expected)
-    later = add_features(some_log(spark, ips=60, days=3))
+    later = add_features(some_log(spark, ips=40, days=3))
     found = {r.ip: r for r in forest.score_log(later, loaded).collect()}
-    assert len(found) == 60 and found["10.0.0.3"].is_anomaly
+    assert len(found) == 40 and found["10.0.0.3"].is_anomaly
     assert forest.score_log(later.limit(0), loaded).count() == 0
 
 
@@ -183,6 +183,21 @@ def test_rollup_of_any_span_is_the_summary_of_its_rows(spark):
     daily.unpersist()
 
 
+def test_per_ip_rollup_answers_for_any_span(spark, tmp_path):
+    from logtide.operators.clients import top_ips
+    from logtide.operators.detectors import iqr_outliers
+    log = add_features(some_log(spark, days=4).unionByName(make_log(spark, [{"ip": None}])))
+    folder = str(tmp_path / "days")
+    daily = rollup.daily_ip_rollup(log)
+    rollup.store_days(daily.withColumn("total_requests", F.lit(1).cast("long")), folder)
+    rollup.store_days(daily.where("date >= '2024-01-16'"), folder)
+    rollup.store_days(daily.where("date < '2024-01-17'"), folder)
+    stored = spark.read.parquet(folder)
+    for span in ("date >= '2024-01-01'", "date BETWEEN '2024-01-16' AND '2024-01-17'", "date > '2030-01-01'"):
+        assert rollup.rollup_top_ips(stored.where(span), 7).collect() == top_ips(log.where(span), 7).collect()
+        assert rollup.rollup_iqr_outliers(stored.where(span)).collect() == iqr_outliers(log.where(span)).collect()
+
+
 def test_rollup_estimates_many_ips_and_grows_by_days(spark):
     log = spark.range(60_000).selectExpr("concat('ip-', id % 50000) AS ip", "cast(null as string) user_agent", "cast(200 as smallint) status",
                                          "timestamp'2024-01-01' + make_interval(0, 0, 0, id % 4) AS timestamp", "id AS bytes")

@@ -58,8 +58,8 @@ def test_restarted_after_every_file_it_alerts_as_the_batch_job(rocks, tmp_path):
     rows = [fail("9.9.9.9", 5 * i, f"/p{i}") for i in range(60)] + [fail("1.1.1.1", 100 * i) for i in range(30)]
     rows += [fail("2.2.2.2", 70 + i // 4, None) for i in range(40)] + [fail("3.3.3.3", i, status=200) for i in range(100)]
     rows.sort(key=lambda r: r["timestamp"])
-    for i in range(0, len(rows), 80):
-        feed.add(rows[i:i + 80])
+    for i in range(0, len(rows), 120):  # stopped and started anew for each file
+        feed.add(rows[i:i + 120])
         got = feed.run()
     assert got == batch(rocks, rows, window_minutes=5, threshold=20) and len(got) == 2
 
