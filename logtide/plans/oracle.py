@@ -128,7 +128,7 @@ def _through_files(s: dict[str, str]) -> None:
     """What the sources, sinks, jobs and streams give is what the plain queries give."""
     s["batch_file_ingest"] = s["stream_ingest"] = s["parse_raw_lines"]
     s["parquet_round_trip"], s["csv_sink"] = s["features"], s["top_ips"]
-    s["report_job"] = s["stream_brute_force"] = s["brute_force"]
+    s["report_job"] = s["stream_brute_force"] = s["stream_keyed_alerts"] = s["brute_force"]
     s["rollup_top_ips"], s["rollup_iqr_outliers"] = s["top_ips"], s["iqr_outliers"]
     s["csv_split_ingest"] = s["csv_text_ingest"].replace("""' "' || user_agent || '", like Gecko '""", """'two' || chr(10) || '"lines", ' || user_agent || chr(10)""")
     s["report_quality"] = f"""

@@ -20,7 +20,7 @@ from ..sinks.writers import write_csv, write_parquet
 from ..sources.access_view import BASE_COLUMNS
 from ..sources.load import load_access_log, read_parquet_log
 from ..sources.raw_log import batch_parse_readable
-from ..streaming import live
+from ..streaming import alerts, live
 from .report import run_report
 
 
@@ -97,6 +97,17 @@ def stream_alerts(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return _streamed(spark, live.stream_brute_force(parsed, window_minutes=60, threshold=5), "stream-alerts")
 
 
+def stream_keyed_alerts(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The same alerts by keyed state, in a session beside the caller's whose state store is RocksDB."""
+    folder = _gzip_files(spark, lines)
+    beside = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        beside.conf.set(name, spark.conf.get(name))
+    beside.conf.set(alerts.PROVIDER, alerts.ROCKSDB)
+    found = alerts.stream_alerts(live.stream_access_log(beside, folder), window_minutes=60, threshold=5)
+    return _streamed(beside, found, "stream-keyed-alerts")
+
+
 def small_model() -> dict:
     """Two trees that SQL can state: requests up to 60 or more; bots up to a
     third or more, and then errors up to a fifth or more."""
@@ -153,6 +164,7 @@ def file_queries(rendered, quality, frame, featured, iso_temporal) -> dict:
         "stream_ingest": lambda s, d: base(stream_ingest(s, rendered(s, d))),
         "stream_hourly_traffic": lambda s, d: iso_temporal(stream_hourly(s, rendered(s, d))),
         "stream_brute_force": lambda s, d: iso_temporal(stream_alerts(s, rendered(s, d))),
+        "stream_keyed_alerts": lambda s, d: iso_temporal(stream_keyed_alerts(s, rendered(s, d))),
         "forest_model_scores": lambda s, d: forest_model(s, featured(s, d)),
         "rollup_top_ips": lambda s, d: rollup.rollup_top_ips(stored_ip_days(s, featured(s, d))),
         "rollup_iqr_outliers": lambda s, d: rollup.rollup_iqr_outliers(stored_ip_days(s, featured(s, d))),
