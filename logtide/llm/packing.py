@@ -11,14 +11,18 @@ within their length, and the numbers looked up in the plan.
 Defined results
     * null text: as an empty one; its document is the end id alone.
     * repeated rows are packed separately; a null key stays null.
-    * text that looks like a special token is ordinary text.
+    * the literal of a special token of the vocabulary has that token's id
+      (``<|endoftext|>``: 50256), wherever it stands in a text.
+    * very long texts are encoded whole, in segments that change no id (see
+      ``bpe_codec``); equal pieces are placed in any order.
     * every id lies in exactly one piece; empty tables give no rows.
     * columns that are not asked for do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,30 +31,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_codec import encoding, segments
 from .common import checkpointed, gapless_rank
 
 WINDOW = 2048
 END_ID = 1
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes.
 
-    The ids are those that ``tokenizers`` gives with ``byte_bpe_50k.json``;
-    tiktoken reads the same vocabulary as ranks and is several times faster.
+    The ids are those that ``tokenizers`` gives with ``byte_bpe_50k.json`` and
+    ``add_special_tokens=False``; tiktoken reads the same vocabulary as ranks
+    and is several times faster. Special tokens are the JSON file's.
     """
 
-    def __init__(self, ranks_path: str | None = None):
+    def __init__(self, ranks_path: str | None = None, tokenizer_path: str | None = None):
         import public_tokenizers
-        import tiktoken
-        with open(ranks_path or public_tokenizers.path(RANKS), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                          special_tokens={})
+        self.encoding = encoding(ranks_path or public_tokenizers.path(RANKS))
+        with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.between = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+
+    def ids(self, text: str) -> list[int]:
+        found = []
+        for part, single in segments(text):
+            found += self.encoding._encode_single_piece(part) if single else self.encoding.encode_ordinary(part)
+        return found
 
     def __call__(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        found, at = [], 0
+        for m in self.between.finditer(text):
+            found += self.ids(text[at:m.start()])
+            found.append(self.special[m.group()])
+            at = m.end()
+        return np.asarray(found + self.ids(text[at:]), dtype="<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,

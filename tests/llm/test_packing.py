@@ -13,13 +13,7 @@ from logtide.llm import packing
 from .conftest import SMALL
 
 
-def reference_tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
-
-
-TOKENIZER = reference_tokenizer()
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ENCODER = packing.Encoder()
 
 
@@ -33,6 +27,22 @@ def test_ids_are_those_of_the_json_tokenizer(text):
     assert ENCODER(text) == np.asarray(reference_ids(text)[:-1], dtype="<u4").tobytes()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "a", "é", "<|", "endoftext|>", "'s", "1"]), max_size=12))
+def test_special_tokens_are_those_of_the_json_tokenizer(parts):
+    text = "".join(parts)
+    assert ENCODER(text) == np.asarray(reference_ids(text)[:-1], dtype="<u4").tobytes()
+
+
+def test_very_long_white_space():
+    for text in (" " * 1_000_000 + "x", "a" + "\n " * 400_000 + "<|endoftext|>" + " " * 20_000 + "<|endoftext|>b"):
+        ids = np.frombuffer(ENCODER(text), dtype="<u4").tolist()
+        pieces = [ENCODER.encoding.decode_bytes([i]) if i != 50256 else b"<|endoftext|>" for i in ids]
+        assert b"".join(pieces) == text.encode()
+    run = " " * 20_000
+    assert ENCODER(f"{run}<|endoftext|>{run}b") == np.asarray(reference_ids(f"{run}<|endoftext|>{run}b")[:-1], dtype="<u4").tobytes()
+
+
 def check(rows, got, window):
     """Every id in one piece, pieces as cut, sequences gapless and not over-full."""
     ids = [(i, reference_ids(t)) for i, t in rows]
