@@ -38,16 +38,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and reread it.
 
     For wide intermediates that later steps read column-wise; the written
-    files cut the lineage and survive lost executors."""
+    files cut the lineage and survive lost executors. With ``bucket``, the files are
+    an external table bucketed by that column, as many buckets as the session has
+    shuffle partitions; each task writes a file per bucket that it has rows of."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    unique = uuid.uuid4().hex
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{unique}"
+    if bucket is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    stage = f"{name}_{unique}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(stage)
+    return spark.table(stage)
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

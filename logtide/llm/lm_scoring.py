@@ -7,14 +7,18 @@ out: its own n-grams are subtracted from the corpus counts, or every n-gram
 would be known.
 
 Relations, all keyed by 64-bit n-gram hashes:
-    blocks   documents, about BLOCK_WORDS words together, as word numbers
+    blocks   documents, about BLOCK_WORDS words together, as word numbers (the
+             frequent ones small); a table bucketed by block, so that totals
+             come to the blocks and no block is shuffled
     grams    (order, hash range, block): a block's distinct n-grams and their
              counts, as sorted arrays; the shuffle on (order, hash range)
              makes the count tables, which no single task holds whole
     totals   the corpus counts joined back to each block's n-grams
 Each n-gram enters the shuffle once a block, so a frequent one is no hot key.
 Words and sums are combined in numpy inside the tasks; Spark partitions,
-shuffles and joins the arrays.
+shuffles and joins the arrays. Hashes aren't confirmed by the n-grams' text: of
+N distinct n-grams about N * N / 2^65 pairs share one (none expected up to 10^9,
+some 30,000 among 10^12), and each such pair adds up its two counts.
 
 Defined results
     * words: runs of characters other than space and U+0009 to U+000D, A-Z
@@ -42,10 +46,11 @@ from .common import staged
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 3_000_000
 #: N-grams of one order that a task counts together, on average.
 BUCKET_GRAMS = 2_000_000
 CACHE_WORDS = 400_000
+SCORED_AT_ONCE = 1 << 18
 SEED = 7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -72,6 +77,14 @@ def _sorted_numbers(planes: bytes) -> np.ndarray:
     return np.cumsum(_numbers(planes), dtype=np.uint64)
 
 
+def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and where each begins."""
+    first = np.ones(len(ascending), dtype=bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=first[1:])
+    begins = np.flatnonzero(first)
+    return ascending[begins], begins
+
+
 class WordHashes:
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -97,18 +110,35 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def ngram_hashes(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, places, hashes) of the n-grams that end at those places, n = 1 .. order,
     none across documents."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    size, begins = len(words), np.cumsum(lengths) - lengths
+    inside = np.ones(size, dtype=bool)  # places at which n words of the document have been read
     grams = words
     for n in range(1, order + 1):
         if n > 1:
-            grams = np.concatenate([grams[:1], _mix(grams[:-1], words[1:])])
-        at = np.flatnonzero(place >= n - 1)
+            grams = np.concatenate([words[:1], _mix(grams[:-1], words[1:])])
+            inside[begins[lengths >= n - 1] + n - 2] = False
+        at = np.flatnonzero(inside)
         yield n, at, grams[at]
 
 
+def _vocabulary(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, number of each word): frequent words get small numbers, and words
+    whose counts have the same number of bits ascend, so both compress."""
+    by_hash = np.argsort(words)
+    vocabulary, begins = _runs(words[by_hash])
+    counts = np.diff(begins, append=len(words))
+    order = np.lexsort((vocabulary, -np.frexp(counts)[1]))
+    place = np.empty(len(order), dtype="<u4")
+    place[order] = np.arange(len(order), dtype="<u4")
+    numbers = np.empty(len(words), dtype="<u4")
+    numbers[by_hash] = np.repeat(place, counts)
+    return vocabulary[order], numbers
+
+
 def word_blocks(docs: DataFrame, key: str, text: str, block_words: int) -> DataFrame:
-    """(block, keys, lengths, words, numbers, vocabulary), written and reread:
-    a block's name then stands for the same documents in every later job."""
+    """(block, keys, lengths, words, numbers, vocabulary), written and reread: a
+    block's name then stands for the same documents in every later job. The table
+    is bucketed by block, so joining to it needs no second copy of the blocks."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
 
@@ -119,14 +149,15 @@ def word_blocks(docs: DataFrame, key: str, text: str, block_words: int) -> DataF
         kind = None
 
         def out() -> pa.RecordBatch:
+            lengths = [len(p) for p in parts]
             words = np.concatenate(parts)
-            vocabulary, numbers = np.unique(words, return_inverse=True)
+            parts.clear()
+            vocabulary, numbers = _vocabulary(words)
             columns = [pa.array([uuid.uuid4().hex]), pa.array([[k.as_py() for k in keys]], pa.list_(kind)),
-                       pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()),
-                       pa.array([_planes(numbers.astype("<u4"))], pa.binary()),
+                       pa.array([lengths], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()),
+                       pa.array([_planes(numbers)], pa.binary()),
                        pa.array([_sorted_planes(vocabulary)], pa.binary())]
             keys.clear()
-            parts.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         names = ["block", "keys", "lengths", "words", "numbers", "vocabulary"]
@@ -145,7 +176,7 @@ def word_blocks(docs: DataFrame, key: str, text: str, block_words: int) -> DataF
 
     blocks = rows.mapInArrow(pack, f"block string, keys array<{key_type}>, lengths array<long>, words long, "
                                    "numbers binary, vocabulary binary")
-    return staged(blocks, "word-blocks")
+    return staged(blocks, "word-blocks", bucket="block")
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
@@ -156,21 +187,19 @@ def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
 def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     """(block, n, bucket, totals): for each block's distinct n-grams of a hash
     range, in order of their hashes, how often the whole corpus has them."""
-    width = np.uint64(((1 << 64) - 1) // buckets + 1 if buckets > 1 else (1 << 64) - 1)
+    inner = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 words, lengths = _unpacked(row)
-                for n, _, hashes in ngram_hashes(words, lengths, order):
-                    if not len(hashes):
-                        continue
-                    grams, counts = np.unique(hashes, return_counts=True)
-                    bucket = np.minimum(grams // width, np.uint64(buckets - 1)).astype(np.int64)
-                    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    ends = [*edges[1:].tolist(), len(grams)]
-                    yield pd.DataFrame([(n, int(bucket[a]), row.block, _sorted_planes(grams[a:b]), _planes(counts[a:b].astype("<u8")))
-                                        for a, b in zip(edges.tolist(), ends, strict=True)],
+                for n, _, hashes in ngram_hashes(words, lengths, order):  # own arrays, so sorted in place
+                    hashes.sort()
+                    grams, begins = _runs(hashes)
+                    counts = np.diff(begins, append=len(hashes))
+                    edges = [0, *np.searchsorted(grams, inner).tolist(), len(grams)]
+                    yield pd.DataFrame([(n, k, row.block, _sorted_planes(grams[a:b]), _planes(counts[a:b].astype("<u8")))
+                                        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b],
                                        columns=["n", "bucket", "block", "grams", "counts"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -191,14 +220,19 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
 def _elsewhere(places: np.ndarray, hashes: np.ndarray, totals: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Per place (of the whole block), how often the n-gram that ends there
     occurs in other documents; 0 where none ends."""
-    grams, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    own = np.ones(len(hashes), dtype=np.int64)
-    often = np.flatnonzero(counts[index] > 1)
-    if len(often):
-        _, back, n = np.unique(doc[places[often]] * len(grams) + index[often], return_inverse=True, return_counts=True)
-        own[often] = n[back]
+    size, order = len(hashes), np.argsort(hashes, kind="stable")  # an n-gram's places ascend, and so do its documents
+    begins = _runs(hashes[order])[1]
+    at = places[order]
+    del order
+    found = np.repeat(totals.view(np.int64), np.diff(begins, append=size))
+    first = np.zeros(size, dtype=bool)  # of an n-gram's places in a document
+    first[begins] = True
+    mine = doc[at]
+    first[1:] |= mine[1:] != mine[:-1]
+    own = np.diff(np.flatnonzero(first), append=size)
+    found -= np.repeat(own, own)
     out = np.zeros(len(doc), dtype=np.int64)
-    out[places] = totals.astype(np.int64)[index] - own
+    out[at] = found
     return out
 
 
@@ -207,24 +241,30 @@ def block_scores(words: np.ndarray, lengths: np.ndarray, totals: dict[int, np.nd
     """Per document: sum of the words' logarithms in millionths; words scored
     by each order 0 (unseen) .. order."""
     docs, size = len(lengths), len(words)
-    doc = np.repeat(np.arange(docs), lengths)
-    place = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    rest = corpus_words - lengths[doc]
-    counts = {n: _elsewhere(at, h, totals[n], doc) if len(at) else np.zeros(size, dtype=np.int64)
-              for n, at, h in ngram_hashes(words, lengths, order)}
-    used = np.zeros(size, dtype=np.int64)
-    share = 1.0 / (rest + 1)
-    for n in range(1, order + 1):
-        seen = counts[n] > 0
-        before = rest if n == 1 else np.concatenate([[0], counts[n - 1][:-1]])[:size]
-        share = np.where(seen, counts[n] / np.maximum(before, 1), share)
-        used[seen] = n
-    given_up = np.minimum(place + 1, order) - np.maximum(used, 1)
-    micro = np.rint(1e6 * np.log(share * BACKOFF ** given_up)).astype(np.int64)
+    doc = np.repeat(np.arange(docs, dtype=np.int32), lengths)
+    counts = [_elsewhere(at, h, totals[n], doc) if len(at) else np.zeros(size, dtype=np.int64)
+              for n, at, h in ngram_hashes(words, lengths, order)]
+    begins = np.cumsum(lengths) - lengths
     sums = np.zeros(docs, dtype=np.int64)
-    np.add.at(sums, doc, micro)
-    by_order = np.bincount(doc * (order + 1) + used, minlength=docs * (order + 1)).reshape(docs, order + 1)
-    return sums, by_order
+    by_order = np.zeros(docs * (order + 1), dtype=np.int64)
+    for a in range(0, size, SCORED_AT_ONCE):
+        part = slice(a, min(a + SCORED_AT_ONCE, size))
+        of = doc[part].astype(np.int64)
+        place = np.arange(part.start, part.stop) - begins[of]
+        rest = corpus_words - lengths[of]
+        used = np.zeros(len(of), dtype=np.int64)
+        share = 1.0 / (rest + 1)
+        for n in range(1, order + 1):
+            here = counts[n - 1][part]
+            seen = here > 0
+            # the word before a part's first is the last of the part before
+            before = rest if n == 1 else counts[n - 2][np.maximum(np.arange(part.start, part.stop) - 1, 0)]
+            share = np.where(seen, here / np.maximum(before, 1), share)
+            used[seen] = n
+        given_up = np.minimum(place + 1, order) - np.maximum(used, 1)
+        np.add.at(sums, of, np.rint(1e6 * np.log(share * BACKOFF ** given_up)).astype(np.int64))
+        np.add.at(by_order, of * (order + 1) + used, 1)
+    return sums, by_order.reshape(docs, order + 1)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER,
