@@ -7,9 +7,12 @@ other by the longest n-grams of it that the model knows, one size shorter at
 a time; what a language has not seen costs PENALTY. A text's score per
 language is the mean over its words; the smallest cost wins.
 
-Counts are over all training texts; the model keeps, per language, at most the
-MAX_WORDS most frequent words and MAX_NGRAMS n-grams of each size (items of one
-count together), so what is collected and broadcast has a fixed bound per language.
+The classifier is fitted on a bounded sample of the labelled rows: all rows of a
+language that has at most SAMPLE_CHARS characters, else each whole row with the
+probability that makes about so many, by a hash of its key and text (and always the
+row of the least hash). Every word and n-gram of the sampled rows is kept with its
+exact counts there, so what is collected and broadcast is bounded per language by
+the sample alone. Predictions read every row and the whole text.
 
 Defined results
     * null text, or one without a letter: ``und``, score 0; so is every text if
@@ -30,15 +33,16 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, staged
 
 SIZES = (4, 3, 2, 1)
-MAX_WORDS = 50_000
-MAX_NGRAMS = 20_000
+#: Characters of the labelled rows of a language that the classifier is fitted on, about.
+SAMPLE_CHARS = 4_000_000
 #: Cost (negative log10) of what a language hasn't seen.
 PENALTY = 7.0
 FOLDS, HELD = 3, 1
@@ -71,15 +75,21 @@ class Model(NamedTuple):
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """Fit on the rows that are not held out.
+          sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on the sampled rows among those that are not held out.
 
     Tasks count words in Python and hand on partial counts; n-gram counts
     follow from the summed word counts, so each distinct word is cut once.
     """
     known = docs.where(F.col(key).isNotNull() & ~is_held_out(F.col(key))
                        & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    draw = F.xxhash64(F.col(key).cast("string"), F.col(text)) / F.lit(2.0 ** 64) + F.lit(0.5)
+    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    rates = known.groupBy("lang").agg((F.lit(float(sample_chars)) / F.sum(F.length("text") + 1)).alias("rate"),
+                                      F.min("draw").alias("least"))
+    # one row per language
+    known = (known.join(F.broadcast(checkpointed(rates)), "lang").where("rate >= 1 OR draw < rate OR draw = least")
+             .select("lang", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -104,21 +114,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
     grams = words.select("lang", "n", F.explode(F.concat(*[_cut(padded, size) for size in SIZES])).alias("item"))
     grams = checkpointed(grams.groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    rows = [_frequent(words.select("lang", F.col("word").alias("item"), F.lit(0).alias("size"), "n"), max_words).collect(),
-            _frequent(grams.select("lang", "item", F.length("item").alias("size"), "n"), max_ngrams).collect()]
     languages = sorted(totals, key=lambda x: (-totals[x], x))
-    place = {x: i for i, x in enumerate(languages)}
-    costs: list[np.ndarray] = []
-    maps: list[dict[str, int]] = [{}, {}]
-    for k, found in enumerate(rows):
-        names = maps[k]
-        for language, item, n, total in found:
-            row = names.get(item)
-            if row is None:
-                row = names[item] = len(costs)
-                costs.append(np.full(len(languages), PENALTY))
-            costs[row][place[language]] = min(PENALTY, -math.log10(n / total))
-    return Model(languages, maps[0], maps[1], np.array(costs).reshape(len(costs), len(languages)))
+    found = [words.select("lang", F.col("word").alias("item"), F.lit(0).alias("size"), "n").toPandas(),
+             grams.select("lang", "item", F.length("item").alias("size"), "n").toPandas()]
+    maps, costs = zip(*(_costs(x, languages) for x in found), strict=True)
+    start = len(maps[0])
+    return Model(languages, maps[0], {g: start + row for g, row in maps[1].items()}, np.concatenate(costs))
+
+
+def _costs(counts: pd.DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """(row of each item, costs by row and language) from its counts per language."""
+    total = counts.groupby(["lang", "size"])["n"].transform("sum")
+    row, items = pd.factorize(counts["item"])
+    place = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
+    costs = np.full((len(items), len(languages)), PENALTY)
+    costs[row, place] = np.minimum(PENALTY, -np.log10((counts["n"] / total).to_numpy(dtype=float)))
+    return {item: i for i, item in enumerate(items)}, costs
 
 
 def _cut(padded: Column, size: int) -> Column:
@@ -128,21 +139,6 @@ def _cut(padded: Column, size: int) -> Column:
         F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))))
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """(lang, item, n, total): per language and size at most ``most`` items,
-    those from the least count on at which they still fit. Items of one count
-    are kept or left out together, so no ranking of the items is needed: the
-    window runs over how many items have each count."""
-    group = ["lang", "size"]
-    by_count = counts.groupBy(*group, "n").agg(F.count("*").alias("items"))
-    so_far = F.sum("items").over(Window.partitionBy(*group).orderBy(F.desc("n"))
-                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = (by_count.withColumn("so_far", so_far).groupBy(*group)
-           .agg(F.min(F.when(F.col("so_far") <= most, F.col("n"))).alias("least"),
-                F.sum(F.col("n") * F.col("items")).alias("total")))
-    return counts.join(cut, group).where("n >= least").select("lang", "item", "n", "total")
-
-
 def word_cost(model: Model, word: str) -> np.ndarray | None:
     """Cost per language; null if not even a letter of it is known."""
     row = model.words.get(word)

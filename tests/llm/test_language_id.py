@@ -77,10 +77,53 @@ def test_defined_results(spark):
     assert language_id.identify(toy(spark, []), model).count() == 0
 
 
-def test_model_bounds_keep_the_most_frequent(spark):
-    model = language_id.learn(toy(spark, ROWS), max_words=1, max_ngrams=2)
-    assert set(model.words) == {"the", "le"}  # the six German words tie and don't fit
-    assert len(model.grams) <= 3 * 2 * len(language_id.SIZES)
+def test_bounded_sample_of_labelled_rows(spark):
+    """Small languages teach with all rows, large ones with about so many characters of
+    whole rows; no word or n-gram of a sampled row is left out, and no language goes without."""
+    rows = [(i, f"common word{i} " + "blah " * 20, "big") for i in range(3000)] + [(i, t, x) for i, t, x in ROWS]
+    rows += [(k, f"vast{k} " * 5000, "vast") for k in range(2, 12)]
+    model = language_id.learn(toy(spark, rows), sample_chars=30_000)
+    assert {"common", "blah", "word"} <= set(model.words)
+    assert {"en", "fr", "de", "big", "vast"} == set(model.languages)
+    assert {"katze", "matte", "chien", "dog"} <= set(model.words)
+    cost = model.costs[model.words["common"]][model.languages.index("big")]
+    assert abs(cost - math.log10(22)) < 1e-9  # whole rows: one of their 22 words
+    again = language_id.learn(toy(spark, rows[::-1]).repartition(7), sample_chars=30_000)
+    assert again.languages == model.languages and set(again.words) == set(model.words)
+
+
+def test_sample_size(spark):
+    rows = [(i, " ".join([f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"] * 20), "big") for i in range(6000)]
+    model = language_id.learn(toy(spark, rows), sample_chars=40_000)
+    taught = sum(not held(i) for i, _, _ in rows)
+    assert abs(len(model.words) - 40_000 / 100) < 100 < taught  # a row has 99 characters and a word of its own
+
+
+def test_whole_model_against_brute_force(spark):
+    """Every cost of the model of all labelled rows of the given documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs)
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for r in docs.select("doc_id", "text", "lang").collect():
+        if r.text is not None and r.lang is not None and not held(r.doc_id):
+            words[r.lang].update(language_id.words_of(r.text))
+    for lang, c in words.items():
+        for w, n in c.items():
+            for size in language_id.SIZES:
+                for g in language_id.ngrams(w, size):
+                    grams[lang, size][g] += n
+    assert set(model.words) == {w for c in words.values() for w in c}
+    assert set(model.grams) == {g for c in grams.values() for g in c}
+
+    def cost(counts, x, total):
+        return min(language_id.PENALTY, -math.log10(counts[x] / total)) if x in counts else language_id.PENALTY
+
+    for place, lang in enumerate(model.languages):
+        total = sum(words[lang].values())
+        assert all(abs(model.costs[row][place] - cost(words[lang], w, total)) < 1e-9 for w, row in model.words.items())
+        totals = {size: sum(grams[lang, size].values()) for size in language_id.SIZES}
+        assert all(abs(model.costs[row][place] - cost(grams[lang, len(g)], g, totals[len(g)])) < 1e-9
+                   for g, row in model.grams.items())
 
 
 def test_held_out_accuracy(spark):
