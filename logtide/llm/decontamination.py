@@ -5,18 +5,25 @@ Goldenberg, Koucky) walks along a window, reading the same word again or
 stepping on as a random bit of the word says; windows at a small edit distance
 agree in most steps of the walk. Bit sampling LSH keeps a few steps as a key;
 TABLES keys, each of a walk of its own, reach the target recall for passages of
-any length up to 5% edited characters (README has the figures beyond). Items are
+any length up to 7% edited characters (README has the figures beyond). Items are
 cut into passages; those and the documents into the windows of WINDOW words at
-every word. A document's windows whose key occurs in the benchmark are joined to
-it on the key, and the aligned stretch of text is verified exactly: the
-passage's least edit distance (characters, Myers' bit-parallel search) to any
-part of the stretch must be at most MOST_EDITS of its length.
+every word. Two windows of equal keys share several words at like distances, so
+only those windows of a document walk that hold three words of the benchmark at
+the distances they have there, the last at most SPAN words behind the first. A
+document's windows whose key occurs in the benchmark are joined to it on the key,
+and the aligned stretch of text is verified exactly: the passage's least edit
+distance (characters, Myers' bit-parallel search) to any part of the stretch must
+be at most MOST_EDITS of its length (with one blank between words). Items of fewer than WINDOW words, which
+random words come near to by chance, must occur verbatim, word for word; their
+keys are hashes of all their words.
 
 Defined results
-    * null text or an item without words: matches nothing; so does an item of
-      fewer than WINDOW words, which is too short to tell a leak from chance.
-    * words are lower-cased and lose everything but letters and digits;
-      markers and punctuation between words do not matter.
+    * null text or an item without words: matches nothing.
+    * words are lower-cased and lose everything but letters and digits; markers
+      and punctuation between words do not matter. In scripts that are written
+      without blanks, each character is a word.
+    * very long texts are read whole, many words at a time.
+    * ties (passages of one item as close): the row has their common figures.
     * one row per distinct (keys, item); repeated rows and items collapse.
     * empty tables give no rows; columns that are not asked for do not matter.
 """
@@ -32,6 +39,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import checkpointed, fresh_name, staged
 
@@ -41,26 +49,40 @@ PASSAGE_WORDS = 64
 MOST_EDITS = 0.2
 SAMPLED = 5
 #: Tables of one walk miss together, so each has its own. So many find TARGET_RECALL
-#: of the given items of 15 to 31 words with 5% of their characters edited, and of
+#: of the given items of 15 to 31 words with 7% of their characters edited, and of
 #: longer ones with 10% (measured; README).
 TARGET_RECALL = 0.95
-TABLES = WALKS = 24
+TABLES = WALKS = 48
 #: Bits of the filter of benchmark keys that every task holds: so many a key,
 #: and 2^27 (16 MB) at most, whatever the benchmark's size; fewer bits a key
 #: only let more windows through to the join.
 BITS_A_KEY, MOST_BITS = 1024, 1 << 27
 PROBES = 3
+#: A window walks if it holds three benchmark words whose last is at most so many
+#: words behind the first; bits of the filter of such triples, so many a triple.
+SPAN = 4
+BITS_A_TRIPLE = 64
+#: Characters of the n-grams that tell unlike texts before their edits are counted.
+GRAM = 3
 SEED = 6
 #: A worker remembers the hashes of so many words, the first it meets.
 CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 1 << 17
 
 _NOT_WORD = re.compile(r"[\W_]+")
+#: Thai to Myanmar, Khmer, kana, CJK ideographs: written without blanks.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff])")
 _END = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(word: str) -> str:
-    return _NOT_WORD.sub("", word.lower())
+    lower = word.lower()
+    return lower if lower.isalnum() else _NOT_WORD.sub("", lower)
+
+
+def split_words(text: str) -> list[str]:
+    """Words between blanks; characters of scripts without blanks one by one."""
+    return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()
 
 
 def _parameters() -> tuple[np.ndarray, list[list[int]]]:
@@ -80,36 +102,32 @@ def _parameters() -> tuple[np.ndarray, list[list[int]]]:
     return odd, tables
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of normalised words; 0 for what has no letter or digit."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        bare = normal(word)
+        value = (xxh64_intdigest(bare.encode("utf-8", "replace"), SEED) or 1) if bare else 0
+        if len(self) < CACHE_WORDS:
+            self[word] = value
+        return value
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-        known, passing = self.known, []
-        for word in set(words):
-            if word in known:
-                continue
-            bare = normal(word)
-            known[word] = (xxh64_intdigest(bare.encode("utf-8", "replace"), SEED) or 1) if bare else 0
-            if len(known) > CACHE_WORDS:
-                passing.append(word)
-        out = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        for word in passing:
-            del known[word]
-        return out
-
-
-def window_keys(words: np.ndarray, count: int) -> Iterator[np.ndarray]:
-    """For each table, the keys of the windows that start at 0 .. count - 1.
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def window_keys(words: np.ndarray, count: int, chosen: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """For each table, the keys of the windows that start at 0 .. count - 1, or
+    of the ``chosen`` ones among them.
 
     A step at or past the window's end reads an end mark, so a key depends
     on nothing outside its window."""
     odd, tables = _parameters()
     starts = np.arange(count)
     padded = np.concatenate([words, np.zeros(STEPS + 1, dtype=np.uint64)])
+    if chosen is not None:  # those windows one behind the other
+        count, starts = len(chosen), np.arange(len(chosen)) * WINDOW
+        padded = np.append(padded[chosen[:, None] + np.arange(WINDOW)], np.zeros(STEPS + 1, dtype=np.uint64))
     for walk in range(WALKS):
         own = range(walk, TABLES, WALKS)
         keys = {t: np.full(count, t + 1, dtype=np.uint64) for t in own}
@@ -132,8 +150,50 @@ def window_keys(words: np.ndarray, count: int) -> Iterator[np.ndarray]:
         yield from (keys[t] for t in own)
 
 
-def _probe(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(12 * i)) & np.uint64(bits - 1)
+def run_keys(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` words, by its first word."""
+    odd, _ = _parameters()
+    count = max(0, len(words) - length + 1)
+    keys = np.full(count, TABLES + length, dtype=np.uint64)
+    for i in range(length):
+        keys ^= words[i:i + count]
+        keys *= odd[-1]
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def triple_keys(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(last, keys): for each pair of distances up to SPAN, a hash of every word
+    with the two so far behind it, by its first word."""
+    odd, _ = _parameters()
+    first = words * odd[0]
+    for middle in range(1, SPAN):
+        pair = (first[:max(0, len(words) - middle)] ^ words[middle:]) * odd[1 + middle]
+        for last in range(middle + 1, SPAN + 1):
+            count = max(0, len(words) - last)
+            keys = (pair[:count] ^ words[last:last + count]) * odd[1 + SPAN + last]
+            keys ^= keys >> np.uint64(31)
+            yield last, keys
+
+
+def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be in the filter."""
+    left = None
+    for i in range(PROBES):
+        bit = ((keys if left is None else keys[left]) >> np.uint64(12 * i)) & np.uint64(8 * len(bits) - 1)
+        there = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+        left = there if left is None else left[there]
+    return left
+
+
+def walking_windows(words: np.ndarray, count: int, triples: np.ndarray) -> np.ndarray:
+    """Starts of the windows, of 0 .. count - 1, that hold a triple of the filter."""
+    walks = np.zeros(len(words) + WINDOW, dtype=bool)  # by start + WINDOW
+    for last, keys in triple_keys(words):
+        at = _passing(keys, triples) + WINDOW
+        for back in range(WINDOW - last):
+            walks[at - back] = True
+    return np.flatnonzero(walks[WINDOW:WINDOW + count])
 
 
 def passages(words: list[str]) -> list[list[str]]:
@@ -151,9 +211,7 @@ def benchmark_passages(benchmark: DataFrame, item: str = "item_id", text: str =
         for batch in batches:
             out = []
             for name, value in zip(batch["item"], batch["text"], strict=True):
-                words = [w for w in map(normal, value.split()) if w]
-                if len(words) < WINDOW:
-                    continue
+                words = [w for w in map(normal, split_words(value)) if w]
                 out += [(name, len(part), " ".join(part)) for part in passages(words)]
             yield pd.DataFrame(out, columns=["item", "n", "body"])
 
@@ -162,11 +220,16 @@ def benchmark_passages(benchmark: DataFrame, item: str = "item_id", text: str =
 
 
 def benchmark_index(parts: DataFrame) -> DataFrame:
-    """(key, passage, offset, n): the keys of the windows at every word of the passages."""
+    """(key, passage, offset, n): the keys of the windows at every word of the
+    passages; passages shorter than a window have the one key of all their words."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             for passage, n, body in zip(batch["passage"], batch["n"], batch["body"], strict=True):
+                if n < WINDOW:
+                    keys = run_keys(hashes(body.split(" ")), n).view(np.int64)
+                    yield pd.DataFrame({"key": keys, "passage": passage, "offset": np.zeros(1, dtype=np.int64), "n": n})
+                    continue
                 count = n - WINDOW + 1
                 keys = np.concatenate(list(window_keys(hashes(body.split(" ")), count))).view(np.int64)
                 yield pd.DataFrame({"key": keys, "passage": passage, "offset": np.tile(np.arange(count), TABLES), "n": n})
@@ -174,9 +237,21 @@ def benchmark_index(parts: DataFrame) -> DataFrame:
     return parts.mapInPandas(cut, "key long, passage long, offset int, n int")
 
 
-def key_filter(index: DataFrame) -> np.ndarray:
+def benchmark_triples(parts: DataFrame) -> DataFrame:
+    """(key): the keys of the word triples of all passages as long as a window."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            for body in batch["body"]:
+                keys = np.concatenate([k for _, k in triple_keys(hashes(body.split(" ")))])
+                yield pd.DataFrame({"key": keys.view(np.int64)})
+
+    return parts.where(F.col("n") >= WINDOW).select("body").mapInPandas(cut, "key long").distinct()
+
+
+def key_filter(index: DataFrame, bits_a_key: int = BITS_A_KEY) -> np.ndarray:
     """Bloom filter of the index's keys: at most MOST_BITS / 64 words leave Spark."""
-    size = min(MOST_BITS, 1 << max(6, (BITS_A_KEY * index.count() - 1).bit_length()))
+    size = min(MOST_BITS, 1 << max(6, (bits_a_key * index.count() - 1).bit_length()))
     probes = F.array(*[F.shiftrightunsigned("key", 12 * i).bitwiseAND(F.lit(size - 1)) for i in range(PROBES)])
     bits = (index.select(F.explode(probes).alias("bit"))
             .select(F.shiftright("bit", 6).alias("word"),
@@ -188,30 +263,37 @@ def key_filter(index: DataFrame) -> np.ndarray:
     return np.frombuffer(out.tobytes(), dtype=np.uint8)
 
 
-def _hits(words: np.ndarray, count: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, key) of the windows whose key may be in the filter."""
+def _hits(words: np.ndarray, count: int, bits: np.ndarray, triples: np.ndarray,
+          lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of the windows, and of the runs of the given lengths, whose
+    key may be in the filter."""
+    chosen = walking_windows(words, count, triples)
     starts, found = [], []
-    for keys in window_keys(words, count):
-        left = np.arange(count)
-        for i in range(PROBES):
-            bit = _probe(keys[left], i, 8 * len(bits))
-            left = left[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    for keys in window_keys(words, count, chosen):
+        left = _passing(keys, bits)
+        starts.append(chosen[left])
+        found.append(keys[left])
+    for length in lengths:
+        keys = run_keys(words, length)
+        left = _passing(keys, bits)
         starts.append(left)
         found.append(keys[left])
     return np.concatenate(starts), np.concatenate(found)
 
 
-def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndarray) -> DataFrame:
+def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndarray, triples: np.ndarray,
+                      lengths: list[int]) -> DataFrame:
     """(key_0.., at, words, hits): stretches of documents, at most
-    4 * PASSAGE_WORDS words plus a margin, and their hits (key, place)."""
+    4 * PASSAGE_WORDS words plus a margin, and their hits (key, place); ``lengths``
+    are those of the benchmark's passages shorter than a window."""
     rows = docs.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
     rows = rows.where("text IS NOT NULL")
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast((bits, triples))
     types = [rows.schema[f"key_{i}"].dataType.simpleString() for i in range(len(keys))]
     margin = math.ceil(PASSAGE_WORDS * (1 + MOST_EDITS)) + WINDOW
 
     def stretches(value: str, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[list[str], list[dict]]]:
-        words = [w for w in map(normal, value.split()) if w]
+        words = [w for w in map(normal, split_words(value)) if w]
         order = np.lexsort((found, at))
         at, found = at[order].tolist(), found[order].view(np.int64).tolist()
         i = 0
@@ -233,13 +315,13 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
             while i < batch.num_rows:  # texts together until there are enough words
                 parts, first, held = [], i, 0
                 while i < batch.num_rows and held < WORDS_AT_ONCE:
-                    part = hashes(texts[i].as_py().split())
+                    part = hashes(split_words(texts[i].as_py()))
                     part = part[part > 0]
                     parts += [part, np.zeros(WINDOW, dtype=np.uint64)]
                     held += len(part) + WINDOW
                     i += 1
                 begins = np.cumsum([0, *(len(p) for p in parts)])[:-1:2]
-                at, found = _hits(np.concatenate(parts), held, shared.value)
+                at, found = _hits(np.concatenate(parts), held, *shared.value, lengths)
                 text_of = np.searchsorted(begins, at, side="right") - 1
                 for t in np.unique(text_of):
                     mine = text_of == t
@@ -288,6 +370,21 @@ def least_edits(pattern: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def may_match(pattern: str, text: str, most: int) -> bool:
+    """False only if no part of ``text`` is within ``most`` edits of ``pattern``:
+    each edit spoils at most GRAM of the pattern's character n-grams."""
+    grams = {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+    places = max(0, len(pattern) - GRAM + 1)
+    return sum(pattern[i:i + GRAM] in grams for i in range(places)) >= places - GRAM * most
+
+
+def edits_within(pattern: str, text: str, most: int) -> int:
+    """``least_edits``, with cheap answers for verbatim and for unlike texts."""
+    if pattern in text:
+        return 0
+    return least_edits(pattern, text, most) if may_match(pattern, text, most) else most + 1
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text",
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """keys, item, edits, similarity: every item of which a passage occurs in
@@ -296,7 +393,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
     index = checkpointed(benchmark_index(parts))
     names = [f"key_{i}" for i in range(len(keys))]
     # Written with an id, so that only ids cross the join on the many keys of a leak.
-    stretches = staged(candidate_windows(docs, list(keys), text, key_filter(index))
+    lengths = [r.n for r in parts.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # WINDOW - 1 at most
+    triples = key_filter(checkpointed(benchmark_triples(parts)), BITS_A_TRIPLE)
+    stretches = staged(candidate_windows(docs, list(keys), text, key_filter(index), triples, lengths)
                        .withColumn("stretch_id", F.monotonically_increasing_id()), "stretches")
     hits = stretches.select("stretch_id", F.explode("hits").alias("hit")).select("stretch_id", "hit.key", "hit.place")
     slack = F.ceil(F.col("n") * MOST_EDITS).cast("int") + 1
@@ -312,8 +411,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            allowed = [int(MOST_EDITS * len(b)) for b in batch["body"]]
-            edits = [least_edits(b, s, k) for b, s, k in zip(batch["body"], batch["stretch"], allowed, strict=True)]
+            allowed = [int(MOST_EDITS * len(b)) if n >= WINDOW else 0 for b, n in zip(batch["body"], batch["n"], strict=True)]
+            edits = [edits_within(b, s, k) if n >= WINDOW else int(f" {b} " not in f" {s} ") for b, s, k, n in
+                     zip(batch["body"], batch["stretch"], allowed, batch["n"], strict=True)]
             out = batch[[*names, "item"]].assign(
                 edits=np.asarray(edits, dtype=np.int64),
                 similarity=[1 - e / len(b) for e, b in zip(edits, batch["body"], strict=True)])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -89,10 +90,56 @@ def test_defined_results(spark, docs_of):
             (6, "word " * 100_000 + ITEM), (7, "alpha beta gamma")]
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.item_id) for r in
                  D.find_leaks(docs_of(rows), bench_of(spark, items)).collect() if r.item_id is not None)
-    assert got == [((False, 1), 1), ((False, 5), 5), ((False, 6), 1), ((True, 0), 1)]
+    assert got == [((False, 1), 1), ((False, 4), 4), ((False, 5), 5), ((False, 6), 1), ((True, 0), 1)]
     kept = D.drop_leaks(docs_of(rows), bench_of(spark, items))
     assert kept.columns == docs_of(rows).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
+
+
+def test_short_items_match_verbatim_and_word_for_word(spark, docs_of):
+    """Every length below a window, inside long texts and at both ends, also without blanks."""
+    items = [(n, " ".join(f"s{n}w{k}" for k in range(n))) for n in range(1, D.WINDOW)]
+    items += [(50, "床前明月光,疑是地霜"), (51, "短句"), (52, "ひらがな")]
+    noise = " ".join(f"noise{k}" for k in range(300))
+    rows, want = [], set()
+    for i, text in items:
+        for doc in (text, f"{noise} {text.upper()}", f"{text}! {noise}", f"{noise}, «{text}» {noise}"):
+            want.add((len(rows), i))
+            rows.append((len(rows), doc))
+        changed = text[:-1] + ("x" if i < 50 else "你")
+        rows.append((len(rows), f"{noise} {changed} {noise}"))
+        rows.append((len(rows), f"{noise} {text}x {noise}" if i < 50 else noise))
+    rows.append((len(rows), "床前明月光疑是地"))
+    got = {(r.doc_id, r.item_id): (r.edits, r.similarity) for r in D.find_leaks(docs_of(rows), bench_of(spark, items)).collect()}
+    assert set(got) == want and set(got.values()) == {(0, 1.0)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=14), st.text("abc ", max_size=24), st.integers(0, 14))
+def test_cheap_answers_change_no_edit_count(pattern, text, most):
+    assert D.edits_within(pattern, text, most) == D.least_edits(pattern, text, most)
+
+
+def test_windows_that_do_not_walk_have_no_key_of_five_distinct_words():
+    """The filter of triples loses no key whose sampled steps read different words."""
+    rng = random.Random(4)
+    h = D.WordHashes()
+    for _ in range(60):
+        window = h([f"w{k}" for k in range(D.WINDOW)])
+        other = h([f"x{k}" for k in range(D.WINDOW)])
+        same = sorted(rng.sample(range(D.WINDOW), 5))
+        for at in same:
+            other[at] = window[at]
+        triples = {k for _, keys in D.triple_keys(window) for k in keys.tolist()}
+        assert triples & {k for _, keys in D.triple_keys(other) for k in keys.tolist()}, same
+
+
+def test_chosen_windows_have_the_keys_of_all_windows():
+    words = D.WordHashes()([f"w{k % 37}" for k in range(400)])
+    chosen = np.array([0, 3, 4, 77, 390, 399])
+    for every, some in zip(D.window_keys(words, 400), D.window_keys(words, 400, chosen), strict=True):
+        inside = chosen <= 400 - D.WINDOW
+        assert (every[chosen][inside] == some[inside]).all()
 
 
 def test_empty(spark, docs_of):
