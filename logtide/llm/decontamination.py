@@ -62,8 +62,8 @@ PROBES = 3
 #: words behind the first; bits of the filter of such triples, so many a triple.
 SPAN = 4
 BITS_A_TRIPLE = 64
-#: Characters of the n-grams that tell unlike texts before their edits are counted.
-GRAM = 3
+#: Pairs of texts whose pieces are compared side by side.
+PAIRS_AT_ONCE = 512
 SEED = 6
 #: A worker remembers the hashes of so many words, the first it meets.
 CACHE_WORDS = 200_000
@@ -292,8 +292,7 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
     types = [rows.schema[f"key_{i}"].dataType.simpleString() for i in range(len(keys))]
     margin = math.ceil(PASSAGE_WORDS * (1 + MOST_EDITS)) + WINDOW
 
-    def stretches(value: str, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[list[str], list[dict]]]:
-        words = [w for w in map(normal, split_words(value)) if w]
+    def stretches(words: list[str], kept: np.ndarray, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[list[str], list[dict]]]:
         order = np.lexsort((found, at))
         at, found = at[order].tolist(), found[order].view(np.int64).tolist()
         i = 0
@@ -302,7 +301,7 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
             while j < len(at) and at[j] - at[i] <= 2 * PASSAGE_WORDS:
                 j += 1
             low = max(0, at[i] - margin)
-            yield (words[low:at[j - 1] + margin],
+            yield ([normal(words[k]) for k in kept[low:at[j - 1] + margin].tolist()],
                    [{"key": k, "place": a - low} for a, k in sorted(set(zip(at[i:j], found[i:j], strict=True)))])
             i = j
 
@@ -313,10 +312,13 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
             row, out_words, out_hits = [], [], []
             i = 0
             while i < batch.num_rows:  # texts together until there are enough words
-                parts, first, held = [], i, 0
+                parts, split, first, held = [], [], i, 0
                 while i < batch.num_rows and held < WORDS_AT_ONCE:
-                    part = hashes(split_words(texts[i].as_py()))
-                    part = part[part > 0]
+                    words = split_words(texts[i].as_py())
+                    part = hashes(words)
+                    kept = np.flatnonzero(part)
+                    split.append((words, kept))
+                    part = part[kept]
                     parts += [part, np.zeros(WINDOW, dtype=np.uint64)]
                     held += len(part) + WINDOW
                     i += 1
@@ -325,7 +327,7 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
                 text_of = np.searchsorted(begins, at, side="right") - 1
                 for t in np.unique(text_of):
                     mine = text_of == t
-                    for words, hits in stretches(texts[first + int(t)].as_py(), at[mine] - begins[t], found[mine]):
+                    for words, hits in stretches(*split[t], at[mine] - begins[t], found[mine]):
                         row.append(first + int(t))
                         out_words.append(words)
                         out_hits.append(hits)
@@ -370,19 +372,56 @@ def least_edits(pattern: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
-def may_match(pattern: str, text: str, most: int) -> bool:
-    """False only if no part of ``text`` is within ``most`` edits of ``pattern``:
-    each edit spoils at most GRAM of the pattern's character n-grams."""
-    grams = {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
-    places = max(0, len(pattern) - GRAM + 1)
-    return sum(pattern[i:i + GRAM] in grams for i in range(places)) >= places - GRAM * most
+def fewest_edits(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """For each pattern, edits that no part of its text can do without: the
+    pattern's pieces of at most 64 characters, a machine word each, are searched
+    side by side, and the least edits of each are added up."""
+    chars = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in (*patterns, *texts)]
+    letters, codes = np.unique(np.concatenate(chars), return_inverse=True)
+    codes = np.split(codes, np.cumsum([len(c) for c in chars])[:-1])
+    columns = np.full((max(map(len, texts)), len(texts)), len(letters))
+    for i, c in enumerate(codes[len(patterns):]):
+        columns[:len(c), i] = c
+    pieces = [(i, p) for i, c in enumerate(codes[:len(patterns)]) for p in np.array_split(c, -(-len(c) // 64) or 1) if len(p)]
+    owner = np.array([i for i, _ in pieces], dtype=np.int64)
+    score = np.array([len(p) for _, p in pieces], dtype=np.int64)
+    row = np.arange(len(pieces)) * (len(letters) + 1)
+    equal = np.zeros(len(pieces) * (len(letters) + 1), dtype=np.uint64)
+    for r, (_, p) in zip(row.tolist(), pieces, strict=True):
+        np.bitwise_or.at(equal, r + p, np.uint64(1) << np.arange(len(p), dtype=np.uint64))
+    one = np.uint64(1)
+    last = (score - 1).astype(np.uint64)
+    up, down = np.full(len(pieces), ~np.uint64(0)), np.zeros(len(pieces), dtype=np.uint64)
+    best = score.copy()
+    for column in columns:
+        same = equal[row + column[owner]]
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        plus = down | ~(horizontal | up)
+        minus = up & horizontal
+        score += (plus >> last & one).view(np.int64)
+        score -= (minus >> last & one).view(np.int64)
+        np.minimum(best, score, out=best)
+        plus <<= one
+        minus <<= one
+        up = minus | ~(vertical | plus)
+        down = plus & vertical
+    return np.bincount(owner, best, len(patterns)).astype(np.int64)
 
 
-def edits_within(pattern: str, text: str, most: int) -> int:
-    """``least_edits``, with cheap answers for verbatim and for unlike texts."""
-    if pattern in text:
-        return 0
-    return least_edits(pattern, text, most) if may_match(pattern, text, most) else most + 1
+def edits_within(patterns: list[str], texts: list[str], most: list[int]) -> np.ndarray:
+    """``least_edits`` of each pattern and its text; Python's long integers count
+    only what is neither verbatim nor too far by ``fewest_edits``."""
+    edits = np.array([0 if p in t else k + 1 for p, t, k in zip(patterns, texts, most, strict=True)], dtype=np.int64)
+    open_ = [i for i in np.flatnonzero(edits).tolist() if most[i] > 0]
+    open_.sort(key=lambda i: len(texts[i]))
+    for at in range(0, len(open_), PAIRS_AT_ONCE):
+        some = open_[at:at + PAIRS_AT_ONCE]
+        bound = fewest_edits([patterns[i] for i in some], [texts[i] for i in some])
+        for i, least in zip(some, bound.tolist(), strict=True):
+            if least <= most[i]:
+                edits[i] = least_edits(patterns[i], texts[i], most[i])
+    return edits
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text",
@@ -411,13 +450,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            allowed = [int(MOST_EDITS * len(b)) if n >= WINDOW else 0 for b, n in zip(batch["body"], batch["n"], strict=True)]
-            edits = [edits_within(b, s, k) if n >= WINDOW else int(f" {b} " not in f" {s} ") for b, s, k, n in
-                     zip(batch["body"], batch["stretch"], allowed, batch["n"], strict=True)]
-            out = batch[[*names, "item"]].assign(
-                edits=np.asarray(edits, dtype=np.int64),
-                similarity=[1 - e / len(b) for e, b in zip(edits, batch["body"], strict=True)])
-            yield out[np.asarray(edits, dtype=np.int64) <= np.asarray(allowed, dtype=np.int64)]
+            short = (batch["n"] < WINDOW).to_numpy()
+            fence = np.where(short, " ", "")  # short items must match word for word
+            body, stretch = (fence + batch[c].to_numpy() + fence for c in ("body", "stretch"))
+            size = batch["body"].str.len().to_numpy()
+            allowed = np.where(short, 0, (MOST_EDITS * size).astype(np.int64))
+            edits = edits_within(body.tolist(), stretch.tolist(), allowed.tolist())
+            out = batch[[*names, "item"]].assign(edits=edits, similarity=1 - edits / size)
+            yield out[edits <= allowed]
 
     leaks = aligned.mapInPandas(verify, f"{shape}, edits long, similarity double")
     best = leaks.groupBy(*names, "item").agg(F.max("similarity").alias("similarity"), F.min("edits").alias("edits"))

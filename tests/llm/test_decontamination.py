@@ -115,9 +115,27 @@ def test_short_items_match_verbatim_and_word_for_word(spark, docs_of):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("abc ", max_size=14), st.text("abc ", max_size=24), st.integers(0, 14))
-def test_cheap_answers_change_no_edit_count(pattern, text, most):
-    assert D.edits_within(pattern, text, most) == D.least_edits(pattern, text, most)
+@given(st.lists(st.tuples(st.text("abc é", max_size=14), st.text("abc é", max_size=24), st.integers(0, 14)), max_size=5))
+def test_many_pairs_at_once_have_the_edits_of_each(pairs):
+    got = D.edits_within(*[[p[k] for p in pairs] for k in range(3)])
+    assert got.tolist() == [D.least_edits(*p) for p in pairs]
+
+
+def test_long_patterns_in_pieces_have_the_edits_of_the_whole():
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(150):
+        p = "".join(rng.choices("abcde ", k=rng.randrange(60, 300)))
+        t = list(p)
+        for _ in range(rng.randrange(0, 70)):
+            at = rng.randrange(len(t))
+            t[at:at + 1] = rng.choice([[], ["x"], [t[at], "b"]])
+        pairs.append((p, "abc" * 9 + "".join(t) + "ed a" * rng.randrange(30), len(p) // 5))
+    bound = D.fewest_edits([p for p, _, _ in pairs], [t for _, t, _ in pairs])
+    want = [D.least_edits(p, t, len(p)) for p, t, _ in pairs]
+    assert all(b <= w for b, w in zip(bound.tolist(), want, strict=True))
+    got = D.edits_within(*[[p[k] for p in pairs] for k in range(3)]).tolist()
+    assert got == [min(w, k + 1) for w, (_, _, k) in zip(want, pairs, strict=True)] and min(want) < 5 < max(want)
 
 
 def test_windows_that_do_not_walk_have_no_key_of_five_distinct_words():
