@@ -32,14 +32,16 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import checkpointed, fresh_name, staged
 
@@ -65,13 +67,13 @@ BITS_A_TRIPLE = 64
 #: Pairs of texts whose pieces are compared side by side.
 PAIRS_AT_ONCE = 512
 SEED = 6
-#: A worker remembers the hashes of so many words, the first it meets.
-CACHE_WORDS = 200_000
+CHARS_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 1 << 17
 
 _NOT_WORD = re.compile(r"[\W_]+")
 #: Thai to Myanmar, Khmer, kana, CJK ideographs: written without blanks.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff])")
+_BLANK = re.compile(r"\s")
 _END = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,6 +87,7 @@ def split_words(text: str) -> list[str]:
     return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()
 
 
+@lru_cache(1)
 def _parameters() -> tuple[np.ndarray, list[list[int]]]:
     """Odd multipliers, one a walk and one for keys; the steps of each table.
 
@@ -102,18 +105,71 @@ def _parameters() -> tuple[np.ndarray, list[list[int]]]:
     return odd, tables
 
 
-class WordHashes(dict):
-    """64-bit hashes of normalised words; 0 for what has no letter or digit."""
-
-    def __missing__(self, word: str) -> int:
-        bare = normal(word)
-        value = (xxh64_intdigest(bare.encode("utf-8", "replace"), SEED) or 1) if bare else 0
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 1 for letters and digits, 2 for blanks, else 0; and a random number."""
+    every = map(chr, range(sys.maxunicode + 1))
+    kinds = np.fromiter((1 if c.isalnum() else 2 * c.isspace() for c in every), dtype=np.uint8, count=sys.maxunicode + 1)
+    return kinds, np.random.default_rng(SEED).integers(1, 1 << 63, len(kinds), dtype=np.uint64)
+
+
+class Words(NamedTuple):
+    """The normalised words of a text: its letters, digits and blanks in lower
+    case, where each word begins and ends there, and a 64-bit hash of each."""
+
+    chars: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+
+    def between(self, low: int, high: int) -> list[str]:
+        high = min(high, len(self.begin))
+        return self.chars[self.begin[low]:self.end[high - 1]].tobytes().decode("utf-32-le").split() if low < high else []
+
+
+def normal_words(text: str) -> Words:
+    """The words of ``split_words`` and ``normal`` that are left, by whole arrays;
+    a very long text in parts that end at a blank."""
+    parts, at, held = [], 0, 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + CHARS_AT_ONCE)
+        stop = blank.start() if blank else len(text)
+        part = _part_words(text[at:stop])
+        parts.append(part._replace(begin=part.begin + held, end=part.end + held))
+        at, held = stop, held + len(part.chars)
+    return parts[0] if len(parts) == 1 else Words(*map(np.concatenate, zip(*parts or [_part_words("")], strict=True)))
+
+
+def _part_words(text: str) -> Words:
+    lower = text.lower()
+    if not lower.isascii():
+        lower = _UNSPACED.sub(r" \1 ", lower)
+    codes = np.frombuffer(lower.encode("utf-32-le", "replace"), dtype="<u4")
+    kinds, numbers = _letters()
+    kind = kinds[codes]
+    chars, blank = codes[kind > 0], kind[kind > 0] == 2
+    edge = np.concatenate([[True], blank, [True]])
+    begin = np.flatnonzero(edge[:-2] & ~blank)
+    end = np.flatnonzero(edge[2:] & ~blank) + 1
+    if not len(begin):
+        return Words(chars, begin, end, np.zeros(0, dtype=np.uint64))
+    size = end - begin
+    first = np.cumsum(size) - size  # among the letters and digits
+    odd = _parameters()[0]
+    powers = np.cumprod(np.full(size.max(), odd[-1], dtype=np.uint64))
+    hashes = np.add.reduceat(numbers[chars[~blank]] * powers[np.arange(size.sum()) - np.repeat(first, size)], first)
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= odd[0]
+    hashes ^= hashes >> np.uint64(29)
+    hashes[hashes == 0] = 1
+    return Words(chars, begin, end, hashes)
+
+
+class WordHashes:
+    """64-bit hashes of words, as ``normal_words`` has them."""
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return normal_words(" ".join(words)).hashes
 
 
 def window_keys(words: np.ndarray, count: int, chosen: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -292,21 +348,18 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
     types = [rows.schema[f"key_{i}"].dataType.simpleString() for i in range(len(keys))]
     margin = math.ceil(PASSAGE_WORDS * (1 + MOST_EDITS)) + WINDOW
 
-    def stretches(words: list[str], kept: np.ndarray, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[list[str], list[dict]]]:
-        order = np.lexsort((found, at))
-        at, found = at[order].tolist(), found[order].view(np.int64).tolist()
+    def stretches(words: Words, at: list[int], found: list[int]) -> Iterator[tuple[list[str], list[dict]]]:
         i = 0
         while i < len(at):
             j = i
             while j < len(at) and at[j] - at[i] <= 2 * PASSAGE_WORDS:
                 j += 1
             low = max(0, at[i] - margin)
-            yield ([normal(words[k]) for k in kept[low:at[j - 1] + margin].tolist()],
+            yield (words.between(low, at[j - 1] + margin),
                    [{"key": k, "place": a - low} for a, k in sorted(set(zip(at[i:j], found[i:j], strict=True)))])
             i = j
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts = batch.column(len(keys))
             row, out_words, out_hits = [], [], []
@@ -314,21 +367,20 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
             while i < batch.num_rows:  # texts together until there are enough words
                 parts, split, first, held = [], [], i, 0
                 while i < batch.num_rows and held < WORDS_AT_ONCE:
-                    words = split_words(texts[i].as_py())
-                    part = hashes(words)
-                    kept = np.flatnonzero(part)
-                    split.append((words, kept))
-                    part = part[kept]
-                    parts += [part, np.zeros(WINDOW, dtype=np.uint64)]
-                    held += len(part) + WINDOW
+                    split.append(normal_words(texts[i].as_py()))
+                    parts += [split[-1].hashes, np.zeros(WINDOW, dtype=np.uint64)]
+                    held += len(parts[-2]) + WINDOW
                     i += 1
                 begins = np.cumsum([0, *(len(p) for p in parts)])[:-1:2]
                 at, found = _hits(np.concatenate(parts), held, *shared.value, lengths)
+                order = np.lexsort((found, at))
+                at, found = at[order], found[order].view(np.int64)
                 text_of = np.searchsorted(begins, at, side="right") - 1
-                for t in np.unique(text_of):
-                    mine = text_of == t
-                    for words, hits in stretches(*split[t], at[mine] - begins[t], found[mine]):
-                        row.append(first + int(t))
+                own = np.searchsorted(text_of, np.arange(len(split) + 1))
+                for t in np.unique(text_of).tolist():
+                    mine = slice(own[t], own[t + 1])
+                    for words, hits in stretches(split[t], (at[mine] - begins[t]).tolist(), found[mine].tolist()):
+                        row.append(first + t)
                         out_words.append(words)
                         out_hits.append(hits)
             where = pa.array(row, pa.int64())

@@ -138,6 +138,22 @@ def test_long_patterns_in_pieces_have_the_edits_of_the_whole():
     assert got == [min(w, k + 1) for w, (_, _, k) in zip(want, pairs, strict=True)] and min(want) < 5 < max(want)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aB. _\t\n\u0130\u03a3\u3042-")), max_size=60), st.integers(1, 40))
+def test_words_by_arrays_are_the_words_one_by_one(text, size):
+    want = [w for w in map(D.normal, D.split_words(text)) if w]
+    whole, held = D.normal_words(text), D.CHARS_AT_ONCE
+    D.CHARS_AT_ONCE = size
+    try:
+        parts = D.normal_words(text)
+    finally:
+        D.CHARS_AT_ONCE = held
+    for got in (whole, parts):
+        assert got.between(0, len(text) + 1) == want and len(got.hashes) == len(want)
+        assert got.between(1, 3) == want[1:3]
+        assert got.hashes.tolist() == [D.normal_words(w).hashes[0] for w in want]
+
+
 def test_windows_that_do_not_walk_have_no_key_of_five_distinct_words():
     """The filter of triples loses no key whose sampled steps read different words."""
     rng = random.Random(4)
