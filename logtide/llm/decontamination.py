@@ -33,8 +33,9 @@ from __future__ import annotations
 import math
 import re
 import sys
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -60,6 +61,8 @@ TABLES = WALKS = 48
 #: only let more windows through to the join.
 BITS_A_KEY, MOST_BITS = 1024, 1 << 27
 PROBES = 3
+#: 64-bit words of a filter that are packed together.
+PAGE_WORDS = 1 << 13
 #: A window walks if it holds three benchmark words whose last is at most so many
 #: words behind the first; bits of the filter of such triples, so many a triple.
 SPAN = 4
@@ -305,18 +308,41 @@ def benchmark_triples(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("n") >= WINDOW).select("body").mapInPandas(cut, "key long").distinct()
 
 
-def key_filter(index: DataFrame, bits_a_key: int = BITS_A_KEY) -> np.ndarray:
-    """Bloom filter of the index's keys: at most MOST_BITS / 64 words leave Spark."""
+class KeyFilter:
+    """A Bloom filter of so many bits. It goes through the driver as compressed
+    pages (few bits are set), and is laid out once by each task's process."""
+
+    def __init__(self, size: int, pages: list[tuple[int, bytes]]):
+        self.size, self.pages = size, pages
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        out = np.zeros(self.size // 8, dtype=np.uint8)
+        for page, body in self.pages:
+            raw = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
+            out[8 * PAGE_WORDS * page:][:len(raw)] = raw
+        return out
+
+
+def key_filter(index: DataFrame, bits_a_key: int = BITS_A_KEY) -> KeyFilter:
+    """Filter of the index's keys, at most MOST_BITS; its pages are made by tasks."""
     size = min(MOST_BITS, 1 << max(6, (bits_a_key * index.count() - 1).bit_length()))
+    words = min(PAGE_WORDS, size // 64)
+
+    def pack(page: pd.DataFrame) -> pd.DataFrame:
+        body = np.zeros(words, dtype="<i8")
+        body[page["word"].to_numpy() % words] = page["mask"].to_numpy()
+        return pd.DataFrame({"page": page["page"].iloc[:1], "body": [zlib.compress(body.tobytes(), 1)]})
+
     probes = F.array(*[F.shiftrightunsigned("key", 12 * i).bitwiseAND(F.lit(size - 1)) for i in range(PROBES)])
     bits = (index.select(F.explode(probes).alias("bit"))
             .select(F.shiftright("bit", 6).alias("word"),
                     F.call_function("shiftleft", F.lit(1).cast("long"),
                                     F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
-            .groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas())
-    out = np.zeros(size // 64, dtype="<i8")
-    out[bits["word"].to_numpy(dtype=np.int64)] = bits["mask"].to_numpy(dtype=np.int64)
-    return np.frombuffer(out.tobytes(), dtype=np.uint8)
+            .groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    pages = (bits.withColumn("page", F.shiftright("word", words.bit_length() - 1))
+             .groupBy("page").applyInPandas(pack, "page long, body binary").collect())
+    return KeyFilter(size, [(p.page, bytes(p.body)) for p in pages])
 
 
 def _hits(words: np.ndarray, count: int, bits: np.ndarray, triples: np.ndarray,
@@ -337,14 +363,14 @@ def _hits(words: np.ndarray, count: int, bits: np.ndarray, triples: np.ndarray,
     return np.concatenate(starts), np.concatenate(found)
 
 
-def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndarray, triples: np.ndarray,
+def candidate_windows(docs: DataFrame, keys: list[str], text: str, index: KeyFilter, triples: KeyFilter,
                       lengths: list[int]) -> DataFrame:
     """(key_0.., at, words, hits): stretches of documents, at most
     4 * PASSAGE_WORDS words plus a margin, and their hits (key, place); ``lengths``
     are those of the benchmark's passages shorter than a window."""
     rows = docs.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
     rows = rows.where("text IS NOT NULL")
-    shared = rows.sparkSession.sparkContext.broadcast((bits, triples))
+    shared = rows.sparkSession.sparkContext.broadcast((index, triples))
     types = [rows.schema[f"key_{i}"].dataType.simpleString() for i in range(len(keys))]
     margin = math.ceil(PASSAGE_WORDS * (1 + MOST_EDITS)) + WINDOW
 
@@ -360,6 +386,7 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
             i = j
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = [f.bits for f in shared.value]
         for batch in batches:
             texts = batch.column(len(keys))
             row, out_words, out_hits = [], [], []
@@ -372,7 +399,7 @@ def candidate_windows(docs: DataFrame, keys: list[str], text: str, bits: np.ndar
                     held += len(parts[-2]) + WINDOW
                     i += 1
                 begins = np.cumsum([0, *(len(p) for p in parts)])[:-1:2]
-                at, found = _hits(np.concatenate(parts), held, *shared.value, lengths)
+                at, found = _hits(np.concatenate(parts), held, *filters, lengths)
                 order = np.lexsort((found, at))
                 at, found = at[order], found[order].view(np.int64)
                 text_of = np.searchsorted(begins, at, side="right") - 1

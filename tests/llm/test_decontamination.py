@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -189,3 +190,15 @@ def test_keys_depend_on_their_window_alone():
     a = list(D.window_keys(h(words), len(words)))
     b = list(D.window_keys(h(["x", *words[2:2 + D.WINDOW], "y", "z"]), D.WINDOW))
     assert len(a) == D.TABLES and all(x[2] == y[1] for x, y in zip(a, b, strict=True))
+
+
+def test_filter_goes_through_the_driver_packed(spark):
+    keys = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 3000)
+    for some in (keys[:0], keys[:1], keys):
+        got = D.key_filter(spark.createDataFrame([(int(k),) for k in some], "key long").repartition(3))
+        size = 1 << max(6, (D.BITS_A_KEY * len(some) - 1).bit_length())
+        want = np.zeros(size, dtype=np.uint8)
+        for i in range(D.PROBES):
+            want[(some.view(np.uint64) >> np.uint64(12 * i)) & np.uint64(size - 1)] = 1
+        assert len(pickle.dumps(got)) < 500 + size / 8 / 4
+        assert (np.unpackbits(got.bits, bitorder="little") == want).all()
