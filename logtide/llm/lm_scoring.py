@@ -51,6 +51,8 @@ BLOCK_WORDS = 3_000_000
 BUCKET_GRAMS = 2_000_000
 CACHE_WORDS = 400_000
 SCORED_AT_ONCE = 1 << 18
+#: A block's n-grams are held against their totals in 2^PART_BITS parts, by hash.
+PART_BITS = 3
 SEED = 7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -60,7 +62,7 @@ def _planes(values: np.ndarray) -> bytes:
     are zeros, and each plane has few values, which entropy coding uses."""
     from zstandard import ZstdCompressor
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).ravel().data)
 
 
 def _numbers(planes: bytes, dtype: str = "<u8") -> np.ndarray:
@@ -101,24 +103,28 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+def _mix(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    np.multiply(a, np.uint64(0x9E3779B97F4A7C15), out=out)
+    out ^= b
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
 
 
 def ngram_hashes(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, places, hashes) of the n-grams that end at those places, n = 1 .. order,
-    none across documents."""
+    """(n, inside, hashes) of the n-grams, n = 1 .. order, by the place of their last
+    word; ``inside`` is false, till the next n, where none of one document ends."""
     size, begins = len(words), np.cumsum(lengths) - lengths
     inside = np.ones(size, dtype=bool)  # places at which n words of the document have been read
     grams = words
     for n in range(1, order + 1):
         if n > 1:
-            grams = np.concatenate([words[:1], _mix(grams[:-1], words[1:])])
+            longer = np.empty_like(words)
+            longer[:1] = words[:1]
+            _mix(grams[:-1], words[1:], longer[1:])
+            grams = longer
             inside[begins[lengths >= n - 1] + n - 2] = False
-        at = np.flatnonzero(inside)
-        yield n, at, grams[at]
+        yield n, inside, grams
 
 
 def _vocabulary(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +199,18 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 words, lengths = _unpacked(row)
-                for n, _, hashes in ngram_hashes(words, lengths, order):  # own arrays, so sorted in place
+                for n, inside, hashes in ngram_hashes(words, lengths, order):
+                    hashes = hashes[inside]
                     hashes.sort()
-                    grams, begins = _runs(hashes)
-                    counts = np.diff(begins, append=len(hashes))
-                    edges = [0, *np.searchsorted(grams, inner).tolist(), len(grams)]
-                    yield pd.DataFrame([(n, k, row.block, _sorted_planes(grams[a:b]), _planes(counts[a:b].astype("<u8")))
-                                        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b],
-                                       columns=["n", "bucket", "block", "grams", "counts"])
+                    edges = [0, *np.searchsorted(hashes, inner).tolist(), len(hashes)]
+                    out = []
+                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                        if a < b:
+                            grams, begins = _runs(hashes[a:b])
+                            counts = np.diff(begins, append=b - a).astype("<u8")
+                            out.append((n, k, row.block, _sorted_planes(grams), _planes(counts)))
+                    del hashes
+                    yield pd.DataFrame(out, columns=["n", "bucket", "block", "grams", "counts"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         parts = [_sorted_numbers(g) for g in group["grams"]]
@@ -217,33 +227,38 @@ def corpus_totals(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     return grams.groupBy("n", "bucket").applyInPandas(count, "block string, n int, bucket long, totals binary")
 
 
-def _elsewhere(places: np.ndarray, hashes: np.ndarray, totals: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Per place (of the whole block), how often the n-gram that ends there
-    occurs in other documents; 0 where none ends."""
-    size, order = len(hashes), np.argsort(hashes, kind="stable")  # an n-gram's places ascend, and so do its documents
-    begins = _runs(hashes[order])[1]
-    at = places[order]
-    del order
-    found = np.repeat(totals.view(np.int64), np.diff(begins, append=size))
-    first = np.zeros(size, dtype=bool)  # of an n-gram's places in a document
-    first[begins] = True
-    mine = doc[at]
-    first[1:] |= mine[1:] != mine[:-1]
-    own = np.diff(np.flatnonzero(first), append=size)
-    found -= np.repeat(own, own)
-    out = np.zeros(len(doc), dtype=np.int64)
-    out[at] = found
+def _elsewhere(inside: np.ndarray, hashes: np.ndarray, totals: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Per place, how often the n-gram that ends there occurs in other documents; 0
+    where none ends. ``totals`` are in order of the hashes, and so are the parts."""
+    out = np.zeros(len(doc), dtype=np.uint32 if totals.max(initial=0) < 1 << 32 else np.int64)
+    part_of = (hashes >> np.uint64(64 - PART_BITS)).astype(np.uint8)
+    done = 0
+    for part in range(1 << PART_BITS):
+        at = np.flatnonzero(inside & (part_of == part))
+        some = hashes[at]
+        order = np.argsort(some, kind="stable")  # an n-gram's places ascend, and so do its documents
+        begins = _runs(some[order])[1]
+        at = at[order]
+        found = np.repeat(totals[done:done + len(begins)].view(np.int64), np.diff(begins, append=len(at)))
+        done += len(begins)
+        first = np.zeros(len(at), dtype=bool)  # of an n-gram's places in a document
+        first[begins] = True
+        mine = doc[at]
+        first[1:] |= mine[1:] != mine[:-1]
+        own = np.diff(np.flatnonzero(first), append=len(at))
+        found -= np.repeat(own, own)
+        out[at] = found
     return out
 
 
-def block_scores(words: np.ndarray, lengths: np.ndarray, totals: dict[int, np.ndarray], corpus_words: int,
+def block_scores(words: np.ndarray, lengths: np.ndarray, totals: dict[int, list[bytes]], corpus_words: int,
                  order: int) -> tuple[np.ndarray, np.ndarray]:
     """Per document: sum of the words' logarithms in millionths; words scored
     by each order 0 (unseen) .. order."""
     docs, size = len(lengths), len(words)
     doc = np.repeat(np.arange(docs, dtype=np.int32), lengths)
-    counts = [_elsewhere(at, h, totals[n], doc) if len(at) else np.zeros(size, dtype=np.int64)
-              for n, at, h in ngram_hashes(words, lengths, order)]
+    counts = [_elsewhere(inside, h, np.concatenate([_numbers(t) for t in totals[n]]), doc) if n in totals
+              else np.zeros(size, dtype=np.uint32) for n, inside, h in ngram_hashes(words, lengths, order)]
     begins = np.cumsum(lengths) - lengths
     sums = np.zeros(docs, dtype=np.int64)
     by_order = np.zeros(docs * (order + 1), dtype=np.int64)
@@ -279,7 +294,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         row = next(block.itertuples(index=False))
         words, lengths = _unpacked(row)
         counted = counted.sort_values(["n", "bucket"])
-        found = {n: np.concatenate([_numbers(t) for t in g["totals"]]) for n, g in counted.groupby("n")}
+        found = {n: list(g["totals"]) for n, g in counted.groupby("n")}
         sums, by_order = block_scores(words, lengths, found, corpus_words, order)
         out = pd.DataFrame({"key": list(row.keys), "n_words": lengths, "log_micro": sums})
         return out.assign(**dict(zip(names, by_order.T, strict=True)))

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from logtide.llm import lm_scoring, oracle
@@ -55,3 +57,19 @@ def test_other_orders_against_brute_force(spark, docs_of, order):
 def test_empty(spark, docs_of):
     assert lm_scoring.score(docs_of([])).count() == 0
     assert [r.log_micro for r in lm_scoring.score(docs_of([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_memory_to_score_a_block():
+    """Bytes a word: 52, and 93 when a block's n-grams were held against their totals all at once."""
+    rng = np.random.default_rng(7)
+    size, lengths = 500_000, np.full(1000, 500)
+    words = rng.zipf(1.3, size).astype("<u8") * np.uint64(0x9E3779B97F4A7C15)
+    totals = {n: [lm_scoring._planes(np.unique(h[inside], return_counts=True)[1].astype("<u8"))]
+              for n, inside, h in lm_scoring.ngram_hashes(words, lengths, 3)}
+    tracemalloc.start()
+    try:
+        _, by_order = lm_scoring.block_scores(words, lengths, totals, size, 3)
+        assert tracemalloc.get_traced_memory()[1] < 70 * size
+    finally:
+        tracemalloc.stop()
+    assert by_order.sum() == size
