@@ -18,7 +18,13 @@ from ..sources.raw_log import ParseMetrics, parse_lines
 
 ALERT_SCHEMA = ("ip string, window_end timestamp, failures_in_window long, "
                 "example_path string, window_minutes int")
-STATE_SCHEMA = "secs array<long>, counts array<long>, alerted boolean"
+#: IPs share the state of so many buckets: a call for each IP costs milliseconds.
+BUCKETS = 4096
+#: Of a bucket: its IPs, the time (ms) each is forgotten after, whether it has been
+#: alerted, how many seconds it has; the seconds of all IPs and their failures.
+STATE_SCHEMA = ("ips array<string>, until array<long>, alerted array<boolean>, sizes array<long>, "
+                "secs array<long>, counts array<long>")
+ROWS_AT_ONCE = 100_000
 
 
 def stream_access_log(spark: SparkSession, log_dir: str, pattern: str | None = None,
@@ -76,48 +82,76 @@ def _per_second(batches):
         yield sums.join(paths).reset_index()[["ip", "timestamp", "ts_epoch", "n", "first", "path"]]
 
 
+def _combined(batches) -> pd.DataFrame:
+    """One row per (ip, second) of a bucket's rows: the failures of all tasks, and
+    the least (first timestamp, has a path, path)."""
+    second, names = ["ip", "ts_epoch"], ["ip", "ts_epoch", "n", "first", "path"]
+    parts, held, least = [], 0, 0
+
+    def combine() -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        rows = rows.assign(has=rows["path"].notna(), text=rows["path"].fillna("")).sort_values(
+            [*second, "first", "has", "text"], kind="mergesort")
+        sums = rows.groupby(second, sort=True)["n"].sum()
+        return rows.drop_duplicates(second)[names].assign(n=sums.to_numpy())
+
+    for batch in batches:
+        parts.append(batch[names])
+        held += len(batch)
+        if held > max(ROWS_AT_ONCE, 2 * least):
+            parts = [combine()]
+            held = least = len(parts[0])
+    return combine() if held else pd.DataFrame(columns=names)
+
+
 def _alert_state_fn(window_seconds: int, threshold: int, window_minutes: int):
     def fn(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
+        old_ips, old_until, old_alerted, sizes, secs, counts = map(list, state.get) if state.exists else ([], [], [], [], [], [])
+        new = _combined([] if state.hasTimedOut else batches)
+        now = state.getCurrentWatermarkMs()
+        old = pd.DataFrame({"ip": np.repeat(np.array(old_ips, dtype=object), np.array(sizes, dtype=np.int64)),
+                            "ts_epoch": np.array(secs, dtype=np.int64), "n": np.array(counts, dtype=np.int64)})
+        if new.empty and old.empty:
             return
-        if state.exists:
-            secs, counts, alerted = state.get
-            per_sec = dict(zip(list(secs), list(counts)))
+        # a row per (ip, second), in that order; ``first`` is there for the new seconds
+        rows = (pd.concat([x[["ip", "ts_epoch", "n"]] for x in (old, new) if len(x)])
+                .groupby(["ip", "ts_epoch"], sort=True)["n"].sum().reset_index())
+        if len(new):
+            rows = rows.merge(new.drop(columns="n"), on=["ip", "ts_epoch"], how="left")
+            fresh = rows["first"].notna().to_numpy()
         else:
-            per_sec, alerted = {}, False
-        firsts = {}  # of the new seconds: (timestamp, has a path, path), the least of all tasks
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                sec = int(row.ts_epoch)
-                per_sec[sec] = per_sec.get(sec, 0) + int(row.n)
-                has = isinstance(row.path, str)
-                mine = (row.first, has, row.path if has else "")
-                firsts[sec] = min(firsts.get(sec, mine), mine)
-        if not firsts:
-            return
-        out = []
-        if not alerted:
-            keys = np.array(sorted(per_sec), dtype=np.int64)
-            cum = np.concatenate([[0], np.cumsum([per_sec[k] for k in keys])])
-            for sec in sorted(firsts):
-                total = int(cum[np.searchsorted(keys, sec, side="right")]
-                            - cum[np.searchsorted(keys, sec - window_seconds, side="left")])
-                if total >= threshold:
-                    first, has, path = firsts[sec]
-                    out.append({"ip": key[0], "window_end": first, "failures_in_window": total,
-                                "example_path": path if has else None, "window_minutes": window_minutes})
-                    alerted = True
-                    break
-        newest = max(per_sec)
-        per_sec = {k: v for k, v in per_sec.items() if k >= newest - window_seconds}
-        state.update((sorted(per_sec), [per_sec[k] for k in sorted(per_sec)], alerted))
+            fresh = np.zeros(len(rows), dtype=bool)
+        ips, code = np.unique(rows["ip"].to_numpy(dtype=object), return_inverse=True)
+        secs, n = rows["ts_epoch"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+        until, alerted, seen = np.zeros(len(ips), dtype=np.int64), np.zeros(len(ips), dtype=bool), np.zeros(len(ips), dtype=bool)
+        place = np.searchsorted(ips, np.array(old_ips, dtype=object))
+        until[place], alerted[place] = old_until, old_alerted
+        seen[code[fresh]] = True
+
+        # the IPs one behind the other in time, more than a window apart
+        at = code * (secs.max() - secs.min() + window_seconds + 1) + secs
+        summed = np.concatenate([[0], np.cumsum(n)])
+        total = summed[1:] - summed[np.searchsorted(at, at - window_seconds, side="left")]
+        over = np.flatnonzero(fresh & ~alerted[code] & (total >= threshold))
+        over = over[np.unique(code[over], return_index=True)[1]]  # of each IP its first
+        alerted[code[over]] = True
+
+        newest = secs[np.flatnonzero(np.diff(code, append=len(ips)))]
         # event-time timeouts must lie after the current watermark (late rows
         # can make ``newest`` older than it)
-        timeout_ms = (newest + window_seconds) * 1000 + 1
-        state.setTimeoutTimestamp(max(timeout_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out)
+        until = np.where(seen, np.maximum((newest + window_seconds) * 1000 + 1, now + 1), until)
+        stay = seen | (until >= now)  # as Spark's timeouts: an IP that new rows reach is not forgotten
+        kept = stay[code] & (secs >= newest[code] - window_seconds)
+        if stay.any():
+            state.update((ips[stay].tolist(), until[stay].tolist(), alerted[stay].tolist(),
+                          np.bincount(code[kept], minlength=len(ips))[stay].tolist(), secs[kept].tolist(), n[kept].tolist()))
+            state.setTimeoutTimestamp(int(until[stay].min()))
+        else:
+            state.remove()
+        if len(over):
+            out = rows.iloc[over]
+            yield pd.DataFrame({"ip": out["ip"], "window_end": out["first"], "failures_in_window": total[over],
+                                "example_path": out["path"].where(out["path"].notna(), None), "window_minutes": window_minutes})
     return fn
 
 
@@ -130,7 +164,9 @@ def stream_brute_force(parsed: DataFrame, window_minutes: int = 5, threshold: in
     Failures are combined per (ip, second) where they are read, before the
     shuffle: a hot IP sends at most one row per second and Arrow batch, and no
     micro-batch of raw rows is ever gathered. State per IP is the failure count
-    per second inside the window (at most ``60 * window_minutes`` entries). For
+    per second inside the window (at most ``60 * window_minutes`` entries); the
+    IPs of a hash bucket share a state record, so calls don't grow with the IPs,
+    and a bucket times out when the first of them does. For
     in-order input the alerts equal the batch ``brute_force``; late rows
     (within the watermark) are counted when they arrive. A second is late as a
     whole, by its last failure.
@@ -141,7 +177,7 @@ def stream_brute_force(parsed: DataFrame, window_minutes: int = 5, threshold: in
              .select("ip", "timestamp", "path", F.unix_seconds("timestamp").alias("ts_epoch"))
              .mapInPandas(_per_second, PER_SECOND_SCHEMA)
              .withWatermark("timestamp", watermark))
-    return fails.groupBy("ip").applyInPandasWithState(
+    return fails.withColumn("bucket", F.pmod(F.xxhash64("ip"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(
         _alert_state_fn(w, int(threshold), int(window_minutes)),
         ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
